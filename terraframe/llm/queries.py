@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, secrets, url_filter
 from .tables import cut, table
 
 #: (verdict, host and path), as op10 fixes them.
@@ -76,5 +76,12 @@ with u as (
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from r
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op10_url_filter": op10_url_filter}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = secrets.scan_secrets(docs)
+    n = {f"n_{k}": F.col(f"__n_{k}") for k in ("assign", "access", "hex", "owned", "live", "copied")}
+    return rows.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2("__base", 256).alias("base_sha256"), F.col("__all").alias("spans"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_secrets": op5_secrets, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_mixing": OP1_SQL, "op10_url_filter": OP10_SQL}
