@@ -62,8 +62,7 @@ def schedule(docs: DataFrame, key: str, source: str, size: str, weights: tuple[i
     hashed = F.md5(F.concat_ws("/", F.lit("mix"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     hi, lo = spread(F.col("__hash"))
     rows = docs.withColumn("__hash", hashed).withColumn("__hi", hi).withColumn("__lo", lo)
-    rows = running_sum(rows, [source], "__hi", "__lo", [F.col("__hash"), F.col(key), F.col(size)], size, "__before")
-    rows = rows.join(F.broadcast(targets(docs, source, size, weights, passes)), F.col(source).eqNullSafe(F.col("__source")))
+    rows = running_sum(rows, [source], "__hi", "__lo", [F.col("__hash"), F.col(key), F.col(size)], size, "__before", targets(docs, source, size, weights, passes))
 
     def copy(k: Column) -> Column:
         start = k * F.col("__source_size") + F.col("__before")
@@ -73,7 +72,7 @@ def schedule(docs: DataFrame, key: str, source: str, size: str, weights: tuple[i
         return F.struct((k + 1).cast("int").alias("copy"), finish.alias("finish"), taken.cast("long").alias("words"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), copy), lambda c: c["words"] > 0)
-    return rows.withColumn("__copies", copies).drop("__hash", "__hi", "__lo", "__before", "__source")
+    return rows.withColumn("__copies", copies).drop("__hash", "__hi", "__lo", "__before")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, whole: bool = True) -> DataFrame:

@@ -33,12 +33,14 @@ def spread(key: Column) -> tuple[Column, Column]:
     return (number / F.lit(FAN)).cast("int"), F.pmod(number, F.lit(FAN))
 
 
-def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Column], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Column], value: str, out: str, per_key: DataFrame | None = None) -> DataFrame:
     """Adds the sum of `value` over the rows before each, within `by`, ordered by hi, lo and `order`.
 
     A key may hold any share of all rows: they are summed by bucket, the buckets' sums are added up
     in two levels, and no task ever holds more than a bucket's rows. `order` must be a total order
-    up to rows that may change places. Keys may be null.
+    up to rows that may change places. Keys may be null. `per_key`, if given, has a row per key, under
+    other names for the columns `by`, which come first; its further columns are added. It meets the
+    buckets' sums, not the rows, so no key is hot there either.
     """
 
     def before(what: str, keys: list[str], at: list) -> Column:
@@ -53,7 +55,10 @@ def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Colu
     top = small.groupBy(*[F.col(c).alias(f"{c}__top") for c in bucket[:-1]]).agg(F.sum("__sum").alias("__all"))
     top = top.withColumn("__high", before("__all", [f"{c}__top" for c in bucket[:-2]], [f"{bucket[-2]}__top"]))
     same = lambda pairs: [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs]
-    bases = small.join(top, same((c, f"{c}__top") for c in bucket[:-1])).select(*bucket, (F.col("__low") + F.col("__high")).alias("__base"))
+    added = per_key.columns[len(by) :] if per_key is not None else []
+    if per_key is not None:
+        top = top.join(per_key, same(zip([f"{other[c]}__top" for c in by], per_key.columns, strict=False)))
+    bases = small.join(top, same((c, f"{c}__top") for c in bucket[:-1])).select(*bucket, (F.col("__low") + F.col("__high")).alias("__base"), *added)
     rows = df.withColumn("__here", before(value, keys, order))
     joined = rows.join(bases, same((c, other[c]) for c in keys))
     return joined.withColumn(out, (F.col("__base") + F.col("__here")).cast("long")).drop("__base", "__here", *bucket)
