@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets, url_filter
+from . import language, media, mixing, secrets, url_filter
 from .tables import cut, table
 
 #: (verdict, host and path), as op10 fixes them.
@@ -83,9 +83,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2("__base", 256).alias("base_sha256"), F.col("__all").alias("spans"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = language.identify(docs, drop_text=True)
+    return rows.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_secrets": op5_secrets, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_mixing": OP1_SQL, "op10_url_filter": OP10_SQL}
