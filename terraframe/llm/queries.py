@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, secrets, url_filter
+from . import language, media, mixing, packing, secrets, url_filter
 from .tables import cut, table
 
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers keep that file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: (verdict, host and path), as op10 fixes them.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -76,6 +84,10 @@ with u as (
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from r
 """
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = secrets.scan_secrets(docs)
@@ -93,5 +105,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_mixing": OP1_SQL, "op10_url_filter": OP10_SQL}
