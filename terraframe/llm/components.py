@@ -1,0 +1,29 @@
+"""Connected components of a graph given as edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tables import cut
+
+
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of an edge; root is the least node of its component.
+
+    Each round every node takes the least label around it and then its label's label, so labels run
+    over paths in steps that double. All joins are of two shuffled sides, which adaptive execution
+    splits where a root has a large share of the nodes; the least labels are aggregated partially.
+    Lineage is cut each round in the shared checkpoint folder.
+    """
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = cut(both.filter(F.col("x") != F.col("y")).distinct())
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
+    while True:
+        around = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("m"))
+        near = cut(labels.join(around, labels["node"] == around["x"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was")))
+        up = near.select(F.col("node").alias("parent"), F.col("label").alias("up"))
+        after = cut(near.join(up, near["label"] == up["parent"]).select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("was")).alias("moved")))
+        labels = after.select("node", "label")
+        if after.filter("moved").isEmpty():
+            return labels.withColumnRenamed("label", "root")

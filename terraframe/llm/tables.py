@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +63,27 @@ def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Colu
     rows = df.withColumn("__here", before(value, keys, order))
     joined = rows.join(bases, same((c, other[c]) for c in keys))
     return joined.withColumn(out, (F.col("__base") + F.col("__here")).cast("long")).drop("__base", "__here", *bucket)
+
+
+#: Places of a membership bitmap; its size is fixed, whatever it is made from.
+PLACES = 1 << 23
+
+
+def bitmap(keys: DataFrame, place: Column) -> bytes:
+    """One bit per place (0 to PLACES - 1) that a key has: PLACES / 8 bytes, so it can be sent to all executors.
+
+    It answers "surely not" or "maybe". With ever more keys it fills up and lets more pass, which
+    costs time but no result: what passes must be joined exactly.
+    """
+    at = place.cast("long") + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = bytearray(PLACES // 8)
+    for r in rows:
+        first = (r["b"] - 1) * 4096
+        out[first : first + len(r["m"])] = r["m"]
+    return bytes(out)
+
+
+def maybe(bits: bytes, places: np.ndarray) -> np.ndarray:
+    """Which of the places a bitmap has."""
+    return (np.frombuffer(bits, np.uint8)[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
