@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, near_dedup, packing, secrets, url_filter
+from . import language, media, mixing, near_dedup, packing, secrets, suffix_dedup, url_filter
 from .tables import cut, table
 
 
@@ -88,6 +88,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"), width=4)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -109,5 +113,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_mixing": OP1_SQL, "op10_url_filter": OP10_SQL}
