@@ -26,7 +26,6 @@ judged on the input, with overlaps; repeated rows get equal results; texts short
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SpanHash, mix, pieces, text_buffers
-from .tables import PLACES, bitmap, cut, maybe
+from .tables import PLACES, bitmap, cut, maybe, release
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -102,12 +101,6 @@ def _repeated(ranks: DataFrame, column: str) -> bytes:
     return bitmap(twice, F.col(column).bitwiseAND(F.lit(PLACES - 1)))
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished steps now and not when the driver's memory is full."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _packed(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     return pa.array(pos << 2 * BITS | lo << BITS | hi, pa.int64())
 
@@ -233,7 +226,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH,
     # what goes on: anchors whose strings aren't settled, and one of each that is, for those to be found by
     runs = cut(_by_text(ranks.join(grams, F.col("c") == F.col("g"), "left_semi").select("one.*")))
     del rows, ranks, settled
-    _release(runs)
+    release(runs)
     state = cut(_some_texts(texts, runs, lambda x: x))
     for block in blocks:
         rows = _refine(state, length, block, _repeated(_refine(state, length, block, None), "c"))
@@ -248,7 +241,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH,
         runs = cut(_by_text(rows.filter("n = 1").select("k", "run").union(more)))
         del rows, more
         state = cut(state.drop("runs").join(runs.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w"))
-        _release(runs)
+        release(runs)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -300,7 +293,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     nothing = F.lit("") if with_text else F.sha2(F.lit(""), 256)
     whole = copies.select(F.col("c").alias("key"), F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), nothing.alias("rest"))
     told = cut(some.unionByName(whole))
-    _release(told)
+    release(told)
     out = base.join(told, F.col("k") == F.col("key"), "left")
     removed = F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.coalesce("removed", "n_bytes")).cast("long")
     name = "kept_text" if with_text else "kept_sha256"
