@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, mixing, near_dedup, packing, secrets, suffix_dedup, url_filter
+from . import ann, language, media, mixing, near_dedup, packing, quality, secrets, suffix_dedup, url_filter
 from .tables import cut, table
 
 
@@ -61,6 +61,10 @@ from r
 """
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rows = url_filter.filter_urls(pages, RULES)
@@ -103,6 +107,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2("__base", 256).alias("base_sha256"), F.col("__all").alias("spans"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all sources; host: source, path: its part in one language. Kept: good and not toxic."""
+    rows = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "quality", "quality_host", "quality_path", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = language.identify(docs, drop_text=True)
@@ -113,5 +123,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op7_language": op7_language, "op8_media": op8_media, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op2_near_dedup": op2_near_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_language": op7_language, "op8_media": op8_media, "op9_neighbours": op9_neighbours, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_mixing": OP1_SQL, "op10_url_filter": OP10_SQL}
