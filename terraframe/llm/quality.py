@@ -1,8 +1,8 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence, its path's and its host's.
 
 A document classifier, naive Bayes over hashed words calibrated by a logistic fit, is learned from a
-bounded sample: of the labelled rows, the MAX_LABELLED whose hashed keys are least; a half of them
-gives word weights, the other the calibration. Every document of the corpus is then scored, sums by
+bounded sample: of the labelled rows, the MAX_LABELLED whose hashed keys are least; three quarters of
+them give word weights, the others the calibration. Every document of the corpus is then scored, sums by
 host and by path within host are aggregated, and their posteriors are shrunk: a host's towards the
 corpus, a path's towards its host, by as many pseudo-documents as the spread between groups, over
 all documents, calls for. A document's posterior is its evidence with the odds of its path in place
@@ -33,6 +33,9 @@ RARE = 4.0
 #: Weights above this in size count as marks of a class.
 STRONG = 1.5
 INPUTS = 5
+#: ASCII signs.
+SIGN = np.zeros(256, bool)
+SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 FLOOR = 1e-4
 
 
@@ -42,7 +45,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(start):
         return np.empty(0, np.int64), row
     exact, lower = SpanHash(data), SpanHash(LOWER[data])
-    word = lower.of(start, end)
+    left, right = start.copy(), end.copy()
+    for _ in range(3):  # up to three signs about a word are no part of it
+        left += SIGN[data[left]] & (left < right - 1)
+        right -= SIGN[data[right - 1]] & (left < right - 1)
+    word = lower.of(left, right)
     tail = exact.of(np.maximum(start, end - 3), end) ^ np.uint64(0x5851F42D4C957F2D)
     again = np.r_[False, (word[1:] == word[:-1]) & (row[1:] == row[:-1])].astype(np.uint64) + np.uint64(1)
     shift = np.uint64(64 - 18)
@@ -98,9 +105,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
     """The model of a 0/1 label from the bounded sample, or None where it has one class only."""
     order = F.xxhash64(F.lit(label), key)
     sample = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y"), order.alias("__o")).orderBy("__o").limit(MAX_LABELLED)
-    sample = cut(sample.select("__id", "__y", F.pmod("__o", F.lit(2)).alias("__half")))
+    sample = cut(sample.select("__id", "__y", (F.pmod("__o", F.lit(4)) == 0).alias("__fit")))
     # at most MAX_LABELLED rows of three numbers are broadcast
-    rows = cut(docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("__id")).select(text, "__y", "__half"))
+    rows = cut(docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("__id")).select(text, "__y", "__fit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -112,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
             at = np.flatnonzero(total[c])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at, pa.int32()), pa.array(total[c][at])], ["y", "bucket", "n"])
 
-    table = rows.filter("__half = 0").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.filter("NOT __fit").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[table["y"].to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
     if not counts.sum(axis=1).all():
@@ -126,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
                 x = shared.value.inputs(bucket, row, n)
                 yield pa.RecordBatch.from_arrays([batch.column("__y").slice(first, n), *(pa.array(x[:, i]) for i in range(INPUTS))], ["y", *(f"x{i}" for i in range(INPUTS))])
 
-    fit = rows.filter("__half = 1").mapInArrow(inputs, "y int, " + ", ".join(f"x{i} double" for i in range(INPUTS))).toPandas().sort_values([*(f"x{i}" for i in range(INPUTS)), "y"])
+    fit = rows.filter("__fit").mapInArrow(inputs, "y int, " + ", ".join(f"x{i} double" for i in range(INPUTS))).toPandas().sort_values([*(f"x{i}" for i in range(INPUTS)), "y"])
     model.calibrate(fit[[f"x{i}" for i in range(INPUTS)]].to_numpy(), fit["y"].to_numpy(float))
     return model
 
