@@ -17,13 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; one of this process is set only where the
     session names none, as in tests. Plans of earlier steps hold their broadcast tables and shuffle
     files for as long as the driver holds them, so what Python no longer refers to is let go here.
+
+    A checkpointed plan keeps the size that was estimated for the plan behind it. Estimates of joins
+    are products, so over rounds they would become numbers of millions of digits; the rows are
+    wrapped anew, of unknown size, and adaptive execution goes by what it measures.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    session = df.sparkSession
+    out = DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
     if next(_cuts) % 4 == 0:
         release(out)
     return out
