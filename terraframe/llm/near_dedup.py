@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .kernels import mix, pieces, row_bounds, shingles, text_buffers
 from .tables import PLACES, bitmap, cut, maybe
 

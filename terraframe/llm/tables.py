@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut, release  # noqa: F401  for the operators beside this module
+
 #: Buckets at each of the two levels by which rows of one key are dealt out.
 FAN = 64
 
@@ -17,33 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_cuts = itertools.count(1)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, in the folder that all executors share.
-
-    The folder is the session's spark.checkpoint.dir; one of this process is set only where the
-    session names none, as in tests. Plans of earlier steps hold their broadcast tables and shuffle
-    files for as long as the driver holds them, so what Python no longer refers to is let go here.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint(eager=True)
-    if next(_cuts) % 4 == 0:
-        release(out)
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Lets Spark delete what finished steps left, now and not when the driver's memory is full."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def spread(key: Column) -> tuple[Column, Column]:
     """Two levels of buckets, in the order of a 128-bit hex key: its first bits, then its next."""
     number = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
