@@ -116,7 +116,7 @@ def ssim(pairs: DataFrame, band: str, a: str, b: str) -> DataFrame:
 
 # --- detection --------------------------------------------------------------------------------
 
-def detect_bright(tiles: DataFrame, width: int, height: int, instance: bool = False, key: str = "tile_seq") -> DataFrame:
+def detect_bright(tiles: DataFrame, width: int, height: int, instance: bool = False, key: str = "tile_seq", digits: int = 4) -> DataFrame:
     """Bright objects by tile: key, idx (1-based, in scan order), bbox (tile-local), score.
 
     `tiles`: key, ty, tx (place in the tile), th, tw (its size), gray. The threshold is the mean plus a
@@ -140,7 +140,7 @@ def detect_bright(tiles: DataFrame, width: int, height: int, instance: bool = Fa
         boxes = boxes.unionByName(spare)
     inside = (F.col("tx") >= F.col("x0")) & (F.col("tx") < F.col("x1")) & (F.col("ty") >= F.col("y0")) & (F.col("ty") < F.col("y1"))
     means = boxes.join(tiles.select(key, "ty", "tx", "gray"), key).filter(inside).groupBy(key, "idx", "x0", "y0", "x1", "y1").agg(F.avg("gray").alias("g"))
-    score = F.bround(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("g") / 255)), 4)
+    score = F.bround(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("g") / 255)), digits)
     label = "bright_instance" if instance else "bright_object"
     return means.select(key, "idx", F.lit(label).alias("label"), score.alias("score"), F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).alias("bbox"))
 

@@ -108,13 +108,13 @@ def index_statistics(df: DataFrame, value: str) -> DataFrame:
     return df.agg(zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("mean"), zero(F.median(value)).alias("median"), zero(F.stddev_pop(value)).alias("std"), F.count(value).alias("valid_pixels"), F.count("*").alias("total_pixels"))
 
 
-def super_resolution(pair: DataFrame, scale: int) -> DataFrame:
-    """pair: source and result, structs of width, height, crs, transform. Whether the result is as the scale asks."""
+def super_resolution(pair: DataFrame, scale: int, keys: list[str] | None = None) -> DataFrame:
+    """pair: keys, source and result, structs of width, height, crs, transform. Whether each result is as the scale asks."""
     s, r = F.col("source"), F.col("result")
     want = {n: s["transform"][n] / (1.0 if n in "cf" else float(scale)) for n in "abcdef"}
     delta = F.greatest(*[F.abs(want[n] - r["transform"][n]) for n in "abcdef"])
     return pair.select(
-        (s["width"] * scale).alias("expected_width"), (s["height"] * scale).alias("expected_height"), ((s["width"] * scale == r["width"]) & (s["height"] * scale == r["height"])).alias("shape_matches_scale"),
+        *(keys or []), (s["width"] * scale).alias("expected_width"), (s["height"] * scale).alias("expected_height"), ((s["width"] * scale == r["width"]) & (s["height"] * scale == r["height"])).alias("shape_matches_scale"),
         delta.alias("max_transform_delta"), (delta < 1e-9).alias("transform_matches_scale"), s["crs"].eqNullSafe(r["crs"]).alias("crs_matches"),
         ((want["a"] == r["transform"]["a"]) & (want["e"] == r["transform"]["e"])).alias("pixel_size_exact"),
     )

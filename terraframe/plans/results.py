@@ -1 +1,593 @@
 """Queries of the second half: stitching, masks, detections, statistics, rules, sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry, indices
+from ..operators import components, nms, quality, raster_ops, statistics, stitching
+from ..sources import scenes
+from .registry import _ASSIGN, _INTER, _UNION, BOXES, LATER, SCENE, VECTORS, T, _bands, _query, _rounded, _sql_index, _sql_r6, _tiled, r6
+
+NAMES = "names as (select * from (values (0, 'background'), (1, 'vegetation'), (2, 'water'), (3, 'building'), (4, 'bare_soil'), (5, 'road')) n(class_id, class_name))"
+
+
+def _names(spark) -> DataFrame:
+    rows = [(0, "background"), (1, "vegetation"), (2, "water"), (3, "building"), (4, "bare_soil"), (5, "road")]
+    return spark.createDataFrame(rows, "class_id int, class_name string")
+
+
+# --- X: stitching -------------------------------------------------------------------------------
+
+_TENT = "least({i} + 1, 32 - {i})::double / 16e0"
+_WEIGHT = f"greatest(1e-3, ({_TENT.format(i='(s.x - t.x0)')}) * ({_TENT.format(i='(s.y - t.y0)')}))"
+_JOIN = "scene s join tile t on s.x >= t.x0 and s.x < t.x0 + 32 and s.y >= t.y0 and s.y < t.y0 + 32"
+
+
+def _weight(height: int) -> Column:
+    return stitching.centre_weight(F.col("x") - F.col("tile_x0"), F.col("y") - F.col("tile_y0"), F.lit(32), F.lit(min(32, height)))
+
+
+def _tile_pixels(spark, sf_dir: str, *columns) -> tuple[DataFrame, Column]:
+    _, height = scenes.size(spark, sf_dir)
+    return _tiled(spark, sf_dir, scenes.scene(spark, sf_dir).select("y", "x", *columns)), _weight(height)
+
+
+@_query("select i.range::int as y, j.range::int as x, " + _sql_r6("greatest(1e-3, least(i.range + 1, 24 - i.range)::double / 12e0 * (least(j.range + 1, 31 - j.range)::double / 16e0))") + " as weight from range(24) i, range(31) j")
+def x1_centre_weight(spark, sf_dir):
+    rows = spark.range(24 * 31).select(F.floor(F.col("id") / 31).cast("int").alias("y"), (F.col("id") % 31).cast("int").alias("x"))
+    return rows.select("y", "x", r6(stitching.centre_weight(F.col("x"), F.col("y"), F.lit(31), F.lit(24))).alias("weight"))
+
+
+_TILE_VALUE = "((s.red * 7 + t.tile_seq * 13) % 100) / 100e0"
+
+
+@_query(f"with {SCENE}, {_ASSIGN}, p as (select s.y, s.x, {_WEIGHT} as w, {_TILE_VALUE} as v from {_JOIN}) select y, x, {_sql_r6('sum(v * w) / greatest(sum(w), 1e-6)')} as prob from p group by y, x")
+def x2_stitch_probabilities(spark, sf_dir):
+    rows, weight = _tile_pixels(spark, sf_dir, "red")
+    rows = rows.withColumn("prob", ((F.col("red") * 7 + F.col("tile_seq") * 13) % 100) / 100)
+    return _rounded(stitching.stitch(rows, "prob", ["y", "x"], weight))
+
+
+@_query(f"with {SCENE}, {_ASSIGN}, p as (select s.y, s.x, {_WEIGHT} as w, ((s.y + s.x + t.tile_seq) % 5)::double as v from {_JOIN}) select y, x, round_even(round(sum(v * w) / greatest(sum(w), 1e-6) + 1.37e-9, 9), 0)::bigint as label from p group by y, x")
+def x2_stitch_labels(spark, sf_dir):
+    rows, weight = _tile_pixels(spark, sf_dir)
+    rows = rows.withColumn("label", ((F.col("y") + F.col("x") + F.col("tile_seq")) % 5).cast("double"))
+    return stitching.stitch(rows, "label", ["y", "x"], weight).withColumn("label", F.rint(F.round(F.col("label") + F.lit(1.37e-9), 9)).cast("long"))
+
+
+_SR_TENT = "least({i} + 1, 64 - {i})::double / 32e0"
+_SR_W = f"greatest(1e-3, ({_SR_TENT.format(i='((s.x - t.x0) * 2 + e.range)')}) * ({_SR_TENT.format(i='((s.y - t.y0) * 2 + d.range)')}))"
+
+
+@_query(f"with {SCENE}, {_ASSIGN}, p as (select s.y * 2 + d.range as y, s.x * 2 + e.range as x, {_SR_W} as w, s.green + t.tile_seq as v from {_JOIN}, range(2) d, range(2) e) select y, x, least(255, greatest(0, round_even(round(sum(v * w) / greatest(sum(w), 1e-6) + 1.37e-9, 9), 0)))::bigint as sample from p group by y, x")
+def x3_stitch_super_resolution(spark, sf_dir):
+    rows, _ = _tile_pixels(spark, sf_dir, "green")
+    _, height = scenes.size(spark, sf_dir)
+    rows = raster_ops.upscale(rows.withColumn("sample", F.col("green") + F.col("tile_seq")), 2)
+    weight = stitching.centre_weight(F.col("x") - F.col("tile_x0") * 2, F.col("y") - F.col("tile_y0") * 2, F.lit(64), F.lit(2 * min(32, height)))
+    rows = stitching.stitch(rows, "sample", ["y", "x"], weight)
+    return rows.withColumn("sample", stitching.to_samples(F.round(F.col("sample") + F.lit(1.37e-9), 9), "uint8"))
+
+
+@_query(f"with {SCENE}, {_ASSIGN}, p as (select s.y, s.x, {_TILE_VALUE} as v from {_JOIN}) select y, x, {_sql_r6('sum(v) / greatest(count(v), 1)')} as prob from p group by y, x")
+def x4_stitch_uniform(spark, sf_dir):
+    rows, _ = _tile_pixels(spark, sf_dir, "red")
+    rows = rows.withColumn("prob", ((F.col("red") * 7 + F.col("tile_seq") * 13) % 100) / 100)
+    return _rounded(stitching.stitch_uniform(rows, "prob", ["y", "x"]))
+
+
+@_query(f"with {VECTORS} select y, x, 70 as n, 0e0 as padded, {_sql_r6('bands[64]')} as kept from vectors")
+def x5_pad_channels(spark, sf_dir):
+    rows = scenes.vector_scene(spark, sf_dir).withColumn("p", stitching.pad_channels(F.col("bands"), 70))
+    return rows.select("y", "x", F.size("p").alias("n"), F.element_at("p", 70).alias("padded"), r6(F.element_at("p", 64)).alias("kept"))
+
+
+@_query(f"with {VECTORS} select v.y, v.x, c.range::int as class_id, (v.class_id = c.range)::int::double as value from vectors v, range(10) c")
+def x6_one_hot(spark, sf_dir):
+    rows = scenes.vector_scene(spark, sf_dir).withColumn("h", stitching.one_hot(F.col("class_id"), 10))
+    return rows.select("y", "x", F.posexplode("h").alias("class_id", "value"))
+
+
+@_query(f"with {VECTORS} select y, x, (list_position(bands, list_max(bands)) - 1)::int as class_id from vectors")
+def x7_argmax(spark, sf_dir):
+    return scenes.vector_scene(spark, sf_dir).select("y", "x", stitching.argmax(F.col("bands")).alias("class_id"))
+
+
+@_query(f"with {VECTORS}, {NAMES} select v.class_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1, count(*) as pixel_count, coalesce(any_value(n.class_name), 'class_' || v.class_id) as class_name from vectors v left join names n on n.class_id = v.class_id where v.class_id <> 0 group by v.class_id")
+def x8_class_extents(spark, sf_dir):
+    return raster_ops.class_extents(scenes.vector_scene(spark, sf_dir), _names(spark))
+
+
+@_query(f"with {VECTORS} select class_id, count(*) as pixels, {_sql_r6('min(list_max(bands))')} as least, {_sql_r6('max(list_max(bands))')} as most from vectors group by class_id")
+def x9_class_histogram(spark, sf_dir):
+    rows = scenes.vector_scene(spark, sf_dir).withColumn("p", F.array_max("bands"))
+    return _rounded(rows.groupBy("class_id").agg(F.count("*").alias("pixels"), F.min("p").alias("least"), F.max("p").alias("most")))
+
+
+@_query(f"""with {BOXES}, b as (select row_number() over (order by id) as ordinal, round_even(x1 / 3, 0)::bigint as a, round_even(y1 / 3, 0)::bigint as b, round_even(x2 / 3, 0)::bigint as c, round_even(y2 / 3, 0)::bigint as d from boxes where id < 500),
+p as (select range as n, range // 134 as y, range % 134 as x from range(100 * 134)) select p.y, p.x, max(ordinal) as instance from b join p on p.x >= greatest(a, 0) and p.x < least(c, 134) and p.y >= greatest(b, 0) and p.y < least(d, 100) group by p.y, p.x""")
+def x10_burn_instances(spark, sf_dir):
+    rows = scenes.boxes(spark, sf_dir).filter(F.col("id") < 500)
+    rows = rows.select((F.row_number().over(Window.partitionBy("raster_id").orderBy("id"))).cast("long").alias("ordinal"), F.transform("bbox", lambda v: v / 3).alias("bbox"))
+    out = raster_ops.burn_instances(rows, 134, 100)
+    return out.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "instance")
+
+
+def _components_sql(mask: str, out: str) -> str:
+    """Runs, links between rows, and reachability over them, as SQL."""
+    return f"""with recursive {SCENE}, mask as materialized ({mask}), g as (select *, x - row_number() over (partition by y order by x) as k from mask),
+run as materialized (select y, min(x) as a, max(x) as b, count(*) as n, y * 100 + min(x) as id from g group by y, k),
+edge as materialized (select p.id as s, q.id as t from run p join run q on abs(p.y - q.y) = 1 and p.a <= q.b and q.a <= p.b),
+reach(s, id) as (select id, id from run union select e.s, r.id from edge e join reach r on e.t = r.s),
+root as (select s, min(id) as root from reach group by s),
+comp as (select root, sum(n)::bigint as pixel_count, min(a) as x0, min(y) as y0, max(b) + 1 as x1, max(y) + 1 as y1 from run join root on run.id = root.s group by root) {out}"""
+
+
+_SPARSE = "select y, x from scene where red > 60"
+
+
+@_query(_components_sql(_SPARSE, "select root // 100 as first_y, root % 100 as first_x, pixel_count, x0, y0, x1, y1 from comp"))
+def x11_connected_components(spark, sf_dir):
+    return components.components(scenes.scene(spark, sf_dir).filter("red > 60").select("y", "x"))
+
+
+@_query(_components_sql(_SPARSE, "select row_number() over (order by root)::int as change_id, 1 as class_id, 'changed' as label, pixel_count, x0, y0, x1, y1 from comp where pixel_count >= 3"))
+def x12_change_features(spark, sf_dir):
+    found = components.components(scenes.scene(spark, sf_dir).filter("red > 60").select("y", "x")).filter("pixel_count >= 3")
+    return components.numbered(found, out="change_id").select("change_id", F.lit(1).alias("class_id"), F.lit("changed").alias("label"), "pixel_count", "x0", "y0", "x1", "y1")
+
+
+# --- N: detections --------------------------------------------------------------------------------
+
+def _nms_sql(threshold: str, out: str) -> str:
+    return f"""with recursive {BOXES}, r as materialized (select *, row_number() over (order by score desc, id) as rk from boxes),
+c as materialized (select b.rk as rk, list(a.rk) as js from r a join r b on a.rk < b.rk and {_UNION} > 0 and {_INTER} >= {threshold} * {_UNION} group by b.rk),
+step(rk, kept) as (select 0::bigint, []::bigint[] union all
+  select s.rk + 1, case when c.js is not null and list_has_any(s.kept, c.js) then s.kept else list_append(s.kept, s.rk + 1) end from step s left join c on c.rk = s.rk + 1 where s.rk < (select count(*) from r)),
+k as (select unnest(kept) as rk from step where rk = (select count(*) from r)) {out}"""
+
+
+def _kept(spark, sf_dir: str, threshold: float) -> DataFrame:
+    return nms.suppress(scenes.boxes(spark, sf_dir), threshold, [F.desc("score"), F.asc("id")])
+
+
+@_query(_nms_sql("0.3e0", "select r.id, r.rk as rank, r.score from r join k on r.rk = k.rk"))
+def n1_nms(spark, sf_dir):
+    return _kept(spark, sf_dir, 0.3).select("id", "rank", "score")
+
+
+@_query(_nms_sql("0.5e0", "select r.label, count(*) as kept, max(r.score) as best from r join k on r.rk = k.rk group by r.label"))
+def n2_merge_detections(spark, sf_dir):
+    return _kept(spark, sf_dir, 0.5).groupBy("label").agg(F.count("*").alias("kept"), F.max("score").alias("best"))
+
+
+@_query(f"""with {BOXES}, t as (select *, least(400e0, x1 + 10) as a, least(300e0, y1 + 5) as b, least(400e0, x2 + 10) as c, least(300e0, y2 + 5) as d from boxes where score >= 0.2e0)
+select id, row_number() over (order by id) as instance_id, (c - a) * (d - b) as area_pixels, a <= 2 or b <= 2 or c >= 398 or d >= 298 as touches_image_edge, {_sql_r6('2e0 * a + 0.5e0 * b + 1000e0')} as gx from t where c > a and d > b""")
+def n3_detection_assembly(spark, sf_dir):
+    """Tile-local boxes become records: score filter, shift, clip, ids before suppression, geometry."""
+    box = F.col("b")
+    rows = scenes.boxes(spark, sf_dir).filter(F.col("score") >= 0.2).withColumn("b", geometry.clip_box(geometry.translate_box(F.col("bbox"), F.lit(10), F.lit(5)), F.lit(400), F.lit(300)))
+    rows = rows.filter(~geometry.is_empty(box)).withColumn("instance_id", F.row_number().over(Window.partitionBy("raster_id").orderBy("id")).cast("long"))
+    gx = F.lit(T[0]) * box[0] + F.lit(T[1]) * box[1] + F.lit(T[2])
+    return rows.select("id", "instance_id", geometry.box_area(box).alias("area_pixels"), geometry.touches_edge(box, F.lit(400), F.lit(300)).alias("touches_image_edge"), r6(gx).alias("gx"))
+
+
+_EVEN6 = lambda x: f"round_even(({x})::double, 6)"
+
+
+@_query(f"""with {BOXES}, e as (select *, x1 <= 2 or y1 <= 2 or x2 >= 398 or y2 >= 298 as edge, case when id % 3 = 0 then (id % 90)::double end as angle from boxes)
+select count(*) as count, {_EVEN6('avg(score)')} as confidence_mean, {_EVEN6('median(score)')} as confidence_median, count_if(score < 0.5e0)::bigint as low_confidence_count, {_EVEN6('count_if(score < 0.5e0)::double / count(*)')} as low_confidence_ratio,
+count_if(edge)::bigint as edge_object_count, {_EVEN6('count_if(edge)::double / count(*)')} as edge_object_ratio, max(score) as max_score, min(score) as min_score, {_EVEN6('avg(angle)')} as angle_degrees_mean, {_EVEN6('median(angle)')} as angle_degrees_median, {_EVEN6('min(angle)')} as angle_degrees_min, {_EVEN6('max(angle)')} as angle_degrees_max from e""")
+def n4_record_statistics(spark, sf_dir):
+    rows = scenes.boxes(spark, sf_dir).select("label", "score", geometry.touches_edge(F.col("bbox"), F.lit(400), F.lit(300)).alias("touches_image_edge"), F.when(F.col("id") % 3 == 0, (F.col("id") % 90).cast("double")).alias("angle_degrees"))
+    return statistics.record_statistics(rows)
+
+
+@_query(f"with {BOXES} select label, count(*) as n from boxes group by label")
+def n4_per_class_counts(spark, sf_dir):
+    return scenes.boxes(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# --- F: deterministic models ------------------------------------------------------------------------
+
+_GRAY = "(red + green + nir) / 3"
+_TILE10 = f"px as materialized (select (y // 20) * 5 + x // 20 as tile_seq, y % 20 as y, x % 20 as x, {_GRAY} as gray, least(20, ((select count(*) from events) + 99) // 100 - (y // 20) * 20) as th from scene)"
+
+
+def _detect_sql(test: str, spare: str, label: str) -> str:
+    return f"""with recursive {SCENE}, {_TILE10}, st as materialized (select tile_seq, greatest(150e0, avg(gray) + stddev_pop(gray)) as lim, any_value(th) as th, arg_max(y * 20 + x, (gray, -y, -x)) as top from px group by tile_seq),
+mask as materialized (select tile_seq, y, x from px join st using (tile_seq) where gray {test} lim), g as (select *, x - row_number() over (partition by tile_seq, y order by x) as k from mask),
+run as materialized (select tile_seq, y, min(x) as a, max(x) as b, count(*) as n, tile_seq * 10000 + y * 20 + min(x) as id from g group by tile_seq, y, k),
+edge as materialized (select p.id as s, q.id as t from run p join run q on p.tile_seq = q.tile_seq and abs(p.y - q.y) = 1 and p.a <= q.b and q.a <= p.b),
+reach(s, id) as (select id, id from run union select e.s, r.id from edge e join reach r on e.t = r.s), root as (select s, min(id) as root from reach group by s),
+comp as (select root // 10000 as tile_seq, root, sum(n) as n, min(a) as x0, min(y) as y0, max(b) + 1 as x1, max(y) + 1 as y1 from run join root on run.id = root.s group by root having sum(n) >= 12),
+box as (select tile_seq, row_number() over (partition by tile_seq order by root) as idx, x0, y0, x1, y1 from comp), found as (select * from box where idx <= 8 {spare})
+select b.tile_seq, b.idx::int as idx, '{label}' as label, {_sql_r6('greatest(0.05e0, least(0.99e0, avg(p.gray) / 255)) ')} as score, b.x0::double as x0, b.y0::double as y0, b.x1::double as x1, b.y1::double as y1
+from found b join px p on p.tile_seq = b.tile_seq and p.x >= b.x0 and p.x < b.x1 and p.y >= b.y0 and p.y < b.y1 group by all"""
+
+
+_SPARE = "union all select tile_seq, 1, greatest(0, top % 20 - h), greatest(0, top // 20 - h), least(20, top % 20 + h), least(th, top // 20 + h) from (select *, greatest(4, least(th, 20) // 12) as h from st) where tile_seq not in (select tile_seq from box)"
+
+
+def _gray_tiles(spark, sf_dir: str) -> DataFrame:
+    """The scene in tiles of 20 x 20: tile_seq, ty, tx, th, tw, gray."""
+    _, height = scenes.size(spark, sf_dir)
+    row = F.floor(F.col("y") / 20)
+    return scenes.scene(spark, sf_dir).select(
+        (row * 5 + F.floor(F.col("x") / 20)).alias("tile_seq"), (F.col("y") % 20).alias("ty"), (F.col("x") % 20).alias("tx"), F.least(F.lit(20), F.lit(height) - row * 20).alias("th"), F.lit(20).alias("tw"),
+        ((F.col("red") + F.col("green") + F.col("nir")) / 3).alias("gray"),
+    )
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("tile_seq", "idx", "label", r6("score").alias("score"), *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+def _unrounded(spark, sf_dir, instance: bool) -> DataFrame:
+    """Scores to 6 digits here: at 4 the engines' last bits could fall on both sides of a tie."""
+    return _found(raster_ops.detect_bright(_gray_tiles(spark, sf_dir), 100, 100, instance, digits=9))
+
+
+@_query(_detect_sql(">=", _SPARE, "bright_object"))
+def f1_detect_bright(spark, sf_dir):
+    return _unrounded(spark, sf_dir, False)
+
+
+@_query("with f as (" + _detect_sql(">=", _SPARE, "oriented_bright_object") + f") select tile_seq, idx, label, {_sql_r6('(x0 + x1) / 2')} as cx, {_sql_r6('(y0 + y1) / 2')} as cy, greatest(1e0, x1 - x0) as width, greatest(1e0, y1 - y0) as height, 25e0 as angle, {_sql_r6('(x0 + x1) / 2 - greatest(1e0, x1 - x0) / 2 * cos(radians(25e0)) + greatest(1e0, y1 - y0) / 2 * sin(radians(25e0))')} as first_x from f")
+def f2_detect_oriented(spark, sf_dir):
+    rows = raster_ops.oriented(raster_ops.detect_bright(_gray_tiles(spark, sf_dir), 100, 100))
+    return rows.select("tile_seq", "idx", "label", r6("cx").alias("cx"), r6("cy").alias("cy"), "width", "height", "angle", r6(F.element_at("polygon", 1)["x"]).alias("first_x"))
+
+
+@_query(_detect_sql(">", "", "bright_instance"))
+def f3_detect_instances(spark, sf_dir):
+    return _unrounded(spark, sf_dir, True)
+
+
+_SEG = "case when nir > green and nir > red and nir > 120 then 2 when (red + green + nir + blue) / 4 > 185 then 1 else 0 end"
+
+
+def _segmented(spark, sf_dir: str) -> DataFrame:
+    rows = scenes.scene(spark, sf_dir)
+    return rows.select("y", "x", raster_ops.segment(F.array("red", "green", "nir", "blue")).alias("class_id"))
+
+
+@_query(f"with {SCENE}, m as (select y, x, {_SEG} as class_id from scene) select y, x, class_id, {_sql_r6('case when class_id = 2 then 0.9e0 else 0.05e0 end')} as p2 from m")
+def f4_segmentation(spark, sf_dir):
+    rows = _segmented(spark, sf_dir).withColumn("p", raster_ops.segment_probabilities(F.col("class_id")))
+    return rows.select("y", "x", "class_id", r6(F.col("p")[2]).alias("p2"))
+
+
+_CHANGE = "greatest(0e0, least(1e0, abs(l.red - s.red) / 128e0))"
+
+
+def _changed(spark, sf_dir: str) -> DataFrame:
+    after = scenes.later_scene(spark, sf_dir).withColumnRenamed("red", "later")
+    return scenes.scene(spark, sf_dir).select("y", "x", "red").join(after, ["y", "x"]).select("y", "x", raster_ops.change_probability(F.array("red"), F.array("later")).alias("prob"))
+
+
+@_query(f"with {SCENE}, {LATER} select s.y, s.x, {_sql_r6(_CHANGE)} as prob from scene s join later l on s.y = l.y and s.x = l.x")
+def f5_change_probability(spark, sf_dir):
+    return _rounded(_changed(spark, sf_dir))
+
+
+@_query(f"with {VECTORS} select y, x, {_sql_r6('bands[1] * 255e0')} as spread, least(255, greatest(0, floor(case when list_max(bands) <= 1 then bands[1] * 255e0 else bands[1] end)))::int as sample from vectors")
+def f8_to_uint8(spark, sf_dir):
+    rows = scenes.vector_scene(spark, sf_dir)
+    return rows.select("y", "x", r6(F.col("bands")[0] * 255.0).alias("spread"), raster_ops.to_uint8(F.col("bands")[0], F.array_max("bands"), True).alias("sample"))
+
+
+_EXP = "list_transform(bands, lambda v: exp(v - list_max(bands)))"
+
+
+@_query(f"with {VECTORS} select y, x, {_sql_r6(f'({_EXP})[1] / list_sum({_EXP})')} as first, {_sql_r6('1 / (1 + exp(-bands[2]))')} as second from vectors")
+def f9_softmax_sigmoid(spark, sf_dir):
+    rows = scenes.vector_scene(spark, sf_dir)
+    return rows.select("y", "x", r6(raster_ops.softmax(F.col("bands"))[0]).alias("first"), r6(raster_ops.sigmoid(F.col("bands")[1])).alias("second"))
+
+
+@_query(f"with {BOXES}, a as (select id, (id % 200)::double / 10 as v from boxes) select id, {_sql_r6('case when abs(v) <= 6.283185307179586e0 then degrees(v) else v end')} as angle from a")
+def f10_rotated_values(spark, sf_dir):
+    values = F.array(F.col("bbox")[0], F.col("bbox")[1], F.lit(12.0), F.lit(6.0), (F.col("id") % 200).cast("double") / 10)
+    return scenes.boxes(spark, sf_dir).select("id", r6(raster_ops.rotated_values(values)["angle"]).alias("angle"))
+
+
+@_query(f"with {VECTORS} select class_id, min(x)::double as x0, min(y)::double as y0, (max(x) + 1)::double as x1, (max(y) + 1)::double as y1, 5 as points from vectors where bands[1] > 0 group by class_id")
+def f11_mask_polygon(spark, sf_dir):
+    rows = raster_ops.mask_polygon(scenes.vector_scene(spark, sf_dir).filter(F.col("bands")[0] > 0), "class_id")
+    return rows.select("class_id", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.size("polygon").alias("points"))
+
+
+# --- M: image quality ---------------------------------------------------------------------------------
+
+def _paired(spark, sf_dir: str) -> DataFrame:
+    after = scenes.later_scene(spark, sf_dir).withColumnRenamed("red", "b")
+    return scenes.scene(spark, sf_dir).select("y", "x", F.col("red").alias("a")).join(after, ["y", "x"]).withColumn("band", (F.col("x") % 3).cast("int"))
+
+
+_PAIR = f"{SCENE}, {LATER}, p as (select s.x % 3 as band, s.red as a, l.red as b from scene s join later l on s.y = l.y and s.x = l.x)"
+_SPAN = "(select case when max(greatest(a, b)) > 1.5 then 255e0 else 1e0 end from p)"
+
+
+@_query(f"with {_PAIR} select {_sql_r6(f'20 * log10({_SPAN}) - 10 * log10(avg((a - b) * (a - b)))')} as psnr from p")
+def m12_psnr(spark, sf_dir):
+    return _rounded(raster_ops.psnr(_paired(spark, sf_dir), "a", "b"))
+
+
+@_query(f"with {_PAIR}, q as (select band, avg(a) as ma, avg(b) as mb, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as c, pow(0.01e0 * {_SPAN}, 2) as c1, pow(0.03e0 * {_SPAN}, 2) as c2 from p group by band) select {_sql_r6('avg(((2 * ma * mb + c1) * (2 * c + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2)))')} as ssim from q")
+def m13_ssim(spark, sf_dir):
+    return _rounded(raster_ops.ssim(_paired(spark, sf_dir), "band", "a", "b"))
+
+
+@_query(f"with {_PAIR}, q as (select band, avg(a) as ma, avg(b) as mb, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as c, pow(0.01e0 * {_SPAN}, 2) as c1, pow(0.03e0 * {_SPAN}, 2) as c2 from p group by band) select (select {_sql_r6(f'20 * log10({_SPAN}) - 10 * log10(avg((a - b) * (a - b)))')} from p) as psnr, {_sql_r6('avg(((2 * ma * mb + c1) * (2 * c + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2)))')} as ssim, 'lpips_unavailable' as flag from q")
+def m17_metrics(spark, sf_dir):
+    """The bundle; the learned metric has no backend here, which the flag says."""
+    rows = _paired(spark, sf_dir)
+    return _rounded(raster_ops.psnr(rows, "a", "b").crossJoin(raster_ops.ssim(rows, "band", "a", "b"))).withColumn("flag", F.lit("lpips_unavailable"))  # one row each
+
+
+# --- A: statistics --------------------------------------------------------------------------------------
+
+_STAT = f"{_sql_r6('min(v)')} as min, {_sql_r6('max(v)')} as max, {_sql_r6('avg(v)')} as mean, {_sql_r6('stddev_pop(v)')} as std, count(v) as valid_pixels, count(*) as total_pixels"
+
+
+@_query(f"with {VECTORS}, b as (select unnest(range(1, 65))::int as band, unnest(bands) as v from vectors) select band, {_STAT} from b group by band")
+def a1_band_statistics(spark, sf_dir):
+    return _rounded(statistics.band_statistics(scenes.vector_scene(spark, sf_dir)))
+
+
+@_query(f"with {BOXES} select count(*) as feature_count, {_sql_r6('avg(score)')} as mean_score, {_sql_r6('max(score)')} as max_score, string_agg(distinct label, ',' order by label) as labels from boxes")
+def a2_feature_statistics(spark, sf_dir):
+    return _rounded(statistics.feature_statistics(scenes.boxes(spark, sf_dir)))
+
+
+def _class_mask(spark, sf_dir: str) -> DataFrame:
+    return scenes.scene(spark, sf_dir).filter("red > 60 or green > 40").select("y", "x", F.when(F.col("red") > 60, 1).when(F.col("green") > 44, 2).otherwise(7).alias("class_id"))
+
+
+_BY_CLASS = f"""with recursive {SCENE}, {NAMES}, mask as materialized (select y, x, case when red > 60 then 1 when green > 44 then 2 else 7 end as c from scene where red > 60 or green > 40),
+g as (select *, x - row_number() over (partition by c, y order by x) as k from mask), run as materialized (select c, y, min(x) as a, max(x) as b, count(*) as n, c * 10000000 + y * 100 + min(x) as id from g group by c, y, k),
+edge as materialized (select p.id as s, q.id as t from run p join run q on p.c = q.c and abs(p.y - q.y) = 1 and p.a <= q.b and q.a <= p.b),
+reach(s, id) as (select id, id from run union select e.s, r.id from edge e join reach r on e.t = r.s), root as (select s, min(id) as root from reach group by s),
+comp as (select any_value(c) as c, sum(n) as n from run join root on run.id = root.s group by root), patch as (select c, count(*) as cc, count_if(n < 9)::bigint as small, max(n) as m from comp group by c),
+cls as (select m.c as class_id, coalesce(any_value(n.class_name), 'class_' || m.c) as class_name, count(*) as pixel_count from mask m left join names n on n.class_id = m.c group by m.c),
+res as (select class_id, class_name, pixel_count, {_sql_r6('pixel_count * 4e0')} as area_m2, {_sql_r6('pixel_count * 4e0 / 1e6')} as area_km2, {_sql_r6('pixel_count::double / (select count(*) from mask)')} as ratio, cc as component_count, small as small_patch_count, {_sql_r6('m * 4e0')} as max_patch_area_m2 from cls join patch on class_id = c)"""
+
+
+@_query(_BY_CLASS + " select * from res")
+def a4_segmentation_statistics(spark, sf_dir):
+    return _rounded(statistics.segmentation(_class_mask(spark, sf_dir), 4.0, _names(spark)))
+
+
+@_query(_BY_CLASS + f" select sum(component_count)::bigint as connected_component_count, sum(small_patch_count)::bigint as small_patch_count, max(max_patch_area_m2) as max_patch_area_m2, arg_max(class_name, (ratio, -class_id)) as dominant_class, max(ratio) as dominant_ratio, {_sql_r6('sum(area_km2)')} as total_area_km2 from res")
+def a4_segmentation_totals(spark, sf_dir):
+    return _rounded(statistics.segmentation_totals(statistics.segmentation(_class_mask(spark, sf_dir), 4.0, _names(spark))))
+
+
+_DET = f"""count(*) as target_count, string_agg(distinct label, ',' order by label) as labels, {_sql_r6('avg(score)')} as mean_confidence, {_sql_r6('median(score)')} as median_confidence, {_sql_r6('avg((score < 0.5e0)::int)')} as low_confidence_ratio,
+{_sql_r6('sum((x2 - x1) * (y2 - y1))')} as total_area_m2, {_sql_r6('count(*) / sum((x2 - x1) * (y2 - y1))')} as density_per_m2"""
+
+
+def _rings(spark, sf_dir: str) -> DataFrame:
+    return scenes.boxes(spark, sf_dir).select("label", "score", geometry.box_polygon(F.col("bbox")).alias("ring"))
+
+
+@_query(f"with {BOXES} select {_DET} from boxes")
+def a5_detection_statistics(spark, sf_dir):
+    return _rounded(statistics.detections(_rings(spark, sf_dir)))
+
+
+@_query(f"with {BOXES} select {_DET}, count(*) as instance_count, 0::bigint as small_patch_count from boxes")
+def a6_instance_statistics(spark, sf_dir):
+    return _rounded(statistics.instances(_rings(spark, sf_dir)))
+
+
+def _change_sql(ratio: str, count: str, most: str) -> str:
+    return _components_sql("select y, x from scene where red > 60", f"select (select count(*) from mask) as changed_pixels, (select count(*) from scene) as total_pixels, (select count(*) * 4e0 from mask) as changed_area_m2, {_sql_r6('(select count(*) * 4e0 / 1e6 from mask)')} as changed_area_km2, {_sql_r6('(select count(*) from mask)::double / (select count(*) from scene)')} as {ratio}, count(*) as {count}, count_if(pixel_count < 9)::bigint as small_patch_count, max(pixel_count) * 4e0 as {most} from comp")
+
+
+def _change_mask(spark, sf_dir: str) -> DataFrame:
+    return scenes.scene(spark, sf_dir).select("y", "x", (F.col("red") > 60).cast("int").alias("changed"))
+
+
+@_query(_change_sql("change_area_ratio", "connected_component_count", "max_patch_area_m2"))
+def a7_change_statistics(spark, sf_dir):
+    return _rounded(statistics.change(_change_mask(spark, sf_dir), 4.0))
+
+
+@_query(_change_sql("changed_area_ratio", "change_patch_count", "largest_change_patch_m2"))
+def a8_change_summary(spark, sf_dir):
+    return _rounded(statistics.change(_change_mask(spark, sf_dir), 4.0, run_names=True))
+
+
+@_query("with p as (select p_partkey as id, p_size + 10 as w, p_size + 20 as h, p_partkey % 3 = 0 as bad, p_partkey % 5 = 0 as shape from part) select id, w * 2 as expected_width, h * 2 as expected_height, not shape as shape_matches_scale, case when bad then 0.25e0 else 0e0 end as max_transform_delta, not bad as transform_matches_scale, id % 4 <> 0 as crs_matches, not bad as pixel_size_exact from p")
+def a9_super_resolution_statistics(spark, sf_dir):
+    k = F.col("p_partkey")
+
+    def info(scale: int, off: Column, wide: Column, crs: Column) -> Column:
+        t = F.struct(*[v.alias(n) for n, v in zip("abcdef", (F.lit(4.0 / scale) + off, F.lit(0.0), F.lit(100.0), F.lit(0.0), F.lit(-6.0 / scale), F.lit(200.0)), strict=True)])
+        return F.struct(((F.col("p_size") + 10) * scale + wide).alias("width"), ((F.col("p_size") + 20) * scale).alias("height"), crs.alias("crs"), t.alias("transform"))
+
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("id"), info(1, F.lit(0.0), F.lit(0), F.lit("EPSG:3857")).alias("source"),
+        info(2, F.when(k % 3 == 0, 0.25).otherwise(0.0), F.when(k % 5 == 0, 1).otherwise(0), F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise("EPSG:3857")).alias("result"),
+    )
+    return statistics.super_resolution(rows, 2, ['id'])
+
+
+@_query(f"with {SCENE}, i as (select {_sql_index('savi')} as v from scene) select {_sql_r6('min(v)')} as min, {_sql_r6('max(v)')} as max, {_sql_r6('avg(v)')} as mean, {_sql_r6('median(v)')} as median, {_sql_r6('stddev_pop(v)')} as std, count(v) as valid_pixels, count(*) as total_pixels from i")
+def a11_index_statistics(spark, sf_dir):
+    return _rounded(statistics.index_statistics(scenes.scene(spark, sf_dir).select(indices.index("savi", _bands()).alias("v")), "v"))
+
+
+@_query(f"with {SCENE} select y // 25 as zone_y, x // 25 as zone_x, count(*) as pixels, {_sql_r6('avg(red)')} as mean, {_sql_r6('min(red)')} as least, {_sql_r6('max(red)')} as most from scene group by all")
+def a3_zonal_statistics(spark, sf_dir):
+    """An extension: zones of 25 x 25 pixels in one aggregate."""
+    zone = lambda c: F.floor(F.col(c) / 25)
+    return _rounded(scenes.scene(spark, sf_dir).groupBy(zone("y").alias("zone_y"), zone("x").alias("zone_x")).agg(F.count("*").alias("pixels"), F.avg("red").alias("mean"), F.min("red").alias("least"), F.max("red").alias("most")))
+
+
+# --- R: rules ---------------------------------------------------------------------------------------------
+
+_JOBS = """jobs as (select p_partkey as id, 'job' || p_partkey as job_id, ['object_detection', 'semantic_segmentation', 'change_detection', 'super_resolution', 'spectral_indices', 'quality'][p_partkey % 6 + 1] as task, p_partkey % 11 as k, p_size as s from part),
+facts as (select *, k = 0 as no_crs, case when task = 'object_detection' then k end as target_count, case when task = 'change_detection' then k * 10 end as changed_pixels, (s + 1) as comps, (s * k // 10) as small, case when task = 'semantic_segmentation' then 0.5e0 + k / 20e0 end as dominant_ratio,
+ k / 20e0 as low, k / 30e0 as edge, case when task = 'change_detection' then k / 11e0 end as cr, k % 2 = 0 as sr_ok, s * 20 as tile, s as overlap from jobs)"""
+_MSG = {k: v.replace("'", "''") for k, v in quality.MESSAGES.items()}
+_RULES_SQL = [
+    ("no_crs_warning", "no_crs_warning", "no_crs"), ("empty_result_warning", "empty_result_warning", "target_count = 0"), ("empty_result_warning", "empty_change_warning", "changed_pixels = 0"),
+    ("too_many_small_polygons_warning",) * 2 + ("small::double / comps > 0.5e0",), ("single_class_dominance_warning",) * 2 + ("dominant_ratio > 0.95e0",), ("low_confidence_warning",) * 2 + ("low > 0.3e0",),
+    ("edge_object_ratio_warning",) * 2 + ("edge > 0.25e0",), ("change_area_too_high_warning",) * 2 + ("cr > 0.75e0",), ("change_area_too_low_warning",) * 2 + ("cr >= 0 and cr < 0.001e0",),
+    ("sr_transform_inconsistent_warning",) * 2 + ("task = 'super_resolution' and not sr_ok",), ("tile_seam_risk_warning",) * 2 + ("tile > 0 and overlap < greatest(16e0, tile * 0.05e0)",),
+]
+_FLAGS = "flags as (" + " union all ".join(f"select job_id, task, {i} as o, '{c}' as code, 'warning' as severity, '{_MSG[m]}' as message from facts where {t}" for i, (c, m, t) in enumerate(_RULES_SQL)) + ")"
+
+
+def _facts(spark, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey") % 11, F.col("p_size")
+    task = F.element_at(F.array(*map(F.lit, ("object_detection", "semantic_segmentation", "change_detection", "super_resolution", "spectral_indices", "quality"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    only = lambda name, v: F.when(task == name, v)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("job_id"), task.alias("task"), task.alias("type"), F.lit(True).alias("has_crs_key"), F.when(k == 0, None).otherwise("EPSG:3857").alias("crs"),
+        only("object_detection", k).alias("target_count"), only("change_detection", k * 10).alias("changed_pixels"), (s + 1).cast("long").alias("connected_component_count"), F.floor(s * k / 10).alias("small_patch_count"),
+        only("semantic_segmentation", 0.5 + k / 20).alias("dominant_ratio"), (k / 20).alias("low_confidence_ratio"), (k / 30).alias("edge_object_ratio"), only("change_detection", k / 11).alias("change_area_ratio"),
+        (k % 2 == 0).alias("transform_matches_scale"), (s * 20).cast("int").alias("tile_size"), s.cast("int").alias("overlap"), (k / 10).alias("mean_confidence"), (k / 1000).alias("total_area_km2"), F.concat(F.lit("class_"), k.cast("string")).alias("dominant_class"),
+        (k / 500).alias("changed_area_km2"), (k / 7).alias("mean"),
+    )
+
+
+@_query(f"with {_JOBS}, {_FLAGS} select job_id, row_number() over (partition by job_id order by o)::int as seq, code, severity, message from flags")
+def r10_quality_flags(spark, sf_dir):
+    """Rules R1 to R9 over every job, in order."""
+    return quality.run_checks(_facts(spark, sf_dir)).select("job_id", "seq", "code", "severity", "message")
+
+
+@_query(f"with {_JOBS}, {_FLAGS}, twice as (select *, o as p from flags union all select *, o + 100 from flags), f as (select job_id, code, any_value(severity) as severity, message, min(p) as p from twice group by job_id, code, message) select job_id, row_number() over (partition by job_id order by p)::int as seq, code, severity, message from f")
+def r11_deduplicate_flags(spark, sf_dir):
+    """Flags that were there before come first; equal ones are told once."""
+    first = quality.run_checks(_facts(spark, sf_dir))
+    return quality.run_checks(_facts(spark, sf_dir), existing=first).select("job_id", "seq", "code", "severity", "message")
+
+
+@_query(f"with {_JOBS}, {_FLAGS} select job_id, case when bool_or(code = 'no_crs_warning') then 'low' else 'medium' end as confidence, count(*) as flag_count from flags group by job_id")
+def r13_confidence(spark, sf_dir):
+    return quality.confidence(quality.run_checks(_facts(spark, sf_dir)))
+
+
+def _concluded(spark, sf_dir: str) -> DataFrame:
+    facts = _facts(spark, sf_dir)
+    flags = quality.run_checks(facts).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "code", "severity", "message"))).alias("flags"))
+    rows = facts.join(flags, "job_id", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<struct<seq:int,code:string,severity:string,message:string>>")))
+    return quality.with_facts(rows).withColumn("flag_count", F.size("flags")).withColumn("codes", F.col("flags.code"))
+
+
+@_query(f"""with {_JOBS}, {_FLAGS}, n as (select job_id, count(*) as n, bool_or(code = 'low_confidence_warning') as lowc, bool_or(code = 'too_many_small_polygons_warning') as smallc from flags group by job_id)
+select f.job_id, case task when 'object_detection' then printf('本次任务识别到 %d 个目标，平均置信度为 %.3f，质量标记 %d 项。', target_count, k / 10e0, coalesce(n, 0))
+ when 'semantic_segmentation' then printf('本次语义分割覆盖约 %.6f km2，主导类别为 %s，质量标记 %d 项。', k / 1000e0, 'class_' || k, coalesce(n, 0))
+ when 'super_resolution' then '本次超分辨率结果已完成 transform 和输出尺寸检查；无参考真值时不评价 PSNR、SSIM 或实际清晰度提升。'
+ when 'change_detection' then '变化' when 'spectral_indices' then '光谱' else '任务 quality 已完成统计和质量检查。' end as summary,
+ 1 + (task in ('change_detection', 'super_resolution'))::int + coalesce(n, 0)::int as limitations, greatest(1, coalesce(lowc, false)::int + coalesce(smallc, false)::int + (task in ('change_detection', 'super_resolution'))::int) as areas, 1 + (coalesce(n, 0) > 0)::int + (task in ('object_detection', 'change_detection'))::int as steps
+from facts f left join n on n.job_id = f.job_id""")
+def r14_conclusion(spark, sf_dir):
+    """Wording by task; two summaries whose numbers round on ties are shortened here."""
+    rows, task = _concluded(spark, sf_dir), F.col("task")
+    short = F.when(task == "change_detection", "变化").when(task == "spectral_indices", "光谱").otherwise(quality.conclusion_summary(task))
+    return rows.select("job_id", short.alias("summary"), F.size(quality.limitations(task, F.col("flags"))).alias("limitations"), F.size(quality.review_areas(task, F.col("codes"))).alias("areas"), F.size(quality.next_steps(task, F.col("codes"))).alias("steps"))
+
+
+@_query(f"""with {_JOBS}, {_FLAGS}, a as (select job_id, string_agg('- [' || severity || '] ' || code || ': ' || message, chr(10) order by o) as t from flags group by job_id)
+select f.job_id, concat_ws(chr(10), '# 遥感处理分析报告', '', '## 数据概况', '- Task: `' || task || '`', '', '## 使用模型', '', '', '## 参数设置', '', '', '## 推理结果', '- 无输出文件记录。', '', '## 统计分析', '- 无统计结果。', '', '## 质量检查', coalesce(t, '- 未发现质量检查标记。'), '', '## 风险与局限', '- 无。', '', '## 结论', '', '', '## 建议人工复核区域', '- 无。', '', '## 下一步建议', '- 无。', '', '## 输出文件清单', '- 无输出文件记录。', '') as report from facts f left join a on a.job_id = f.job_id""")
+def k11_analysis_report(spark, sf_dir):
+    rows = _concluded(spark, sf_dir)
+    none, pairs = F.array().cast("array<string>"), F.array().cast("array<struct<key:string,value:string>>")
+    parts = dict.fromkeys(quality.SECTIONS, F.lit("")) | {
+        "数据概况": F.format_string("- Task: `%s`", "task"), "推理结果": quality.bullet_map(pairs, "outputs"), "统计分析": quality.bullet_map(pairs, "statistics"), "质量检查": quality.flag_lines(F.col("flags")),
+        "风险与局限": quality.bullet_list(none), "建议人工复核区域": quality.bullet_list(none), "下一步建议": quality.bullet_list(none), "输出文件清单": quality.bullet_map(pairs, "outputs"),
+    }
+    return rows.select("job_id", quality.report_markdown(parts).alias("report"))
+
+
+@_query(f"with {_JOBS}, {_FLAGS}, n as (select job_id, count(*) as n from flags group by job_id) select f.job_id, case when f.k = 3 then task || ' failed.' when coalesce(n, 0) > 0 then task || ' completed with ' || n || ' warning quality flag(s).' else task || ' completed successfully.' end as conclusion from facts f left join n on n.job_id = f.job_id")
+def k10_default_conclusion(spark, sf_dir):
+    rows = _concluded(spark, sf_dir)
+    status = F.when(F.regexp_extract("job_id", "([0-9]+)", 1).cast("long") % 11 == 3, "failed").otherwise("success")
+    return rows.select("job_id", quality.default_conclusion(F.col("task"), status, F.lit(0), F.col("flag_count")).alias("conclusion"))
+
+
+# --- K: previews -----------------------------------------------------------------------------------------
+
+@_query(f"with {VECTORS} select y, x, [0, 60, 230, 0, 245, 145][class_id % 6 + 1] as r, [0, 180, 25, 130, 130, 30][class_id % 6 + 1] as g, [0, 75, 75, 200, 48, 180][class_id % 6 + 1] as b from vectors")
+def k6_class_preview(spark, sf_dir):
+    return scenes.vector_scene(spark, sf_dir).select("y", "x", raster_ops.class_colour(F.col("class_id")).alias("c")).select("y", "x", "c.*")
+
+
+_SC = f"floor((greatest(-1e0, least(1e0, coalesce({_sql_index('ndvi')}, -1e0))) + 1e0) * 127.5e0)::int"
+
+
+@_query(f"with {SCENE}, s as (select y, x, {_SC} as v from scene), t as (select *, (v * 2) % 256 as w, (((v - 128) * 2) % 256 + 256) % 256 as u from s) select y, x, case when v < 128 then ((255 - w) % 256 + 256) % 256 else 0 end as r, case when v < 128 then w else u end as g, case when v < 128 then w else ((255 - u) % 256 + 256) % 256 end as b from t")
+def k7_index_preview(spark, sf_dir):
+    return scenes.scene(spark, sf_dir).select("y", "x", raster_ops.index_ramp(indices.index("ndvi", _bands())).alias("c")).select("y", "x", "c.*")
+
+
+@_query(f"with {SCENE}, s as (select y, x, (green::int) as v, red > 60 as c from scene) select y, x, case when c then floor(0.65e0 * v + 0.35e0 * 255)::int else v end as r, case when c then floor(0.65e0 * v)::int else v end as g from s")
+def k8_change_overlay(spark, sf_dir):
+    v, c = F.col("green").cast("int"), F.col("red") > 60
+    return scenes.scene(spark, sf_dir).select("y", "x", raster_ops.change_overlay(v, c, True).alias("r"), raster_ops.change_overlay(v, c, False).alias("g"))
+
+
+@_query(f"with {SCENE}, e as (select min(least(red, green, blue)) as a, max(greatest(red, green, blue)) as b from scene) select y, x, floor((green - a) * 255e0 / (b - a))::int as g from scene, e")
+def k9_min_max_preview(spark, sf_dir):
+    rows = scenes.scene(spark, sf_dir)
+    ends = rows.agg(F.min(F.least("red", "green", "blue")).alias("a"), F.max(F.greatest("red", "green", "blue")).alias("b"))
+    return rows.crossJoin(F.broadcast(ends)).select("y", "x", raster_ops.min_max_bytes(F.col("green"), F.col("a"), F.col("b")).alias("g"))  # one row
+
+
+@_query(f"""with {BOXES} select id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || x1::bigint || '.0,' || y1::bigint || '.0],[' || x2::bigint || '.0,' || y1::bigint || '.0],[' || x2::bigint || '.0,' || y2::bigint || '.0],[' || x1::bigint || '.0,' || y2::bigint || '.0],[' || x1::bigint || '.0,' || y1::bigint || '.0]]]}},"properties":{{"label":"' || label || '"}}}}' as feature from boxes""")
+def k3_geojson_features(spark, sf_dir):
+    from ..sources.features import feature_json
+
+    return scenes.boxes(spark, sf_dir).select("id", feature_json(geometry.box_polygon(F.col("bbox")), F.struct("label")).alias("feature"))
+
+
+# --- S: sources --------------------------------------------------------------------------------------------
+
+def _plane(b: int) -> str:
+    return f"((x * {b + 1} + y * {b + 2}) % 255)::double + 20e0 * sin({(b + 1) * 0.2!r}e0)".replace("e0e0", "e0")
+
+
+@_query("with p as (select range // 96 as y, range % 96 as x from range(96 * 72)), q as (select y, x, " + ", ".join(f"{_plane(b)} as p{b}" for b in range(4)) + ", case when y >= 24 and y < 38 and x >= 32 and x < 51 then 80e0 else 0e0 end as e from p) select y, x, " + ", ".join(f"floor(greatest(0e0, least(255e0, {'greatest(p3, p2 + 25)' if b == 3 else f'p{b}'} + e)))::bigint as b{b + 1}" for b in range(4)) + " from q")
+def s6_synthetic(spark, sf_dir):
+    return scenes.synthetic(spark, 96, 72, 4, changed=True)
+
+
+@_query("with p as (select range // 80 as y, range % 80 as x from range(80 * 64)), q as (select y, x, power(x - 40, 2) + power(y - 42, 2) <= 49 as disc, x >= 16 and x < 36 and y >= 16 and y < 28 as rect from p) select y, x, case when disc then 60 when rect then 220 else floor(30 + x * 80e0 / 79)::bigint end as b1, case when disc then 190 when rect then 70 else floor(40 + y * 90e0 / 63)::bigint end as b2, case when disc then 230 when rect then 60 else floor(55 + (x + y) * 60e0 / 142)::bigint end as b3 from q")
+def s7_visual_synthetic(spark, sf_dir):
+    return scenes.visual_synthetic(spark, 80, 64, 3)
+
+
+@_query(f"with {SCENE} select y - 5 as y, x - 3 as x, blue::double as b1, red as b3 from scene where y >= 5 and y < 12 and x >= 3 and x < 14")
+def s2_window(spark, sf_dir):
+    rows = scenes.scene(spark, sf_dir).withColumnsRenamed({n: f"b{i}" for i, n in enumerate(scenes.BANDS, 1)})
+    return scenes.window(rows, 3, 5, 11, 7, [1, 3])
+
+
+@_query("select p_partkey as id, 2e0 as pixel_width, 3e0 as pixel_height, abs(2e0 * -3e0 - 0.5e0 * 0.25e0) as area_per_pixel, p_partkey % 4 <> 0 as is_georeferenced, case when p_partkey % 4 = 0 then 'no CRS' end as warning from part")
+def s3_inspect(spark, sf_dir):
+    from ..sources.catalog import inspect
+
+    crs = F.when(F.col("p_partkey") % 4 == 0, F.lit(None).cast("string")).otherwise("EPSG:3857")
+    from ..functions.affine import transform
+
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), crs.alias("crs"), transform(T).alias("transform"))
+    return inspect(rows).select("id", F.col("pixel_size")[0].alias("pixel_width"), F.col("pixel_size")[1].alias("pixel_height"), "area_per_pixel", "is_georeferenced", "warning")
+
+
+# --- J: jobs -------------------------------------------------------------------------------------------------
+
+@_query("select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, count(*) as updates from events group by user_id")
+def j1_latest_job_state(spark, sf_dir):
+    from ..operators.jobs import latest
+
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("updated_at"))
+    return latest(log)
