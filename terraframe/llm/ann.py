@@ -84,20 +84,12 @@ class MultiIndex:
             own = (radius + 1) // SUBSTRINGS + (i < (radius + 1) % SUBSTRINGS) - 1
             if own < 0:
                 continue
-            for at in _ranges(np.flatnonzero(np.bitwise_count(keys ^ (code >> shift & mask)) <= own), edge):
-                seen[order[at]] = True
+            hit = np.bitwise_count(keys ^ (code >> shift & mask)) <= own
+            seen[order[np.repeat(hit, np.diff(edge))]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
-def _ranges(hit: np.ndarray, edge: np.ndarray) -> Iterator[slice]:
-    """Buckets that stand beside each other as one range."""
-    if len(hit):
-        new = np.flatnonzero(np.r_[True, np.diff(hit) > 1])
-        for a, b in zip(hit[new].tolist(), hit[np.append(new[1:], len(hit)) - 1].tolist(), strict=True):
-            yield slice(edge[a], edge[b + 1])
-
-
 def usable(vector: Column, length: int) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & (F.size(vector) == length) & finite & F.exists(vector, lambda x: x != 0)
@@ -136,7 +128,9 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
             index = MultiIndex(code.of(base))
             for name, vector, own in zip(queries.column("class").to_numpy(), wanted, code.of(wanted), strict=True):
                 found = index.within(own, code.radius)
-                # a sum in order of components, alike in every cell
+                score = base[found] @ vector
+                if len(found) > top + 1:  # all that may be among the best, for the sums in order of components
+                    found = found[score >= np.partition(score, -top - 1)[-top - 1] - 1e-9 * (1 + np.abs(score).max())]
                 score = (base[found] * vector).sum(axis=1)
                 best = np.lexsort((ids[found], -score))[: top + 1]
                 out.append((np.full(len(best), name), names[found[best]], ids[found[best]], score[best]))
