@@ -168,21 +168,39 @@ def _candidates(nodes: DataFrame, trees: tuple[int, int], last: bool) -> DataFra
 
     found = rows.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node").mapInArrow(run, "a binary, b binary")
     if last:
-        found = found.union(_dense(cut(_orders(nodes, (0, TREES)).groupBy("tree", "place", "comp").agg(F.count("*").alias("n"))), nodes))
+        found = found.union(_dense(nodes))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _dense(held: DataFrame, nodes: DataFrame) -> DataFrame:
+def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
+    """region, node, comp: every node once per tree with the hash of its place in it; of known regions only, if given."""
+    shared = nodes.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2").astype(np.uint64)
+            for tree in range(TREES):
+                region = np.full(len(sigs), tree + 1, np.uint64)
+                for j in ORDERS[tree]:
+                    region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j])
+                region = region.view(np.int64)
+                some = np.flatnonzero(maybe(shared.value, region & (PLACES - 1))) if shared is not None else np.arange(len(region))
+                at = pa.array(some)
+                yield pa.RecordBatch.from_arrays([pa.array(region[some]), batch.column("node").take(at), batch.column("comp").take(at)], ["region", "node", "comp"])
+
+    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, node binary, comp long")
+
+
+def _dense(nodes: DataFrame) -> DataFrame:
     """Of regions that are large even at full depth: rows outside the most frequent component, against all others."""
-    region = held.groupBy("tree", "place").agg(F.sum("n").alias("rows"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    region = cut(region.filter((F.col("rows") > REGION) & (F.col("comps") > 1)).select(F.col("tree").alias("t"), F.col("place").alias("p"), "main"))
-    empty = nodes.sparkSession.createDataFrame([], "a binary, b binary")
-    if region.isEmpty():
-        return empty
-    rows = _orders(nodes, (0, TREES)).join(region, (F.col("tree") == F.col("t")) & (F.col("place") == F.col("p"))).select("tree", "place", "node", "comp", "main")
-    rows = cut(rows)
-    few = rows.filter(F.col("comp") != F.col("main")).select(F.col("tree").alias("t"), F.col("place").alias("p"), F.col("node").alias("a"), F.col("comp").alias("c"))
-    return rows.join(few, (F.col("tree") == F.col("t")) & (F.col("place") == F.col("p")) & (F.col("comp") != F.col("c"))).select("a", F.col("node").alias("b"))
+    large = _regions(nodes).groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    large = cut(large.filter((F.col("n") > REGION) & (F.col("a") != F.col("b"))).select(F.col("region").alias("r")))
+    if large.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "a binary, b binary")
+    rows = cut(_regions(nodes, bitmap(large, F.col("r").bitwiseAND(F.lit(PLACES - 1)))).join(large, F.col("region") == F.col("r"), "left_semi"))
+    main = rows.groupBy("region", "comp").count().groupBy(F.col("region").alias("r")).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    few = rows.join(main, (F.col("region") == F.col("r")) & (F.col("comp") != F.col("main"))).select(F.col("region").alias("s"), F.col("node").alias("a"), F.col("comp").alias("c"))
+    return rows.join(cut(few), (F.col("region") == F.col("s")) & (F.col("comp") != F.col("c"))).select("a", F.col("node").alias("b"))
 
 
 def _place(node: str):
@@ -238,7 +256,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         last = trees[1] == TREES
         if roots is not None:
             now = roots.select(F.col("node").alias("n"), F.xxhash64("root").alias("c"))
-            now = nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c")
+            now = cut(nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c"))
         else:
             now = nodes
         pairs = cut(_candidates(now, trees, last))
