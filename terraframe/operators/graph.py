@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
-import itertools
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_cuts = itertools.count(1)
+#: Seconds between two clearings: often beside long steps, hardly ever beside short ones.
+CLEARED_EVERY = 3.0
+_cleared = 0.0
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,15 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     kept = df.checkpoint(eager=True)._jdf
     session = df.sparkSession
     out = DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
-    if next(_cuts) % 2 == 0:
+    if time.monotonic() - _cleared >= CLEARED_EVERY:
         release(out)
     return out
 
 
 def release(df: DataFrame) -> None:
     """Lets Spark delete what finished steps left, now and not when the driver's memory is full."""
+    global _cleared
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    _cleared = time.monotonic()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

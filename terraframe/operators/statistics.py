@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shoelace_area
@@ -46,8 +46,8 @@ def feature_statistics(features: DataFrame, score: str = "score", label: str = "
 
 def segmentation(mask: DataFrame, area: float, names: DataFrame | None = None) -> DataFrame:
     """By class, 0 too: pixels, areas, share, name, components, small patches and the largest one's area."""
-    total = mask.agg(F.count("*").alias("total"))
-    counts = mask.groupBy("class_id").agg(F.count("*").alias("pixel_count")).crossJoin(F.broadcast(total))  # one row
+    # the window is over classes, of which there are few
+    counts = mask.groupBy("class_id").agg(F.count("*").alias("pixel_count")).withColumn("total", F.sum("pixel_count").over(Window.partitionBy()))
     patches = components(mask, ["class_id"]).groupBy("class_id").agg(F.count("*").alias("component_count"), F.count_if(F.col("pixel_count") < SMALL_PATCH).alias("small_patch_count"), F.max("pixel_count").alias("m"))
     rows = counts.join(patches, "class_id")
     rows = rows.join(names.select("class_id", "class_name"), "class_id", "left") if names is not None else rows.withColumn("class_name", F.lit(None).cast("string"))
@@ -68,11 +68,12 @@ def segmentation_totals(by_class: DataFrame) -> DataFrame:
 def change(mask: DataFrame, area: float, run_names: bool = False) -> DataFrame:
     """One row of a change mask (y, x, changed): pixels, areas, share and patches; `run_names` as a run names them."""
     counts = mask.agg(F.count_if(F.col("changed") > 0).alias("changed_pixels"), F.count("*").alias("total_pixels"))
-    patches = components(mask.filter(F.col("changed") > 0)).agg(F.count("*").alias("n"), F.count_if(F.col("pixel_count") < SMALL_PATCH).alias("s"), F.coalesce(F.max("pixel_count"), F.lit(0)).alias("m"))
+    patches = components(mask.filter(F.col("changed") > 0)).agg(F.count("*").alias("n"), F.count_if(F.col("pixel_count") < SMALL_PATCH).alias("s"), F.coalesce(F.max("pixel_count"), F.lit(0)).alias("m")).collect()[0]
+    n, s, m = (F.lit(patches[c]).cast("long") for c in "nsm")
     names = ("changed_area_ratio", "change_patch_count", "largest_change_patch_m2") if run_names else ("change_area_ratio", "connected_component_count", "max_patch_area_m2")
-    return counts.crossJoin(patches).select(  # one row each
+    return counts.select(
         "changed_pixels", "total_pixels", (F.col("changed_pixels") * area).alias("changed_area_m2"), (F.col("changed_pixels") * area / 1e6).alias("changed_area_km2"),
-        F.when(F.col("total_pixels") > 0, F.col("changed_pixels") / F.col("total_pixels")).otherwise(0.0).alias(names[0]), F.col("n").alias(names[1]), F.col("s").alias("small_patch_count"), (F.col("m") * area).alias(names[2]),
+        F.when(F.col("total_pixels") > 0, F.col("changed_pixels") / F.col("total_pixels")).otherwise(0.0).alias(names[0]), n.alias(names[1]), s.alias("small_patch_count"), (m * area).alias(names[2]),
     )
 
 

@@ -325,7 +325,8 @@ def m13_ssim(spark, sf_dir):
 def m17_metrics(spark, sf_dir):
     """The bundle; the learned metric has no backend here, which the flag says."""
     rows = _paired(spark, sf_dir)
-    return _rounded(raster_ops.psnr(rows, "a", "b").crossJoin(raster_ops.ssim(rows, "band", "a", "b"))).withColumn("flag", F.lit("lpips_unavailable"))  # one row each
+    ssim = raster_ops.ssim(rows, "band", "a", "b").collect()[0]["ssim"]
+    return _rounded(raster_ops.psnr(rows, "a", "b").withColumn("ssim", F.lit(ssim).cast("double"))).withColumn("flag", F.lit("lpips_unavailable"))
 
 
 # --- A: statistics --------------------------------------------------------------------------------------
@@ -539,8 +540,8 @@ def k8_change_overlay(spark, sf_dir):
 @_query(f"with {SCENE}, e as (select min(least(red, green, blue)) as a, max(greatest(red, green, blue)) as b from scene) select y, x, floor((green - a) * 255e0 / (b - a))::int as g from scene, e")
 def k9_min_max_preview(spark, sf_dir):
     rows = scenes.scene(spark, sf_dir)
-    ends = rows.agg(F.min(F.least("red", "green", "blue")).alias("a"), F.max(F.greatest("red", "green", "blue")).alias("b"))
-    return rows.crossJoin(F.broadcast(ends)).select("y", "x", raster_ops.min_max_bytes(F.col("green"), F.col("a"), F.col("b")).alias("g"))  # one row
+    least, most = rows.agg(F.min(F.least("red", "green", "blue")), F.max(F.greatest("red", "green", "blue"))).collect()[0]
+    return rows.select("y", "x", raster_ops.min_max_bytes(F.col("green"), F.lit(least), F.lit(most)).alias("g"))
 
 
 @_query(f"""with {BOXES} select id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || x1::bigint || '.0,' || y1::bigint || '.0],[' || x2::bigint || '.0,' || y1::bigint || '.0],[' || x2::bigint || '.0,' || y2::bigint || '.0],[' || x1::bigint || '.0,' || y2::bigint || '.0],[' || x1::bigint || '.0,' || y1::bigint || '.0]]]}},"properties":{{"label":"' || label || '"}}}}' as feature from boxes""")
