@@ -18,7 +18,8 @@ neighbours apart in that one order alone.
 
 Defined results: A-Z count as a-z; a document of fewer words than a shingle has its sequence as
 one; a document without words (or null) has an empty set, is linked with nothing and kept; equal
-sets are one node, however many documents have them; rows of one key and text are all kept or none.
+sets are one node, however many documents have them. A key names a document: rows that share a key
+share its fate in `deduplicate`, and rows without a key are never dropped there.
 """
 
 from __future__ import annotations
