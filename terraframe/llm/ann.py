@@ -19,7 +19,6 @@ the lesser id; fewer candidates than TOP give as many rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

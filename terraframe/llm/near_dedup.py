@@ -174,34 +174,46 @@ def _candidates(nodes: DataFrame, trees: tuple[int, int], last: bool) -> DataFra
 
 
 def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
-    """region, node, comp: every node once per tree with the hash of its place in it; of known regions only, if given."""
+    """region, comp: every node once per tree with the hash of its place in it. Of known regions, if given, also tree, node and all its regions."""
     shared = nodes.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2").astype(np.uint64)
+            every = np.empty((len(sigs), TREES), np.int64)
             for tree in range(TREES):
                 region = np.full(len(sigs), tree + 1, np.uint64)
                 for j in ORDERS[tree]:
                     region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j])
-                region = region.view(np.int64)
-                some = np.flatnonzero(maybe(shared.value, region & (PLACES - 1))) if shared is not None else np.arange(len(region))
+                every[:, tree] = region.view(np.int64)
+            for tree in range(TREES):
+                region = every[:, tree]
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(region), batch.column("comp")], ["region", "comp"])
+                    continue
+                some = np.flatnonzero(maybe(shared.value, region & (PLACES - 1)))
                 at = pa.array(some)
-                yield pa.RecordBatch.from_arrays([pa.array(region[some]), batch.column("node").take(at), batch.column("comp").take(at)], ["region", "node", "comp"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * TREES, pa.int32()), pa.array(every[some].ravel()))
+                columns = [pa.array(region[some]), batch.column("comp").take(at), pa.array(np.full(len(some), tree), pa.int32()), batch.column("node").take(at), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["region", "comp", "tree", "node", "all"])
 
-    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, node binary, comp long")
+    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, comp long" if shared is None else "region long, comp long, tree int, node binary, all array<long>")
 
 
 def _dense(nodes: DataFrame) -> DataFrame:
-    """Of regions that are large even at full depth: rows outside the most frequent component, against all others."""
+    """Of regions that are large even at full depth: rows outside the most frequent component, against all others.
+
+    Copies of one text share a region in most trees; a pair is made in the first tree alone that has it in a region.
+    """
     large = _regions(nodes).groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
     large = cut(large.filter((F.col("n") > REGION) & (F.col("a") != F.col("b"))).select(F.col("region").alias("r")))
     if large.isEmpty():
         return nodes.sparkSession.createDataFrame([], "a binary, b binary")
     rows = cut(_regions(nodes, bitmap(large, F.col("r").bitwiseAND(F.lit(PLACES - 1)))).join(large, F.col("region") == F.col("r"), "left_semi"))
     main = rows.groupBy("region", "comp").count().groupBy(F.col("region").alias("r")).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    few = rows.join(main, (F.col("region") == F.col("r")) & (F.col("comp") != F.col("main"))).select(F.col("region").alias("s"), F.col("node").alias("a"), F.col("comp").alias("c"))
-    return rows.join(cut(few), (F.col("region") == F.col("s")) & (F.col("comp") != F.col("c"))).select("a", F.col("node").alias("b"))
+    few = rows.join(main, (F.col("region") == F.col("r")) & (F.col("comp") != F.col("main"))).select(F.col("region").alias("s"), F.col("node").alias("a"), F.col("comp").alias("c"), F.col("all").alias("others"))
+    earlier = F.arrays_overlap(F.slice("all", F.lit(1), F.col("tree")), F.slice("others", F.lit(1), F.col("tree")))
+    return rows.join(cut(few), (F.col("region") == F.col("s")) & (F.col("comp") != F.col("c")) & ~earlier).select("a", F.col("node").alias("b"))
 
 
 def _place(node: str):
@@ -264,9 +276,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         if pairs.isEmpty():
             continue
         found = cut(_confirmed(pairs, docs, text, width, percent))
+        if found.isEmpty():
+            continue
         links = found if links is None else cut(links.union(found))
-        if not links.isEmpty():
-            roots = connected_components(links, "a", "b")
+        roots = connected_components(links, "a", "b")
     out = rows.select(key, F.col("__n").alias("n_shingles"), "__set")
     if roots is None:
         least = nodes.select(F.col("node").alias("__node"), F.col("least").alias("__least"))
