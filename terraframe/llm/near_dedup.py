@@ -36,6 +36,8 @@ from .kernels import mix, pieces, row_bounds, shingles, text_buffers
 from .tables import PLACES, bitmap, cut, maybe
 
 HASHES, TREES, DEPTH, SHALLOW, REGION = 64, 32, 8, 4, 32
+#: Sets of a cell in which dense regions are compared.
+FEW, MANY = 512, 2048
 #: Trees of each round.
 ROUNDS = ((0, 2), (2, 8), (8, TREES))
 
@@ -168,52 +170,25 @@ def _candidates(nodes: DataFrame, trees: tuple[int, int], last: bool) -> DataFra
             held = tuple(x[-REGION:] for x in own)
 
     found = rows.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node").mapInArrow(run, "a binary, b binary")
-    if last:
-        found = found.union(_dense(nodes))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
-    """region, comp: every node once per tree with the hash of its place in it. Of known regions, if given, also tree, node and all its regions."""
+    """region, node, comp: every node once per tree with the hash of its place in it; of known regions only, if given."""
     shared = nodes.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2").astype(np.uint64)
-            every = np.empty((len(sigs), TREES), np.int64)
             for tree in range(TREES):
                 region = np.full(len(sigs), tree + 1, np.uint64)
                 for j in ORDERS[tree]:
                     region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j])
-                every[:, tree] = region.view(np.int64)
-            for tree in range(TREES):
-                region = every[:, tree]
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(region), batch.column("comp")], ["region", "comp"])
-                    continue
-                some = np.flatnonzero(maybe(shared.value, region & (PLACES - 1)))
-                at = pa.array(some)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * TREES, pa.int32()), pa.array(every[some].ravel()))
-                columns = [pa.array(region[some]), batch.column("comp").take(at), pa.array(np.full(len(some), tree), pa.int32()), batch.column("node").take(at), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["region", "comp", "tree", "node", "all"])
-
-    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, comp long" if shared is None else "region long, comp long, tree int, node binary, all array<long>")
-
-
-def _dense(nodes: DataFrame) -> DataFrame:
-    """Of regions that are large even at full depth: rows outside the most frequent component, against all others.
+                region = region.view(np.int64)
+                at = pa.array(np.flatnonzero(maybe(shared.value, region & (PLACES - 1))) if shared is not None else np.arange(len(region)))
+                yield pa.RecordBatch.from_arrays([pa.array(region).take(at), batch.column("node").take(at), batch.column("comp").take(at)], ["region", "node", "comp"])
 
-    Copies of one text share a region in most trees; a pair is made in the first tree alone that has it in a region.
-    """
-    large = _regions(nodes).groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    large = cut(large.filter((F.col("n") > REGION) & (F.col("a") != F.col("b"))).select(F.col("region").alias("r")))
-    if large.isEmpty():
-        return nodes.sparkSession.createDataFrame([], "a binary, b binary")
-    rows = cut(_regions(nodes, bitmap(large, F.col("r").bitwiseAND(F.lit(PLACES - 1)))).join(large, F.col("region") == F.col("r"), "left_semi"))
-    main = rows.groupBy("region", "comp").count().groupBy(F.col("region").alias("r")).agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    few = rows.join(main, (F.col("region") == F.col("r")) & (F.col("comp") != F.col("main"))).select(F.col("region").alias("s"), F.col("node").alias("a"), F.col("comp").alias("c"), F.col("all").alias("others"))
-    earlier = F.arrays_overlap(F.slice("all", F.lit(1), F.col("tree")), F.slice("others", F.lit(1), F.col("tree")))
-    return rows.join(cut(few), (F.col("region") == F.col("s")) & (F.col("comp") != F.col("c")) & ~earlier).select("a", F.col("node").alias("b"))
+    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, node binary, comp long")
 
 
 def _place(node: str):
@@ -259,6 +234,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent
     return both.select("a", "b")
 
 
+def _dense_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+    """Links that regions hide which are large even at full depth and hold more than one component.
+
+    Regions that share a set form a cluster; in it, sets outside the most frequent component are compared
+    with all others, on full sets, in cells of at most some FEW by MANY sets. A cell gives one link for
+    each set and component that it is linked with, so what is emitted doesn't grow with the pairs.
+    """
+    large = _regions(nodes).groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    large = cut(large.filter((F.col("n") > REGION) & (F.col("a") != F.col("b"))).select(F.col("region").alias("r")))
+    if large.isEmpty():
+        return None
+    rows = cut(_regions(nodes, bitmap(large, F.col("r").bitwiseAND(F.lit(PLACES - 1)))).join(large, F.col("region") == F.col("r"), "left_semi"))
+    first = rows.groupBy(F.col("node").alias("f")).agg(F.min("region").alias("m"))
+    roots = connected_components(rows.join(first, F.col("node") == F.col("f")).select("region", "m"), "region", "m").select(F.col("node").alias("r"), "root")
+    # a region that shares its sets with no other is a cluster by itself
+    rows = rows.join(roots, F.col("region") == F.col("r"), "left").select(F.coalesce("root", "region").alias("cluster"), "node", "comp")
+    rows = cut(rows.distinct())
+    counts = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    counts = counts.select(F.col("cluster").alias("k"), "main", blocks(F.col("all") - F.col("most"), FEW).alias("few"), blocks(F.col("all"), MANY).alias("many"))
+    sets = _sets(docs, text, width, rows.select("node").distinct()).select(F.col("node").alias("s"), "items")
+    rows = cut(rows.join(counts, F.col("cluster") == F.col("k")).join(sets, F.col("node") == F.col("s")).select("cluster", "node", "comp", "items", "main", "few", "many"))
+    own = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.filter(F.col("comp") != F.col("main")).select("cluster", "node", "comp", "items", own("few", "few").alias("x"), every("many").alias("y"))
+    there = rows.select("cluster", "node", "comp", "items", own("many", "many").alias("y"), every("few").alias("x"))
+
+    def cell(few: pa.Table, many: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(few) and len(many):
+            items = many.column("items").combine_chunks()
+            values, size = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            comps, names = many.column("comp").to_numpy(), many.column("node").to_pylist()
+            for node, comp, mine in zip(few.column("node").to_pylist(), few.column("comp").to_pylist(), few.column("items").combine_chunks(), strict=True):
+                mine = np.sort(np.array(mine.values.to_numpy()))
+                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                both = np.bincount(row[mine[at] == values], minlength=len(size))
+                hit = np.flatnonzero((100 * both >= percent * (len(mine) + size - both)) & (comps != comp))
+                _, once = np.unique(comps[hit], return_index=True)
+                for i in hit[once].tolist():
+                    a.append(min(node, names[i]))
+                    b.append(max(node, names[i]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return asked.groupBy("cluster", "x", "y").cogroup(there.groupBy("cluster", "x", "y")).applyInArrow(cell, "a binary, b binary").distinct()
+
+
+def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The nodes with the component that links so far put them in."""
+    if roots is None:
+        return nodes
+    now = roots.select(F.col("node").alias("n"), F.xxhash64("root").alias("c"))
+    return cut(nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c"))
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id (the least key reachable) and kept of every row."""
     rows = cut(scan(docs, key, text, width))
@@ -267,12 +298,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     links, roots = None, None
     for trees in ROUNDS:
         last = trees[1] == TREES
-        if roots is not None:
-            now = roots.select(F.col("node").alias("n"), F.xxhash64("root").alias("c"))
-            now = cut(nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c"))
-        else:
-            now = nodes
-        pairs = cut(_candidates(now, trees, last))
+        pairs = cut(_candidates(_with_components(nodes, roots), trees, last))
         if pairs.isEmpty():
             continue
         found = cut(_confirmed(pairs, docs, text, width, percent))
@@ -280,6 +306,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             continue
         links = found if links is None else cut(links.union(found))
         roots = connected_components(links, "a", "b")
+    hidden = _dense_links(_with_components(nodes, roots), docs, text, width, percent)
+    hidden = cut(hidden) if hidden is not None else None
+    if hidden is not None and not hidden.isEmpty():
+        roots = connected_components(hidden if links is None else links.union(hidden), "a", "b")
     out = rows.select(key, F.col("__n").alias("n_shingles"), "__set")
     if roots is None:
         least = nodes.select(F.col("node").alias("__node"), F.col("least").alias("__least"))

@@ -218,3 +218,16 @@ def test_pipeline_stages(spark, small, texts):
     assert abs(sum(took.values()) - sum(size.values())) < 0.1 * sum(size.values()) and all(took[s] <= 3 * size[s] for s in took)
     pieces = corpus_pipeline.pack_sequences(spark, mixed, small).toPandas()
     assert (pieces.piece == 0).sum() == mixed.count()
+
+
+def test_dense_regions_alone_give_true_links(spark):
+    """Without links found before, cells of copies give only links that hold, and enough to connect the copies."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.scan(docs, "doc_id", "text", 4)
+    nodes = found.selectExpr("__set as node", "__sig as sig", "xxhash64(__set) as comp", "doc_id").cache()
+    links = near_dedup._dense_links(nodes.drop("doc_id"), docs, "text", 4, 80).collect()
+    ids, own = {bytes(r.node): r.doc_id for r in nodes.collect()}, sets(dict(rows), 4)
+    assert links and all(100 * len(x & y) >= 80 * len(x | y) for x, y in ((own[ids[bytes(r.a)]], own[ids[bytes(r.b)]]) for r in links))
+    assert len({ids[bytes(n)] for r in links for n in (r.a, r.b)}) > 100
