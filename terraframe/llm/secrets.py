@@ -50,14 +50,16 @@ CANDIDATE = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, chars: bytes, least: int) -> np.ndarray:
-    """Rows with a run of at least `least` bytes of `chars`."""
+    """Rows with a run of at least `least` bytes of `chars`; a run ends where its row ends."""
     wanted = np.zeros(256, bool)
     wanted[list(chars)] = True
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = wanted[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    # a run may go over the end of a row: then the row is looked at in vain, no more
+    inside = wanted[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | cut[1:-1]
+    ends[:-1] &= ~inside[1:] | cut[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return np.searchsorted(offsets, start[end - start >= least], side="right") - 1
 
 
@@ -90,10 +92,7 @@ def _scan(batch: pa.RecordBatch, text: str) -> list[list[tuple[str, int, int, st
     for first, last in pieces(offsets, 8 << 20):
         part, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         for chars, least in ((HEX_BYTES, LEAST["hex"]), (TOKEN_BYTES, LEAST["owned"])):
-            start = _runs(part, at, chars, least)
-            rows.update((start + first).tolist())
-            # a run that goes on into later rows
-            rows.update(x for x in (start + first + 1).tolist() if x < len(column))
+            rows.update((_runs(part, at, chars, least) + first).tolist())
     flat = pc.fill_null(column, "")
     for seen in (pc.match_substring(flat, "AKIA"), pc.match_substring_regex(flat, HINT)):
         rows.update(np.flatnonzero(seen.to_numpy(zero_copy_only=False)).tolist())

@@ -101,6 +101,21 @@ def test_a_failing_match_is_consumed():
     assert secrets.find("ſecret=abcdefghijklm") == []
 
 
+def test_every_row_is_scanned_where_texts_are_one_token(spark):
+    hexes = [f"{i:x}" * 40 for i in range(1, 11)]
+    tokens = [f"{c}x9Kq2Lm7Pw4Rt8Vb3Nc6" for c in "ABCDEFGH"]
+    texts = [*hexes, "word", "", None, hexes[0], None, "", hexes[1] + " word", *tokens]
+    rows = [(i, t, f"owner{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    found = by_id(secrets.scan_secrets(docs))
+    left = by_id(secrets.redact(docs))
+    for i, text in enumerate(texts):
+        kinds = [k for k, *_ in secrets.find(text or "")]
+        assert (found[i]["__n_hex"], found[i]["__n_owned"]) == (kinds.count("hex"), kinds.count("owned"))
+        assert left[i].text == (text if not kinds else "<secret> word" if " " in text else "<secret>")
+    assert sum(r["__n_hex"] for r in found.values()) == 12 and sum(r["__n_owned"] for r in found.values()) == len(tokens)
+
+
 def test_quality(docs, none, spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (7, 0, 1), (10, 1, 0), (None, 1, 1), (8, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.assess(docs, labels).collect()
