@@ -5,13 +5,16 @@ all sets by DEPTH of these hashes, one after another; sets whose hashes have a l
 stand beside each other. Candidates are neighbours in such an order with a common prefix of at least
 SHALLOW hashes: each set's next one, and all pairs of a region, the sets with one prefix, where the
 depth of that prefix adapts to the place: the shallowest at which the region has at most REGION
-sets. Regions that have more even at full depth are compared beyond neighbours wherever they hold
-more than one component: all rows outside the most frequent component against all others.
+sets. Regions that have more at SHALLOW hashes are compared as a whole wherever they still hold more
+than one component: all sets outside the most frequent component against all others, so no pair with
+a common prefix of SHALLOW hashes or more is left out for its region's size.
 
 Orders are taken in rounds. Candidates are confirmed on full sets, links give components, and later
 rounds only propose pairs between different components, so a large group of copies costs a few
-comparisons per copy and not one per pair. Two sets of similarity 0.8 share SHALLOW hashes in one
-order with probability 0.41, in at least one of the 32 with all but some 1e-6.
+comparisons per copy and not one per pair. The last round takes all trees, those of earlier rounds
+again, as only it compares regions. Two sets of similarity 0.8 share SHALLOW hashes in one order with
+probability 0.41; orders share hashes, so they aren't independent: of 2,000,000 simulated pairs, each
+hash equal with probability 0.8, 205 (0.010 %) share them in none of the 32, with 0.85 10 (0.0005 %).
 
 Sorting is by range over complete keys, so no group is hot. A range partition's border cuts two
 neighbours apart in that one order alone.
@@ -38,8 +41,8 @@ from .tables import PLACES, bitmap, cut, maybe
 HASHES, TREES, DEPTH, SHALLOW, REGION = 64, 32, 8, 4, 32
 #: Sets of a cell in which dense regions are compared.
 FEW, MANY = 512, 2048
-#: Trees of each round.
-ROUNDS = ((0, 2), (2, 8), (8, TREES))
+#: Trees of each round; the last one compares regions, in all trees.
+ROUNDS = ((0, 2), (2, 8), (0, TREES))
 
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,7 +177,7 @@ def _candidates(nodes: DataFrame, trees: tuple[int, int], last: bool) -> DataFra
 
 
 def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
-    """region, node, comp: every node once per tree with the hash of its place in it; of known regions only, if given."""
+    """region, node, comp: every node once per tree with the hash of its first SHALLOW hashes there; of known regions only, if given."""
     shared = nodes.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,7 @@ def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
             sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2").astype(np.uint64)
             for tree in range(TREES):
                 region = np.full(len(sigs), tree + 1, np.uint64)
-                for j in ORDERS[tree]:
+                for j in ORDERS[tree][:SHALLOW]:
                     region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j])
                 region = region.view(np.int64)
                 at = pa.array(np.flatnonzero(maybe(shared.value, region & (PLACES - 1))) if shared is not None else np.arange(len(region)))
@@ -235,7 +238,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent
 
 
 def _dense_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
-    """Links that regions hide which are large even at full depth and hold more than one component.
+    """Links that regions hide which are large at SHALLOW hashes and hold more than one component.
 
     Regions that share a set form a cluster; in it, sets outside the most frequent component are compared
     with all others, on full sets, in cells of at most some FEW by MANY sets. A cell gives one link for

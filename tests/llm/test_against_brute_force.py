@@ -231,3 +231,33 @@ def test_dense_regions_alone_give_true_links(spark):
     ids, own = {bytes(r.node): r.doc_id for r in nodes.collect()}, sets(dict(rows), 4)
     assert links and all(100 * len(x & y) >= 80 * len(x | y) for x, y in ((own[ids[bytes(r.a)]], own[ids[bytes(r.b)]]) for r in links))
     assert len({ids[bytes(n)] for r in links for n in (r.a, r.b)}) > 100
+
+
+def crafted(spark, rows, tree):
+    """Nodes of the texts whose signatures agree in the tree's first SHALLOW hashes and in nothing else."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.scan(docs, "doc_id", "text", 4).collect()
+    sigs = np.random.default_rng(5).permutation(1 << 16)[: len(found) * near_dedup.HASHES].reshape(len(found), -1)
+    sigs[:, near_dedup.ORDERS[tree][: near_dedup.SHALLOW]] = 7
+    made = [(bytes(r["__set"]), bytearray(x.astype(">u2").tobytes()), i) for i, (r, x) in enumerate(zip(found, sigs, strict=True))]
+    return docs, spark.createDataFrame(made, "node binary, sig binary, comp long"), {m[0]: r.doc_id for m, r in zip(made, found, strict=True)}
+
+
+@pytest.mark.parametrize("tree", [0, 9])
+def test_a_large_shallow_region_is_compared_as_a_whole(spark, tree):
+    """Pairs of copies among far more sets of one short prefix, which agree in no further hash."""
+    rows = []
+    for i in range(3 * near_dedup.REGION):
+        text = [f"w{i}_{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "more"]))]
+    docs, nodes, ids = crafted(spark, rows, tree)
+    links = near_dedup._dense_links(nodes, docs, "text", 4, 80)
+    assert {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(3 * near_dedup.REGION)}
+
+
+@pytest.mark.parametrize("tree", [0, 5, 9])
+def test_every_tree_compares_its_small_regions(spark, tree):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(9))) for i in range(12)]
+    _, nodes, ids = crafted(spark, rows, tree)
+    pairs = near_dedup._candidates(nodes.coalesce(1), near_dedup.ROUNDS[-1], True).collect()
+    assert len({tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs}) == 12 * 11 // 2
