@@ -5,7 +5,8 @@ iterative quantisation, on a sample of at most SAMPLE vectors; so is the Hamming
 the share COVERED of true neighbours within the sample (in all vectors, neighbours are nearer). A
 code is split into substrings, each indexed: two codes within the radius agree in at least one
 substring up to that substring's part of it, by the pigeonhole principle. Probing the substrings
-gives every code within the radius; those are reranked by inner products in double precision.
+gives every code within the radius; those are reranked by inner products in double precision. Queries
+that find fewer than TOP + 1 vectors so, over all rows, are searched once more without a radius.
 
 The query set is stated (ids divisible by QUERY_EVERY), so it meets all rows in blocks: cells of at
 most some QUERY_BLOCK queries and ROW_BLOCK rows, each with its own index; a cell's best are merged
@@ -112,21 +113,19 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
         return df.sparkSession.createDataFrame([], schema)
     shared = df.sparkSession.sparkContext.broadcast(Code(_matrix(sample)))
     count = classes.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()[0]
-    row_blocks, query_blocks = -(-count["n"] // ROW_BLOCK), max(1, -(-count["q"] // QUERY_BLOCK))
+    row_blocks = -(-count["n"] // ROW_BLOCK)
     block = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "class"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    there = classes.select("class", "v", "least", block("row", row_blocks).alias("r"), every(query_blocks).alias("q"))
-    asked = classes.filter("asks").select("class", "v", block("query", query_blocks).alias("q"), every(row_blocks).alias("r"))
 
-    def cell(queries: pa.Table, table: pa.Table) -> pa.Table:
+    def cell(queries: pa.Table, table: pa.Table, all_rows: bool) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(table):
             code = shared.value
             base, ids, names = _matrix(table.column("v").combine_chunks()), table.column("least").to_numpy(), table.column("class").to_numpy()
             wanted = _matrix(queries.column("v").combine_chunks())
-            index = MultiIndex(code.of(base))
+            index = None if all_rows else MultiIndex(code.of(base))
             for name, vector, own in zip(queries.column("class").to_numpy(), wanted, code.of(wanted), strict=True):
-                found = index.within(own, code.radius)
+                found = np.arange(len(base)) if all_rows else index.within(own, code.radius)
                 score = base[found] @ vector
                 if len(found) > top + 1:  # all that may be among the best, for the sums in order of components
                     found = found[score >= np.partition(score, -top - 1)[-top - 1] - 1e-9 * (1 + np.abs(score).max())]
@@ -136,9 +135,21 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
         return pa.table({n: pa.array(x) for n, x in zip(("query", "class", "least", "score"), columns, strict=True)})
 
-    found = asked.groupBy("r", "q").cogroup(there.groupBy("r", "q")).applyInArrow(cell, "query long, class long, least long, score double")
-    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "least")
-    found = cut(found.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= top + 1).select("query", "class", "score"))
+    def nearest(wanted: DataFrame, n: int, all_rows: bool) -> DataFrame:
+        """query, class and score of the best of each of n wanted classes: those within the radius, or all."""
+        query_blocks = max(1, -(-n // QUERY_BLOCK))
+        there = classes.select("class", "v", "least", block("row", row_blocks).alias("r"), every(query_blocks).alias("q"))
+        asked = wanted.select("class", "v", block("query", query_blocks).alias("q"), every(row_blocks).alias("r"))
+        cells = asked.groupBy("r", "q").cogroup(there.groupBy("r", "q"))
+        found = cells.applyInArrow(lambda x, y: cell(x, y, all_rows), "query long, class long, least long, score double")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+        return cut(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("query", "class", "score"))
+
+    found = nearest(classes.filter("asks"), count["q"], False)
+    enough = found.groupBy("query").count().filter(F.col("count") >= min(top + 1, count["n"]))
+    short = cut(classes.filter("asks").join(enough, F.col("class") == F.col("query"), "left_anti").select("class", "v"))
+    if n_short := short.count():
+        found = found.join(enough, "query", "left_semi").union(nearest(short, n_short, True))
     least = Window.partitionBy("member").orderBy("id")
     members = rows.select(F.col("class").alias("member"), "id").withColumn("n", F.row_number().over(least)).filter(F.col("n") <= top + 1)
     each = found.join(members, F.col("class") == F.col("member")).select("query", (-F.col("score")).alias("s"), "id")

@@ -1,5 +1,6 @@
 """Each operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,28 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_each_query_gets_as_many_neighbours_as_there_are(spark, grouped):
+    """Few vectors, and scattered ones beside tight groups that make the radius small: short lists are searched exactly."""
+    rng = np.random.default_rng(3)
+    scattered = rng.normal(size=(60 if grouped else 21, 64))
+    groups = np.repeat(rng.normal(size=(38, 64)), 50, axis=0) + 1e-4 * rng.normal(size=(1900, 64))
+    vectors = np.concatenate([scattered, groups]) if grouped else scattered
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    lists = {}
+    for r in ann.search(df, query_every=3).collect():
+        lists.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    asked = range(0, len(vectors), 3)
+    assert set(lists) == set(asked)
+    for q, own in lists.items():
+        assert [rank for rank, _ in sorted(own)] == list(range(1, min(ann.TOP, len(vectors) - 1) + 1))
+    if not grouped:
+        for q in asked:
+            score = vectors @ vectors[q]
+            score[q] = -np.inf
+            assert [v for _, v in sorted(lists[q])] == np.argsort(-score)[:20].tolist()
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de"), ("allow", "org/fr/")]
     urls = {
