@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terraframe.functions import affine, geometry, indices, tiles
 from terraframe.operators import components, jobs, nms, quality, raster_ops, statistics, stitching
+from terraframe.plans import registry
 from terraframe.sources import catalog, features, npz, scenes
 
 
@@ -148,3 +149,16 @@ def test_an_oriented_box_needs_five_values(spark):
 
     with pytest.raises(PySparkException):
         spark.range(1).select(raster_ops.rotated_values(F.array(F.lit(1.0), F.lit(2.0)))).collect()
+
+
+def test_burn_takes_all_boxes(spark, tmp_path):
+    """x10 over ids beyond 500, against boxes drawn one after another."""
+    sizes = {i: 1 + i * 13 % 50 for i in range(1, 1201)}
+    spark.createDataFrame([(i, "b", s) for i, s in sizes.items()], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    drawn = {}
+    for ordinal, (i, size) in enumerate(sizes.items(), 1):
+        x, y = i * 37 % 400, i * 91 % 300
+        a, b, c, d = (round(v / 3) for v in (x, y, x + size, y + size))
+        drawn |= {(v, u): ordinal for v in range(max(b, 0), min(d, 100)) for u in range(max(a, 0), min(c, 134))}
+    found = registry.queries()["x10_burn_instances"](spark, str(tmp_path)).collect()
+    assert {(r.y, r.x): r.instance for r in found} == drawn and max(drawn.values()) > 1190 and len(found) == len(drawn)
