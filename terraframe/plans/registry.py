@@ -244,12 +244,12 @@ _NEAREST = "select t.y as y, t.x as x, {0} from (select range // 70 as y, range
 
 @_query(f"with {VECTORS} " + _NEAREST.format("s.class_id", "vectors"))
 def g13_nearest_resample(spark, sf_dir):
-    return raster_ops.resample(scenes.vector_scene(spark, sf_dir).select("y", "x", "class_id"), (20, 25), (45, 70)).select("y", "x", "class_id")
+    return raster_ops.resample(scenes.vector_scene(spark, sf_dir).select("y", "x", "class_id"), scenes.vector_size(spark, sf_dir), (45, 70)).select("y", "x", "class_id")
 
 
 @_query(f"with {VECTORS} " + _NEAREST.format(f"{_sql_r6('s.bands[1]')} as first, {_sql_r6('s.bands[3]')} as last, 3 as bands", "vectors"))
 def g14_align_to_reference(spark, sf_dir):
-    rows = raster_ops.resample(scenes.vector_scene(spark, sf_dir).select("y", "x", "bands"), (20, 25), (45, 70)).withColumn("bands", stitching.match_bands(F.col("bands"), 3))
+    rows = raster_ops.resample(scenes.vector_scene(spark, sf_dir).select("y", "x", "bands"), scenes.vector_size(spark, sf_dir), (45, 70)).withColumn("bands", stitching.match_bands(F.col("bands"), 3))
     return rows.select("y", "x", r6(F.col("bands")[0]).alias("first"), r6(F.element_at("bands", -1)).alias("last"), F.size("bands").alias("bands"))
 
 

@@ -45,6 +45,12 @@ def vector_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(F.col("vec_id") / 25).alias("y"), (F.col("vec_id") % 25).alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("bands"), F.col("label").alias("class_id"))
 
 
+def vector_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Height and width of the vector scene, by its last pixel's row."""
+    last = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("last")).collect()[0]["last"]
+    return (last // 25 + 1 if last is not None else 0), 25
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections from `part`: raster_id, id, label, score, bbox."""
     k = F.col("p_partkey")

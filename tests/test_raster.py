@@ -162,3 +162,14 @@ def test_burn_takes_all_boxes(spark, tmp_path):
         drawn |= {(v, u): ordinal for v in range(max(b, 0), min(d, 100)) for u in range(max(a, 0), min(c, 134))}
     found = registry.queries()["x10_burn_instances"](spark, str(tmp_path)).collect()
     assert {(r.y, r.x): r.instance for r in found} == drawn and max(drawn.values()) > 1190 and len(found) == len(drawn)
+
+
+@pytest.mark.parametrize("rows", [20, 90])
+def test_the_whole_vector_scene_is_resampled(spark, tmp_path, rows):
+    """g13 and g14 over a scene of any height: its first and last row are the target's."""
+    table = [(i, [i / 4, 1.0, 2.0, 3.0], i) for i in range(25 * rows)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    wanted = {(y, x): round(y * ((rows - 1) / 44)) * 25 + round(x * (24 / 69)) for y in range(45) for x in range(70)}
+    g13, g14 = (registry.queries()[q](spark, str(tmp_path)).collect() for q in ("g13_nearest_resample", "g14_align_to_reference"))
+    assert {(r.y, r.x): r.class_id for r in g13} == wanted and wanted[44, 69] == 25 * rows - 1
+    assert {(r.y, r.x): r["first"] * 4 for r in g14} == wanted and {r.bands for r in g14} == {3}
