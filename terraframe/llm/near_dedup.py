@@ -21,8 +21,8 @@ neighbours apart in that one order alone.
 
 Defined results: A-Z count as a-z; a document of fewer words than a shingle has its sequence as
 one; a document without words (or null) has an empty set, is linked with nothing and kept; equal
-sets are one node, however many documents have them. A key names a document: rows that share a key
-share its fate in `deduplicate`, and rows without a key are never dropped there.
+sets are one node, however many documents have them. `deduplicate` decides by row: one row of each
+group stays, that of the least key (null keys last), then of the least set; of rows equal in both, any.
 """
 
 from __future__ import annotations
@@ -293,8 +293,8 @@ def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return cut(nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c"))
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id (the least key reachable) and kept of every row."""
+def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows; and node, least (key) and root (of its component) of every distinct set."""
     rows = cut(scan(docs, key, text, width))
     nodes = rows.filter(F.col("__set").isNotNull()).groupBy(F.col("__set").alias("node")).agg(F.min(key).alias("least"), F.first("__sig").alias("sig"))
     nodes = cut(nodes.withColumn("comp", F.xxhash64("node")))
@@ -313,20 +313,52 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     hidden = cut(hidden) if hidden is not None else None
     if hidden is not None and not hidden.isEmpty():
         roots = connected_components(hidden if links is None else links.union(hidden), "a", "b")
-    out = rows.select(key, F.col("__n").alias("n_shingles"), "__set")
     if roots is None:
-        least = nodes.select(F.col("node").alias("__node"), F.col("least").alias("__least"))
-    else:
-        of = nodes.select("node", "least").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        of = cut(of)
-        low = of.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("__least"))
-        least = of.join(cut(low), F.col("root") == F.col("r")).select(F.col("node").alias("__node"), "__least")
+        return rows, nodes.select("node", "least", F.col("node").alias("root"))
+    of = nodes.select("node", "least").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    return rows, cut(of.select("node", "least", F.coalesce("root", "node").alias("root")))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """key, n_shingles, component_id (the least key reachable) and kept of every row."""
+    rows, of = _grouped(docs, key, text, width, percent)
+    out = rows.select(key, F.col("__n").alias("n_shingles"), "__set")
+    low = of.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("__least"))
+    least = of.join(cut(low), F.col("root") == F.col("r")).select(F.col("node").alias("__node"), "__least")
     out = out.join(cut(least), F.col("__set") == F.col("__node"), "left")
     out = out.withColumn("component_id", F.when(F.col("__set").isNull(), F.col(key)).otherwise(F.col("__least")))
     return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """The documents with __set, as scan() has it."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__set binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(text))
+            for first, last in pieces(offsets):
+                row, hashes = shingles(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
+                bounds = row_bounds(row, last - first)
+                full = np.diff(bounds) > 0
+                sets = set_keys(bounds[:-1][full], hashes) if full.any() else np.empty((0, 16), np.uint8)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, _binary(sets, full)], [*batch.schema.names, "__set"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those of which another one of their group stays: the one of the least key."""
-    gone = components(docs, key, text, width, percent).filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """One document of each group, and all without words: that of the least key, then of the least set."""
+    rows, of = _grouped(docs, key, text, width, percent)
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("f"))
+    stays = F.col("__set").eqNullSafe(F.col("__node")) & F.col("__key").eqNullSafe(F.col("__least"))
+    pairs = rows.filter(F.col("__set").isNotNull()).groupBy("__set", F.col(key).alias("__key")).agg(F.count("*").alias("__rows"))
+    pairs = pairs.join(first.select(F.col("f.node").alias("__node"), F.col("f.least").alias("__least")), stays, "left")
+    pairs = cut(pairs.select(F.col("__set").alias("__s"), "__key", "__rows", F.col("__node").isNotNull().alias("__stays")))
+    same = (F.col("__set") == F.col("__s")) & F.col(key).eqNullSafe(F.col("__key"))
+    own = _with_sets(docs, text, width)
+    left = own.join(pairs.filter(~F.col("__stays")), same, "left_anti")
+    again = pairs.filter(F.col("__stays") & (F.col("__rows") > 1))
+    if not again.isEmpty():
+        left = left.join(again, same, "left_anti").union(own.join(again, same, "left_semi").dropDuplicates(["__set", key]))
+    return left.select(docs.columns)

@@ -54,6 +54,15 @@ def test_near_dedup(docs, none):
     assert near_dedup.components(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Equal rows, copies without an id, and an id that has a copy and a text of its own."""
+    other, third, fourth = (" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    rows = [(1, WORDS, "a"), (1, WORDS, "a"), (2, WORDS, "a"), (2, other, "a"), (None, third, "a"), (None, third, "a"), (None, WORDS, "a"), (3, fourth, "a"), (None, fourth, "a"), (4, "", "a"), (4, "", "a")]
+    left = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), width=4)
+    wanted = [(1, WORDS), (2, other), (None, third), (3, fourth), (4, ""), (4, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, wanted))
+
+
 def test_suffix_dedup(docs, none):
     rows = suffix_dedup.remove_repeated(docs).collect()
     assert len(rows) == len(ROWS)
