@@ -173,3 +173,15 @@ def test_the_whole_vector_scene_is_resampled(spark, tmp_path, rows):
     g13, g14 = (registry.queries()[q](spark, str(tmp_path)).collect() for q in ("g13_nearest_resample", "g14_align_to_reference"))
     assert {(r.y, r.x): r.class_id for r in g13} == wanted and wanted[44, 69] == 25 * rows - 1
     assert {(r.y, r.x): r["first"] * 4 for r in g14} == wanted and {r.bands for r in g14} == {3}
+
+
+def test_conclusions_of_changes_and_indices(spark):
+    """The wording that r14's SQL has no form of, as its numbers round on ties."""
+    rows = [("change_detection", 0.0123456, 0.25, None, 3), ("change_detection", None, None, None, 0), ("spectral_indices", None, None, 0.43219, 1), ("spectral_indices", None, None, None, 0)]
+    facts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, task string, changed_area_km2 double, change_area_ratio double, mean double, flag_count int")
+    facts = facts.selectExpr("*", "0.5D as mean_confidence", "0D as total_area_km2", "'a' as dominant_class")
+    found = quality.with_facts(facts).select("i", quality.conclusion_summary(F.col("task")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in found] == [
+        "本次变化检测变化面积约 0.012346 km2，占比 25.000%，质量标记 3 项。", "本次变化检测变化面积约 0.000000 km2，占比 0.000%，质量标记 0 项。",
+        "本次光谱指数统计均值为 0.4322，需结合地物类型解释。", "本次光谱指数统计均值为 0.0000，需结合地物类型解释。",
+    ]
