@@ -3,63 +3,129 @@
 from __future__ import annotations
 
 import gc
-import time
+import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds between two clearings: often beside long steps, hardly ever beside short ones.
-CLEARED_EVERY = 3.0
-_cleared = 0.0
+#: Spark deletes the shuffle files of an execution at its end where this is on as the plan is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges that one task holds.
+EDGES = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, in the folder that all executors share.
+def _set_folder(context) -> None:
+    """The session's spark.checkpoint.dir; a temporary folder only where there is a single machine."""
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """The same rows without lineage, in the folder that all executors share; files of `done` go.
 
-    The folder is the session's spark.checkpoint.dir; one of this process is set only where the
-    session names none, as in tests. Plans of earlier steps hold their broadcast tables and shuffle
-    files for as long as the driver holds them, so what Python no longer refers to is let go here.
+    `done` are earlier cuts that nothing will read any more once this one stands. Shuffle files of the
+    steps that led here are deleted as soon as the rows are kept.
 
     A checkpointed plan keeps the size that was estimated for the plan behind it. Estimates of joins
     are products, so over rounds they would become numbers of millions of digits; the rows are
     wrapped anew, of unknown size, and adaptive execution goes by what it measures.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    kept = df.checkpoint(eager=True)._jdf
     session = df.sparkSession
+    _set_folder(session.sparkContext)
+    before = session.conf.get(CLEANUP, "false")
+    session.conf.set(CLEANUP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)._jdf
+    finally:
+        session.conf.set(CLEANUP, before)
+    discard(*done)
     out = DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
-    if time.monotonic() - _cleared >= CLEARED_EVERY:
-        release(out)
+    out._kept_in = kept.queryExecution().analyzed().rdd().getCheckpointFile()
     return out
 
 
+def discard(*done: DataFrame) -> None:
+    """Deletes the files of cuts that nothing reads any more."""
+    for df in done:
+        where = getattr(df, "_kept_in", None)
+        if where is not None and where.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(where.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            df._kept_in = None
+
+
 def release(df: DataFrame) -> None:
-    """Lets Spark delete what finished steps left, now and not when the driver's memory is full."""
-    global _cleared
+    """Lets Spark delete what finished steps left beside the cuts: broadcasts that Python let go of."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    _cleared = time.monotonic()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of nodes 0 to n - 1 with edges a[i] - b[i], the least node of each one's component."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    return label
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) for the nodes of a task's edges: the least node that these edges lead to."""
+    held = [x for x in batches if len(x)]
+    if not held:
+        return
+    both = pa.concat_arrays([*(x.column(0) for x in held), *(x.column(1) for x in held)]).dictionary_encode()
+    del held
+    names = both.dictionary
+    order = pc.sort_indices(names)
+    rank = np.empty(len(names), np.int64)
+    rank[order.to_numpy()] = np.arange(len(names))
+    ends = rank[both.indices.to_numpy()]
+    names = names.take(order)
+    root = least_reachable(ends[: len(ends) // 2], ends[len(ends) // 2 :], len(names))
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, a: str, b: str, per_task: int = EDGES) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component.
 
-    Each round every node takes the least label around it and then its label's label, so labels run
-    over paths in steps that double. All joins are of two shuffled sides, which adaptive execution
-    splits where a root has a large share of the nodes; the least labels are aggregated partially.
+    Tasks contract the edges they hold, at most some `per_task` each, to stars. Where there are more tasks than
+    one, a node may have a root in each; these roots, linked with the least of them, are the graph that
+    is left, and so on until one task holds it. Edges are dealt by range, so what lies together is
+    contracted together, and a hub's edges are split; a hub of the graph meets its root in joins
+    that adaptive execution splits.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = cut(both.filter(F.col("x") != F.col("y")).distinct())
-    labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
+    links = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")))
+    kind = links.schema["a"].dataType.simpleString()
+    levels = []
     while True:
-        around = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        near = cut(labels.join(around, labels["node"] == around["x"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was")))
-        up = near.select(F.col("node").alias("parent"), F.col("label").alias("up"))
-        after = cut(near.join(up, near["label"] == up["parent"]).select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("was")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "root")
+        tasks = -(-links.count() // per_task)
+        if tasks <= 1:
+            labels = cut(links.coalesce(1).mapInArrow(_stars, f"node {kind}, root {kind}"), links)
+            break
+        stars = links.repartitionByRange(tasks, "a", "b").mapInArrow(_stars, f"node {kind}, root {kind}")
+        # a node has a root in each task at most
+        met = cut(stars.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), links)
+        links = cut(met.select(F.explode("roots").alias("a"), F.col("low").alias("b")).filter("a != b").distinct())
+        levels.append(cut(met.select("node", "low"), met))
+    for level in reversed(levels):
+        top = labels.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        labels = cut(level.join(top, F.col("low") == F.col("n"), "left").select("node", F.coalesce("r", "low").alias("root")), level, labels)
+    return labels
