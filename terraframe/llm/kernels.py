@@ -6,6 +6,7 @@ per byte and not per row. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -49,6 +50,34 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1 << 30, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most so many rows and about so many bytes, one row at least; memory in use is given back between them.
+
+    What a worker copies then depends on `size` and not on the batches that Spark sends.
+    """
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(batch.nbytes, 1)))
+        for first in range(0, len(batch), step):
+            yield batch.slice(first, step)
+        del batch
+        give_back()
+    _powers.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library keep of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries than glibc
+    _trim = None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(33))

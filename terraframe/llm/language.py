@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, pieces, text_buffers, words
+from .kernels import LOWER, bounded, pieces, text_buffers, words
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
@@ -74,7 +74,7 @@ def learn(docs: DataFrame, text: str, language: str) -> tuple[list[str], np.ndar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             langs = batch.column(language).to_pylist()
             names = sorted(set(langs))
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "__lang string, __score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             found, score = [], []
             for first, last in pieces(offsets):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import pieces, text_buffers
+from .kernels import bounded, pieces, text_buffers
 
 #: Payloads are padded to a positive multiple of this.
 UNIT = 576
@@ -352,7 +352,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media:
     names = [x.split()[0] for x in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             for first, last in pieces(offsets, 1 << 19):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]

@@ -2,22 +2,30 @@
 
 Every distinct shingle set has a signature of HASHES minhashes. A tree of the forest is an order of
 all sets by DEPTH of these hashes, one after another; sets whose hashes have a long common prefix
-stand beside each other. Candidates are neighbours in such an order with a common prefix of at least
-SHALLOW hashes: each set's next one, and all pairs of a region, the sets with one prefix, where the
-depth of that prefix adapts to the place: the shallowest at which the region has at most REGION
-sets. Regions that have more at SHALLOW hashes are compared as a whole wherever they still hold more
-than one component: all sets outside the most frequent component against all others, so no pair with
-a common prefix of SHALLOW hashes or more is left out for its region's size.
-
-Orders are taken in rounds. Candidates are confirmed on full sets, links give components, and later
-rounds only propose pairs between different components, so a large group of copies costs a few
-comparisons per copy and not one per pair. The last round takes all trees, those of earlier rounds
-again, as only it compares regions. Two sets of similarity 0.8 share SHALLOW hashes in one order with
-probability 0.41; orders share hashes, so they aren't independent: of 2,000,000 simulated pairs, each
-hash equal with probability 0.8, 205 (0.010 %) share them in none of the 32, with 0.85 10 (0.0005 %).
-
-Sorting is by range over complete keys, so no group is hot. A range partition's border cuts two
-neighbours apart in that one order alone.
+stand beside each other. Candidates are the sets of one region, those with a common prefix whose depth
+adapts to the place: SPARSE hashes where at most REGION sets share them, else DEPTH hashes:
+
+1. Regions of one set are left out before anything is sorted, by a count of region hashes.
+2. The others are sorted, in all TREES orders. Where a region has at most REGION sets, pairs in it are
+   candidates if their whole signatures and sizes allow the similarity. The sets of a region that still
+   has more at full depth are chained, so they end up in one cluster and are compared as a whole; so
+   are those of a region that a border of range partitions cuts.
+3. Clusters, the components of candidates, are compared on full sets: every pair of a cluster whose
+   signatures and sizes allow it is decided, unless links put both in one component before. A cluster of more
+   than CELL sets or ITEMS shingles is dealt into blocks: blocks first, then one set for each
+   component of a block, until they are few; then all sets outside the cluster's largest component meet all of its
+   sets, in cells of two blocks. A cell gives links that join components, not pairs.
+
+So no pair that shares DEPTH hashes in a tree is lost for the size of its region, and links don't depend
+on borders of partitions. Two sets of similarity 0.8 share DEPTH hashes in one order with probability 0.41;
+orders share hashes, so they aren't independent: of 2,000,000 simulated pairs, each hash equal with
+probability 0.8, 205 (0.010 %) share them in none of the 32, with 0.85 10 (0.0005 %); in sparse regions, where
+SPARSE hashes do, 1. Signatures that share fewer hashes than SIGMAS standard deviations below what the
+similarity lets expect are not compared: 1.2 in a million at similarity 0.8.
+
+Sorting is by range over complete keys, so no group is hot; full sets travel once to be
+reduced to one of a kind, combined on the map side, and once to their cells. What grows fastest is a family of n
+sets that share prefixes without links: it takes n * n comparisons of signatures, as each may be a link.
 
 Defined results: A-Z count as a-z; a document of fewer words than a shingle has its sequence as
 one; a document without words (or null) has an empty set, is linked with nothing and kept; equal
@@ -27,22 +35,23 @@ group stays, that of the least key (null keys last), then of the least set; of r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .kernels import mix, pieces, row_bounds, shingles, text_buffers
+from ..operators.graph import connected_components, least_reachable
+from .kernels import bounded, mix, pieces, row_bounds, shingles, text_buffers
 from .tables import PLACES, bitmap, cut, maybe
 
-HASHES, TREES, DEPTH, SHALLOW, REGION = 64, 32, 8, 4, 32
-#: Sets of a cell in which dense regions are compared.
-FEW, MANY = 512, 2048
-#: Trees of each round; the last one compares regions, in all trees.
-ROUNDS = ((0, 2), (2, 8), (0, TREES))
+HASHES, TREES, SPARSE, DEPTH, REGION = 64, 32, 3, 4, 256
+#: Sets and shingles that a cell holds of each side; a larger set is a cell of its own.
+CELL, ITEMS = 2048, 1 << 20
+#: Standard deviations by which a signature may fall short of what the similarity lets expect.
+SIGMAS = 5
 
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +93,7 @@ def scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, __n (set size), __set (its key, null if empty) and __sig of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             for first, last in pieces(offsets):
                 n = last - first
@@ -111,87 +120,130 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
     return raw[at[0] : at[-1]].reshape(len(column), -1).view(kind)
 
 
-def _orders(nodes: DataFrame, trees: tuple[int, int]) -> DataFrame:
-    """tree, place, node, comp: every node once per tree, unsorted."""
+def least_equal(percent: int) -> int:
+    """Hashes that two signatures share at least if their sets have the similarity."""
+    share = percent / 100
+    return max(0, math.floor(HASHES * share - SIGMAS * math.sqrt(HASHES * share * (1 - share))))
+
+
+def _region_hash(sigs: np.ndarray, tree: int) -> np.ndarray:
+    """64 bits of a tree and the first SPARSE hashes there."""
+    region = np.full(len(sigs), tree + 1, np.uint64)
+    for j in ORDERS[tree][:SPARSE]:
+        region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j].astype(np.uint64))
+    return region.view(np.int64)
+
+
+def _regions(nodes: DataFrame) -> DataFrame:
+    """The region hash of every node in every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 4096):
             sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2")
-            for tree in range(*trees):
-                place = np.ascontiguousarray(sigs[:, ORDERS[tree]]).view(np.uint8).reshape(len(sigs), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sigs), tree), pa.int32()), _binary(place), batch.column("node"), batch.column("comp")], ["tree", "place", "node", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_region_hash(sigs, t) for t in range(TREES)]))], ["region"])
 
-    return nodes.select("node", "sig", "comp").mapInArrow(run, "tree int, place binary, node binary, comp long")
+    return nodes.select("sig").mapInArrow(run, "region long")
 
 
-def neighbours(tree: np.ndarray, place: np.ndarray, comp: np.ndarray, fresh: int, regions: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of rows in order: candidates of different components.
+def _orders(nodes: DataFrame, known: bytes) -> DataFrame:
+    """tree, place, node, n, sig: every node once for each tree in which its region may have others, unsorted."""
+    shared = nodes.sparkSession.sparkContext.broadcast(known)
 
-    Rows before `fresh` were seen before and only pair with later ones. LCPs are counted in hashes.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 4096):
+            sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2")
+            for tree in range(TREES):
+                at = np.flatnonzero(maybe(shared.value, _region_hash(sigs, tree) & (PLACES - 1)))
+                if len(at):
+                    place = np.ascontiguousarray(sigs[at][:, ORDERS[tree]]).view(np.uint8).reshape(len(at), -1)
+                    rest = [batch.column(c).take(pa.array(at)) for c in ("node", "n", "sig")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()), _binary(place), *rest], ["tree", "place", "node", "n", "sig"])
+
+    return nodes.select("node", "n", "sig").mapInArrow(run, "tree int, place binary, node binary, n long, sig binary")
+
+
+def neighbours(tree: np.ndarray, place: np.ndarray, size: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of rows in order: candidates, and chains through regions of more than REGION rows."""
     n = len(tree)
+    none = np.empty(0, np.int64)
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none
     same = (place[1:] == place[:-1]) & (tree[1:] == tree[:-1])[:, None]
     lcp = np.cumprod(same, axis=1).sum(axis=1)
-    size = np.zeros((DEPTH + 1, n), np.int64)
-    for depth in range(SHALLOW, DEPTH + 1):
+
+    def count(depth: int) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(lcp < depth)])
-        size[depth] = np.bincount(run)[run]
-    left, right, common = [], [], lcp
-    for step in range(1, REGION if regions else 2):
+        return np.bincount(run)[run]
+
+    # the depth at which a row's pairs are looked for
+    deep = count(DEPTH)
+    depth = np.where(count(SPARSE) <= REGION, SPARSE, np.where(deep <= REGION, DEPTH, DEPTH + 1))
+    chain = np.flatnonzero((lcp >= DEPTH) & (deep[1:] > REGION))
+    left, right, common = [chain], [chain + 1], lcp
+    enough = least_equal(percent)
+    for step in range(1, REGION):
         if step > 1:
             common = np.minimum(common[:-1], lcp[step - 1 :])
-        at = np.flatnonzero(common >= SHALLOW)
+        at = np.flatnonzero(common >= SPARSE)
         if not len(at):
             break
-        ok = (comp[at] != comp[at + step]) & (at + step >= fresh)
-        if step > 1:
-            ok &= size[common[at], at] <= REGION
-        left.append(at[ok])
-        right.append(at[ok] + step)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _candidates(nodes: DataFrame, trees: tuple[int, int], last: bool) -> DataFrame:
-    """Pairs (a, b), a < b, that stand beside each other in an order and are not in one component."""
-    rows = _orders(nodes, trees)
+        at = at[common[at] >= depth[at]]
+        at = at[100 * np.minimum(size[at], size[at + step]) >= percent * np.maximum(size[at], size[at + step])]
+        for some in np.array_split(at, len(at) // 20_000 + 1):
+            some = some[(sigs[some] == sigs[some + step]).sum(axis=1) >= enough]
+            left.append(some)
+            right.append(some + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _region_edges(orders: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes, or a node and a name of its region, that connect all candidates."""
+
+    def hung(tree: np.ndarray, place: np.ndarray, raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from rows to the names of their regions."""
+        named = np.zeros((len(tree), 16), np.uint8)
+        named[:, 0], named[:, 1] = depth, tree
+        named[:, 2 : 2 + 2 * depth] = np.ascontiguousarray(place[:, :depth]).view(np.uint8).reshape(len(tree), -1)
+        return raw, named
+
+    def edges(rows: tuple, border: int, whole: bool) -> pa.RecordBatch:
+        """Of whole regions; those of the first `border` rows may go on elsewhere, so they hang on their names."""
+        tree, place, node, size, sigs = rows
+        root = least_reachable(*neighbours(tree, place, size, sigs, percent), len(tree))
+        at = np.flatnonzero(root != np.arange(len(root)))
+        raw = node.reshape(-1, 1).view(np.uint8).reshape(-1, 16)
+        parts = [(raw[at], raw[root[at]])]
+        if border:
+            parts.append(hung(tree[:border], place[:border], raw[:border], DEPTH))
+            if whole:
+                parts.append(hung(tree[:border], place[:border], raw[:border], SPARSE))
+        return pa.RecordBatch.from_arrays([_binary(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, first = None, True
         for batch in batches:
             if not len(batch):
                 continue
-            own = (batch.column("tree").to_numpy(), _matrix(batch.column("place"), 2 * DEPTH, ">u2"), batch.column("comp").to_numpy(), _matrix(batch.column("node"), 16, "S16"))
-            fresh = len(held[0]) if held else 0
-            if held:
+            own = (batch.column("tree").to_numpy(), _matrix(batch.column("place"), 2 * DEPTH, ">u2"), _matrix(batch.column("node"), 16, "S16"), batch.column("n").to_numpy(), _matrix(batch.column("sig"), 2 * HASHES, ">u2"))
+            if held is not None:
                 own = tuple(np.concatenate([h, o]) for h, o in zip(held, own, strict=True))
-            tree, place, comp, node = own
-            i, j = neighbours(tree, place, comp, fresh, last)
-            raw = node.reshape(-1, 1).view(np.uint8).reshape(-1, 16)
-            yield pa.RecordBatch.from_arrays([_binary(raw[i]), _binary(raw[j])], ["a", "b"])
-            held = tuple(x[-REGION:] for x in own)
-
-    found = rows.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _regions(nodes: DataFrame, known: bytes | None = None) -> DataFrame:
-    """region, node, comp: every node once per tree with the hash of its first SHALLOW hashes there; of known regions only, if given."""
-    shared = nodes.sparkSession.sparkContext.broadcast(known) if known is not None else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2").astype(np.uint64)
-            for tree in range(TREES):
-                region = np.full(len(sigs), tree + 1, np.uint64)
-                for j in ORDERS[tree][:SHALLOW]:
-                    region = mix(region * np.uint64(0x9E3779B97F4A7C15) ^ sigs[:, j])
-                region = region.view(np.int64)
-                at = pa.array(np.flatnonzero(maybe(shared.value, region & (PLACES - 1))) if shared is not None else np.arange(len(region)))
-                yield pa.RecordBatch.from_arrays([pa.array(region).take(at), batch.column("node").take(at), batch.column("comp").take(at)], ["region", "node", "comp"])
-
-    return nodes.select("node", "sig", "comp").mapInArrow(run, "region long, node binary, comp long")
+            tree, place = own[:2]
+            start = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (place[1:, :SPARSE] != place[:-1, :SPARSE]).any(axis=1)])
+            last = int(start[-1])
+            if last:
+                border = int(start[1]) if first else 0
+                yield edges(tuple(x[:last] for x in own), border, border <= REGION)
+                held, first = tuple(x[last:] for x in own), False
+            elif len(tree) <= 4 * REGION:  # one region so far
+                held = own
+            else:  # more than is held: its rows hang on their names, here and in what follows
+                yield edges(own, len(tree), False)
+                held, first = None, True
+        if held is not None:
+            yield edges(held, len(held[0]), len(held[0]) <= REGION)
+
+    ordered = orders.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node")
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def _place(node: str):
@@ -200,11 +252,11 @@ def _place(node: str):
 
 
 def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """node, items: the full sets of the wanted nodes, once each."""
+    """node, items: the full sets of the wanted nodes and some others, once each."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, _place("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             for first, last in pieces(offsets):
                 row, hashes = shingles(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
@@ -220,103 +272,152 @@ def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
                 values = pa.ListArray.from_arrays(pa.array(np.append(bounds[full], bounds[-1]), pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([_binary(keys[hit]), values.take(pa.array(hit))], ["node", "items"])
 
-    sets = docs.select(text).mapInArrow(run, "node binary, items array<long>")
-    sets = sets.join(wanted.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left_semi")
-    return sets.groupBy("node").agg(F.first("items").alias("items"))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = cut(_sets(docs, text, width, wanted))
-    left = sets.select(F.col("node").alias("l"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("r"), F.col("items").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.withColumn("i", shared).filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i")))
-    return both.select("a", "b")
+    return docs.select(text).mapInArrow(run, "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items"))
 
 
-def _dense_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
-    """Links that regions hide which are large at SHALLOW hashes and hold more than one component.
+def links(sigs: np.ndarray, edge: np.ndarray, items: np.ndarray, label: np.ndarray, few: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between sets of different labels that join these, and the labels then.
 
-    Regions that share a set form a cluster; in it, sets outside the most frequent component are compared
-    with all others, on full sets, in cells of at most some FEW by MANY sets. A cell gives one link for
-    each set and component that it is linked with, so what is emitted doesn't grow with the pairs.
+    Set i is items[edge[i]:edge[i + 1]]. Each of `few`, in order, is compared with all sets that aren't
+    before it in `few`, where its label, size and signature ask for it.
+    """
+    size, label, out, enough = np.diff(edge), label.copy(), [], least_equal(percent)
+    names, dense = np.unique(items, return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    todo = np.ones(len(size), bool)
+    for i in few.tolist():
+        todo[i] = False
+        j = np.flatnonzero(todo & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        j = j[(sigs[j] == sigs[i]).sum(axis=1) >= enough] if len(j) else j
+        if not len(j):
+            continue
+        own, n = dense[edge[i] : edge[i + 1]], size[j]
+        mark[own] = True
+        begin = np.cumsum(n) - n
+        both = np.add.reduceat(mark[dense[np.repeat(edge[j] - begin, n) + np.arange(n.sum())]].astype(np.int64), begin)
+        mark[own] = False
+        j = j[100 * both >= percent * (size[i] + n - both)]
+        _, once = np.unique(label[j], return_index=True)
+        if len(once):
+            out += [(i, k) for k in j[once].tolist()]
+            met = np.append(label[j[once]], label[i])
+            label[np.isin(label, met)] = met.min()
+    return out, label
+
+
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the cells of `rows` give: cluster, x, y, few, node, comp, sig, items.
+
+    Within a cell, rows marked `few` are compared with all others; comp is the component known before.
     """
-    large = _regions(nodes).groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    large = cut(large.filter((F.col("n") > REGION) & (F.col("a") != F.col("b"))).select(F.col("region").alias("r")))
-    if large.isEmpty():
-        return None
-    rows = cut(_regions(nodes, bitmap(large, F.col("r").bitwiseAND(F.lit(PLACES - 1)))).join(large, F.col("region") == F.col("r"), "left_semi"))
-    first = rows.groupBy(F.col("node").alias("f")).agg(F.min("region").alias("m"))
-    roots = connected_components(rows.join(first, F.col("node") == F.col("f")).select("region", "m"), "region", "m").select(F.col("node").alias("r"), "root")
-    # a region that shares its sets with no other is a cluster by itself
-    rows = rows.join(roots, F.col("region") == F.col("r"), "left").select(F.coalesce("root", "region").alias("cluster"), "node", "comp")
-    rows = cut(rows.distinct())
-    counts = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
-    counts = counts.select(F.col("cluster").alias("k"), "main", blocks(F.col("all") - F.col("most"), FEW).alias("few"), blocks(F.col("all"), MANY).alias("many"))
-    sets = _sets(docs, text, width, rows.select("node").distinct()).select(F.col("node").alias("s"), "items")
-    rows = cut(rows.join(counts, F.col("cluster") == F.col("k")).join(sets, F.col("node") == F.col("s")).select("cluster", "node", "comp", "items", "main", "few", "many"))
-    own = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(n).cast("long")).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compared() -> pa.RecordBatch:
+            cell = pa.Table.from_batches(held).combine_chunks()
+            nodes = _matrix(cell.column("node").chunk(0), 16, "S16")
+            items = cell.column("items").chunk(0)
+            _, label = np.unique(_matrix(cell.column("comp").chunk(0), 16, "S16").ravel(), return_inverse=True)
+            few = np.flatnonzero(cell.column("few").to_numpy())
+            sigs = _matrix(cell.column("sig").chunk(0), 2 * HASHES, ">u2").astype(np.uint16)
+            edge = items.offsets.to_numpy().astype(np.int64)
+            found, _ = links(sigs, edge - edge[0], items.flatten().to_numpy(), label.ravel(), few, percent)
+            raw, pairs = nodes.reshape(-1, 1).view(np.uint8).reshape(-1, 16), np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([_binary(raw[pairs[:, 0]]), _binary(raw[pairs[:, 1]])], ["a", "b"])
+
+        before = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.concatenate([_matrix(batch.column("cluster"), 16, ">u8").astype(np.uint64), *(batch.column(c).to_numpy().astype(np.uint64)[:, None] for c in ("x", "y"))], axis=1)
+            start = np.flatnonzero(np.r_[before is None or (key[0] != before).any(), (key[1:] != key[:-1]).any(axis=1)])
+            at = 0
+            for k in start.tolist():
+                if k > at:
+                    held.append(batch.slice(at, k - at))
+                if held:
+                    yield compared()
+                    held.clear()
+                at = k
+            held.append(batch.slice(at))
+            before = key[-1]
+        if held:
+            yield compared()
+
+    rows = rows.select("cluster", "x", "y", "few", "node", "comp", "sig", "items")
+    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", F.desc("few"), "node").mapInArrow(run, "a binary, b binary")
+
+
+def _blocks(n: Column, items: Column, cell: int, most: int) -> Column:
+    return F.greatest(F.ceil(n / F.lit(cell)), F.ceil(items / F.lit(most)), F.lit(1)).cast("int")
+
+
+def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, cell: int = CELL, most: int = ITEMS) -> DataFrame:
+    """Links (a, b) that join what is linked within clusters; members: node, cluster, n, sig; sets: node, items."""
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = rows.filter(F.col("comp") != F.col("main")).select("cluster", "node", "comp", "items", own("few", "few").alias("x"), every("many").alias("y"))
-    there = rows.select("cluster", "node", "comp", "items", own("many", "many").alias("y"), every("few").alias("x"))
-
-    def cell(few: pa.Table, many: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(few) and len(many):
-            items = many.column("items").combine_chunks()
-            values, size = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            comps, names = many.column("comp").to_numpy(), many.column("node").to_pylist()
-            for node, comp, mine in zip(few.column("node").to_pylist(), few.column("comp").to_pylist(), few.column("items").combine_chunks(), strict=True):
-                mine = np.sort(np.array(mine.values.to_numpy()))
-                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-                both = np.bincount(row[mine[at] == values], minlength=len(size))
-                hit = np.flatnonzero((100 * both >= percent * (len(mine) + size - both)) & (comps != comp))
-                _, once = np.unique(comps[hit], return_index=True)
-                for i in hit[once].tolist():
-                    a.append(min(node, names[i]))
-                    b.append(max(node, names[i]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return asked.groupBy("cluster", "x", "y").cogroup(there.groupBy("cluster", "x", "y")).applyInArrow(cell, "a binary, b binary").distinct()
-
-
-def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The nodes with the component that links so far put them in."""
-    if roots is None:
-        return nodes
-    now = roots.select(F.col("node").alias("n"), F.xxhash64("root").alias("c"))
-    return cut(nodes.drop("comp").join(now, F.col("node") == F.col("n"), "left").withColumn("comp", F.coalesce("c", F.xxhash64("node"))).drop("n", "c"))
+    full = sets.select(F.col("node").alias("s"), "items")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        """The clusters' numbers of blocks."""
+        count = rows.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+        return count.filter("k > 1").select("c", _blocks(F.col("k"), F.col("t"), cell, most).alias("blocks"))
+
+    def within(rows: DataFrame, salt: str) -> DataFrame:
+        """Links within the blocks of the rows' clusters."""
+        dealt = rows.withColumns({"x": own(salt, "blocks"), "y": F.lit(0), "few": F.lit(True)})
+        return _cells(dealt.join(full, F.col("node") == F.col("s")), percent)
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows with the components that the links give."""
+        comps = connected_components(found, "a", "b").select(F.col("node").alias("m"), "root")
+        return rows.drop("comp").join(comps, F.col("node") == F.col("m"), "left").withColumn("comp", F.coalesce("root", "node")).drop("m", "root")
+
+    rows = cut(members.withColumn("comp", F.col("node")).join(blocks(members), F.col("cluster") == F.col("c")).drop("c"))
+    found = cut(within(rows, "0"))
+    large = cut(rows.filter("blocks > 1"), rows)
+    many, step = large.count(), 0
+    while many:
+        large, step = cut(labelled(large, found), large), step + 1
+        # one set for each component, as long as there are half as many each time
+        some = large.filter(F.col("comp") == F.col("node")).drop("blocks")
+        few = some.count()
+        if 2 * few > many:
+            break
+        some, many = cut(some.join(blocks(some), F.col("cluster") == F.col("c")).drop("c")), few
+        found = cut(found.union(within(some, str(step))), found, some)
+    else:
+        return found
+    # all sets outside the largest component of a cluster against all of it
+    count = large.groupBy("cluster", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("t")).groupBy(F.col("cluster").alias("c"))
+    count = count.agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"), F.max(F.struct("k", "comp", "t")).alias("top"))
+    count = count.filter("k > top.k").select("c", "main", _blocks(F.col("k") - F.col("top.k"), F.col("t") - F.col("top.t"), cell, most).alias("fews"), _blocks(F.col("k"), F.col("t"), cell, most).alias("manys"))
+    there = cut(large.join(count, F.col("cluster") == F.col("c")).drop("c", "blocks"), large)
+    outside = F.col("comp") != F.col("main")
+    asked = there.filter(outside).withColumns({"x": own("few", "fews"), "few": F.lit(True)}).select("*", every("manys").alias("y"))
+    others = there.withColumns({"y": own("many", "manys"), "few": F.lit(False)}).select("*", every("fews").alias("x"))
+    # where both blocks hold a set, it stands in the cell once as each; equal nodes have equal labels, so they aren't compared
+    return cut(found.union(_cells(asked.unionByName(others).join(full, F.col("node") == F.col("s")), percent)), found, there)
 
 
 def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The scanned rows; and node, least (key) and root (of its component) of every distinct set."""
     rows = cut(scan(docs, key, text, width))
-    nodes = rows.filter(F.col("__set").isNotNull()).groupBy(F.col("__set").alias("node")).agg(F.min(key).alias("least"), F.first("__sig").alias("sig"))
-    nodes = cut(nodes.withColumn("comp", F.xxhash64("node")))
-    links, roots = None, None
-    for trees in ROUNDS:
-        last = trees[1] == TREES
-        pairs = cut(_candidates(_with_components(nodes, roots), trees, last))
-        if pairs.isEmpty():
-            continue
-        found = cut(_confirmed(pairs, docs, text, width, percent))
-        if found.isEmpty():
-            continue
-        links = found if links is None else cut(links.union(found))
-        roots = connected_components(links, "a", "b")
-    hidden = _dense_links(_with_components(nodes, roots), docs, text, width, percent)
-    hidden = cut(hidden) if hidden is not None else None
-    if hidden is not None and not hidden.isEmpty():
-        roots = connected_components(hidden if links is None else links.union(hidden), "a", "b")
-    if roots is None:
-        return rows, nodes.select("node", "least", F.col("node").alias("root"))
-    of = nodes.select("node", "least").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    return rows, cut(of.select("node", "least", F.coalesce("root", "node").alias("root")))
+    nodes = rows.filter(F.col("__set").isNotNull()).groupBy(F.col("__set").alias("node"))
+    nodes = cut(nodes.agg(F.min(key).alias("least"), F.first("__n").alias("n"), F.first("__sig").alias("sig")))
+    alone = nodes.select("node", "least", F.col("node").alias("root"))
+    shared = _regions(nodes).groupBy("region").count().filter("count > 1")
+    edges = cut(_region_edges(_orders(nodes, bitmap(shared, F.col("region").bitwiseAND(F.lit(PLACES - 1)))), percent))
+    clusters = connected_components(edges, "a", "b").select(F.col("node").alias("m"), F.col("root").alias("cluster"))
+    members = cut(nodes.join(clusters, F.col("node") == F.col("m")).select("node", "cluster", "n", "sig"), edges, clusters)
+    if members.isEmpty():
+        return rows, alone
+    sets = cut(_sets(docs, text, width, members).join(members.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi"))
+    found = _cluster_links(members, sets, percent)
+    roots = connected_components(found, "a", "b").select(F.col("node").alias("m"), "root")
+    of = alone.drop("root").join(roots, F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return rows, cut(of, nodes, members, sets, found, roots)
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -335,7 +436,7 @@ def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__set binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             for first, last in pieces(offsets):
                 row, hashes = shingles(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)

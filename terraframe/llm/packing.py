@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import pieces, text_buffers
+from .kernels import bounded, pieces, text_buffers
 from .tables import cut, running_sum, spread
 from .tokens import tokenizer
 
@@ -41,7 +41,7 @@ def tokenize(docs: DataFrame, path: str, size: int = SIZE, end: int = END, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column(text))
             for first, last in pieces(offsets, 2 << 20):
                 ids, count = words.ids(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])

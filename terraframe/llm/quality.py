@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, SpanHash, pieces, text_buffers, words
+from .kernels import LOWER, SpanHash, bounded, pieces, text_buffers, words
 from .tables import cut
 
 BUCKETS = 1 << 18
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in bounded(batches):
             y = batch.column("__y").to_numpy()
             for first, bucket, row, _ in _pieces(batch.column(text)):
                 total += np.bincount(y[first + row].astype(np.int64) * BUCKETS + bucket, minlength=2 * BUCKETS).reshape(2, BUCKETS)
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for first, bucket, row, n in _pieces(batch.column(text)):
                 x = shared.value.inputs(bucket, row, n)
                 yield pa.RecordBatch.from_arrays([batch.column("__y").slice(first, n), *(pa.array(x[:, i]) for i in range(INPUTS))], ["y", *(f"x{i}" for i in range(INPUTS))])
@@ -146,7 +146,7 @@ def evidence(docs: DataFrame, models: dict[str, Model | None], text: str) -> Dat
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`__p_{n}` double" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for first, bucket, row, n in _pieces(batch.column(text)):
                 empty = np.bincount(row, minlength=n) == 0
                 columns = [batch.column(c).slice(first, n) for c in keep]

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import pieces, text_buffers
+from .kernels import bounded, pieces, text_buffers
 from .tables import cut
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -113,7 +113,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [[(k, s, e, _value_hash(v)) for k, s, e, v in row] for row in _scan(batch, text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "__key"]), pa.array(found, kind)], [*keep, "__key", "__found"])
 
@@ -169,7 +169,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [[(k, s, e) for k, s, e, _ in row] for row in _scan(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "__found"])
 
@@ -180,7 +180,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     some = some.withColumn("__found", F.concat(F.filter("__found", lambda s: s["kind"] != "owned"), F.coalesce(F.transform("__owned", lambda s: F.struct(s["kind"], s["start"], s["stop"])), F.array().cast(part)))).drop("__owned")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             at = batch.schema.get_field_index(text)
             spans, texts = batch.column("__found").to_pylist(), batch.column(text)
             if any(spans):

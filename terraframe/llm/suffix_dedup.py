@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SpanHash, mix, pieces, text_buffers
+from .kernels import SpanHash, bounded, mix, pieces, text_buffers
 from .tables import PLACES, bitmap, cut, maybe, release
 
 #: Bytes of a string that counts as repeated.
@@ -116,7 +116,7 @@ def _level0(texts: DataFrame, length: int, known: bytes | None) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             data, offsets = text_buffers(batch.column("text"))
             for first, last in pieces(offsets):
                 here = offsets[first : last + 1] - offsets[first]
@@ -161,7 +161,7 @@ def _refine(packed: DataFrame, length: int, block: int, known: bytes | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
-        for whole in batches:
+        for whole in bounded(batches):
             raw = whole.column("packed")
             size = np.array([zstandard.get_frame_parameters(x.as_buffer()).content_size for x in raw], np.int64)
             for first, last in pieces(np.concatenate([[0], np.cumsum(size)])):
@@ -194,7 +194,7 @@ def _some_texts(texts: DataFrame, wanted: DataFrame, outcome: Callable[[DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in bounded(batches):
             low = np.array([int.from_bytes(x.as_py()[13:], "big") for x in batch.column("k")], np.int64) % PLACES
             at = np.flatnonzero(maybe(shared.value, low))
             packed = [squeeze.compress(batch.column("text")[int(i)].as_buffer() or b"") for i in at]
@@ -261,7 +261,7 @@ def _without(packed: DataFrame, length: int, with_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in bounded(batches):
             row, pos, lo, hi = _runs(batch)
             edge = np.searchsorted(row, np.arange(len(batch) + 1))
             removed, spans, rest = [], [], []

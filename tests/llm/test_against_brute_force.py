@@ -220,44 +220,64 @@ def test_pipeline_stages(spark, small, texts):
     assert (pieces.piece == 0).sum() == mixed.count()
 
 
-def test_dense_regions_alone_give_true_links(spark):
-    """Without links found before, cells of copies give only links that hold, and enough to connect the copies."""
-    base = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]])) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_dedup.scan(docs, "doc_id", "text", 4)
-    nodes = found.selectExpr("__set as node", "__sig as sig", "xxhash64(__set) as comp", "doc_id").cache()
-    links = near_dedup._dense_links(nodes.drop("doc_id"), docs, "text", 4, 80).collect()
-    ids, own = {bytes(r.node): r.doc_id for r in nodes.collect()}, sets(dict(rows), 4)
-    assert links and all(100 * len(x & y) >= 80 * len(x | y) for x, y in ((own[ids[bytes(r.a)]], own[ids[bytes(r.b)]]) for r in links))
-    assert len({ids[bytes(n)] for r in links for n in (r.a, r.b)}) > 100
+def family(common, own, n):
+    """n texts that share `common` words and have `own` further ones each, in one place."""
+    base = [f"w{i}" for i in range(common)]
+    return [" ".join([*base[: common // 2], *(f"x{i}_{k}" for k in range(own)), *base[common // 2 :]]) for i in range(n)]
 
 
-def crafted(spark, rows, tree):
-    """Nodes of the texts whose signatures agree in the tree's first SHALLOW hashes and in nothing else."""
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_dedup.scan(docs, "doc_id", "text", 4).collect()
-    sigs = np.random.default_rng(5).permutation(1 << 16)[: len(found) * near_dedup.HASHES].reshape(len(found), -1)
-    sigs[:, near_dedup.ORDERS[tree][: near_dedup.SHALLOW]] = 7
-    made = [(bytes(r["__set"]), bytearray(x.astype(">u2").tobytes()), i) for i, (r, x) in enumerate(zip(found, sigs, strict=True))]
-    return docs, spark.createDataFrame(made, "node binary, sig binary, comp long"), {m[0]: r.doc_id for m, r in zip(made, found, strict=True)}
+def test_links_between_sets_that_all_resemble_each_other(spark):
+    """Pairs of similarity 0.81 among sets that share 0.6 with each other: templates, with near copies."""
+    rows = []
+    for i, text in enumerate(family(120, 37, 400)):
+        w = text.split(" ")
+        rows += [(2 * i, text), (2 * i + 1, " ".join([*w[:-8], *(f"y{i}_{k}" for k in range(10))]))]
+    wanted = groups(sets(dict(rows), 4))
+    assert sum(wanted[2 * i + 1] == 2 * i for i in range(400)) == 400
+    found = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), width=4).toPandas()
+    assert dict(zip(found.doc_id, found.component_id, strict=True)) == wanted
 
 
-@pytest.mark.parametrize("tree", [0, 9])
-def test_a_large_shallow_region_is_compared_as_a_whole(spark, tree):
-    """Pairs of copies among far more sets of one short prefix, which agree in no further hash."""
-    rows = []
-    for i in range(3 * near_dedup.REGION):
-        text = [f"w{i}_{k}" for k in range(40)]
-        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "more"]))]
-    docs, nodes, ids = crafted(spark, rows, tree)
-    links = near_dedup._dense_links(nodes, docs, "text", 4, 80)
-    assert {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(3 * near_dedup.REGION)}
-
-
-@pytest.mark.parametrize("tree", [0, 5, 9])
-def test_every_tree_compares_its_small_regions(spark, tree):
-    rows = [(i, " ".join(f"w{i}_{k}" for k in range(9))) for i in range(12)]
-    _, nodes, ids = crafted(spark, rows, tree)
-    pairs = near_dedup._candidates(nodes.coalesce(1), near_dedup.ROUNDS[-1], True).collect()
-    assert len({tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs}) == 12 * 11 // 2
+def clustered(spark, rows):
+    """One cluster of all texts, their full sets, and the document of each node."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dedup.scan(docs, "doc_id", "text", 4).selectExpr("__set as node", "__n as n", "__sig as sig", "doc_id", "unhex('00') as cluster").selectExpr("*", "rpad(cluster, 16, unhex('00')) as c").drop("cluster").withColumnRenamed("c", "cluster").cache()
+    return nodes.drop("doc_id"), near_dedup._sets(docs, "text", 4, nodes), {bytes(r.node): r.doc_id for r in nodes.collect()}
+
+
+@pytest.mark.parametrize("cell", [2048, 40, 7])
+def test_clusters_of_many_blocks(spark, cell):
+    """Chains of copies, copies of one text and texts without a link, in one cluster that is dealt into blocks."""
+    rows, step = [], [f"w{i}" for i in range(400)]
+    for i in range(60):  # each is linked to the next few only
+        rows.append((len(rows), " ".join(step[4 * i : 4 * i + 100])))
+    for text in family(90, 2, 60) + family(90, 40, 30):
+        rows.append((len(rows), text))
+    members, full, ids = clustered(spark, rows)
+    found = near_dedup._cluster_links(members, full, 80, cell).collect()
+    own, wanted = sets(dict(rows), 4), groups(sets(dict(rows), 4))
+    links = [(ids[bytes(r.a)], ids[bytes(r.b)]) for r in found]
+    assert all(100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) for a, b in links)
+    root = near_dedup.least_reachable(np.array([a for a, _ in links]), np.array([b for _, b in links]), len(rows))
+    assert root.tolist() == [wanted[i] for i in range(len(rows))] and len(set(wanted.values())) == 31
+
+
+@pytest.mark.parametrize(("n", "shared", "tree"), [(12, near_dedup.SPARSE, 0), (12, near_dedup.SPARSE, 31), (3 * near_dedup.REGION, near_dedup.DEPTH, 5), (6 * near_dedup.REGION, near_dedup.DEPTH, 9)])
+def test_regions_become_clusters(spark, n, shared, tree):
+    """Sets that share the first hashes of one tree, however many: alike in their other hashes, or chained where they are many."""
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 1 << 16, (n, near_dedup.HASHES)).astype(np.uint16)
+    sigs[:, near_dedup.ORDERS[tree][:shared]] = 7
+    if n <= near_dedup.REGION:
+        same = np.setdiff1d(np.arange(near_dedup.HASHES), near_dedup.ORDERS[:, : near_dedup.SPARSE])
+        sigs[:, same] = 9
+        sigs[:, near_dedup.ORDERS[np.arange(len(near_dedup.ORDERS)) != tree][:, 0]] = rng.integers(0, 1 << 16, (n, len(near_dedup.ORDERS) - 1))
+        sigs[:, near_dedup.ORDERS[tree][:shared]] = 7
+    made = [(bytearray(i.to_bytes(16, "big")), 100, bytearray(x.astype(">u2").tobytes())) for i, x in enumerate(sigs, 1)]
+    nodes = spark.createDataFrame(made, "node binary, n long, sig binary").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    full = bytes([255]) * (1 << 20)
+    edges = near_dedup._region_edges(near_dedup._orders(nodes, full), 0 if n <= near_dedup.REGION else 80)
+    found = {bytes(r.node): bytes(r.root) for r in near_dedup.connected_components(edges, "a", "b").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len({found[bytes(m[0])] for m in made}) == 1
