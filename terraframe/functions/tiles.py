@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tile size and overlap by task, and of any other task.
 TASK_TILES = {
-    "object_detection": (1024, 192), "oriented_detection": (1024, 192), "instance_segmentation": (1024, 192),
-    "semantic_segmentation": (1024, 128), "change_detection": (1024, 128), "super_resolution": (256, 32),
+    "detection": (1024, 192), "object_detection": (1024, 192), "oriented_detection": (1024, 192), "instance_segmentation": (1024, 192),
+    "segmentation": (1024, 128), "semantic_segmentation": (1024, 128), "change_detection": (1024, 128), "super_resolution": (256, 32),
 }
 OTHER_TILES = (1024, 128)
 RUN_TILES = (512, 64)

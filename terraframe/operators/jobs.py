@@ -28,6 +28,13 @@ def new_job_id(prefix: str) -> str:
     return f"{prefix}_{datetime.datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
 
 
+def plain(value: Any) -> Any:
+    """Of what JSON doesn't know: numbers and lists of numpy, what an object says of itself, else its text."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    return value.to_dict() if hasattr(value, "to_dict") else str(value)
+
+
 class JobStore:
     """One JSON file a job in a folder of the driver; files that can't be read are left out of lists."""
 
@@ -40,7 +47,7 @@ class JobStore:
 
     def _write(self, record: dict) -> dict:
         with open(self._path(record["job_id"]), "w", encoding="utf-8") as file:
-            json.dump(record, file, indent=2, ensure_ascii=False, default=str)
+            json.dump(record, file, indent=2, ensure_ascii=False, default=plain)
         return record
 
     def create(self, task: str, model_id: str | None = None, inputs: list[str] | None = None, parameters: dict | None = None) -> dict:
@@ -113,5 +120,5 @@ def build_manifest(task: str, folder: str, inputs: dict, outputs: dict, paramete
 def write_manifest(manifest: dict) -> str:
     os.makedirs(os.path.dirname(manifest["manifest_path"]), exist_ok=True)
     with open(manifest["manifest_path"], "w", encoding="utf-8") as file:
-        json.dump(manifest, file, indent=2, ensure_ascii=False, default=str)
+        json.dump(manifest, file, indent=2, ensure_ascii=False, default=plain)
     return manifest["manifest_path"]

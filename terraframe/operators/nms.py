@@ -1,35 +1,53 @@
 """Greedy non-maximum suppression as rounds over a conflict graph.
 
-Boxes that overlap are found through a grid of cells as wide as the largest box: a pair is tested in
-the one cell that holds the corner of its intersection, so no pair is tested twice. A box is kept when
+Boxes that overlap are found through grids, one for each size class of boxes (powers of two of the longer
+side): a box stands in the cells of its own class and of the larger ones there are, and meets the boxes of a
+class in that class's grid. A pair is tested in the one cell that holds the corner of its intersection,
+so no pair is tested twice, and a few large boxes don't make the cells of the small ones large. A box is kept when
 all better-ranked boxes that it conflicts with are suppressed, suppressed when one of them is kept.
-This is what going through the boxes by rank gives, in as many rounds as chains of conflicts are long.
+This is what going through the boxes by rank gives. Rounds are joins as long as there are more conflicts than
+one task holds; the rest, or all of a small scene, one task settles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_area
-from .graph import cut
+from . import ranks
+from .graph import EDGES, cut
+
+#: Sides of boxes are classed from 2 to the power of this to its inverse.
+LEAST_LEVEL = -40
+#: The key's name in tables of conflicts.
+KEY = "__key"
 
 
 def conflicts(boxes: DataFrame, threshold: float, key: str = "raster_id") -> DataFrame:
-    """(key, better, worse): ranks of pairs whose IoU is at least the threshold. `boxes`: key, rank, bbox."""
-    side = boxes.select(F.max(F.greatest(F.col("bbox")[2] - F.col("bbox")[0], F.col("bbox")[3] - F.col("bbox")[1])).alias("s")).collect()[0]["s"]
-    size = float(max(side or 1.0, 1e-9))
-    cell = lambda v: F.floor(v / size).cast("long")
-    span = lambda i: F.explode(F.sequence(cell(F.col("bbox")[i]), cell(F.col("bbox")[i + 2])))
-    cells = boxes.withColumn("cx", span(0)).withColumn("cy", span(1))
-    a, b = cells.alias("a"), cells.alias("b")
+    """(KEY, better, worse): ranks of pairs whose IoU is at least the threshold. `boxes`: key, rank, bbox."""
+    longer = F.greatest(F.col("bbox")[2] - F.col("bbox")[0], F.col("bbox")[3] - F.col("bbox")[1])
+    level = F.greatest(F.lit(LEAST_LEVEL), F.least(F.lit(-LEAST_LEVEL), F.when(longer > 0, F.ceil(F.log2(longer))).otherwise(LEAST_LEVEL))).cast("int")
+    boxes = cut(boxes.select(key, "rank", "bbox", level.alias("level")))
+    # at most 2 * LEAST_LEVEL + 1 numbers
+    levels = sorted(r["level"] for r in boxes.select("level").distinct().collect())
+    cell = lambda v, at: F.floor(v / F.pow(F.lit(2.0), at)).cast("long")
+    span = lambda i: F.explode(F.sequence(cell(F.col("bbox")[i], F.col("at")), cell(F.col("bbox")[i + 2], F.col("at"))))
+    larger = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level"))
+    cells = boxes.withColumn("at", F.explode(larger)).withColumn("cx", span(0)).withColumn("cy", span(1))
+    a, b = cells.filter(F.col("at") == F.col("level")).alias("a"), cells.alias("b")
     left, right = F.col("a.bbox"), F.col("b.bbox")
     x, y = F.greatest(left[0], right[0]), F.greatest(left[1], right[1])
     w, h = F.greatest(F.lit(0.0), F.least(left[2], right[2]) - x), F.greatest(F.lit(0.0), F.least(left[3], right[3]) - y)
     union = box_area(left) + box_area(right) - w * h
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "cx", "cy")]
-    alike = (F.col("a.rank") < F.col("b.rank")) & (cell(x) == F.col("a.cx")) & (cell(y) == F.col("a.cy")) & (union > 0) & (w * h >= threshold * union)
-    return a.join(b, [*same, alike]).select(F.col(f"a.{key}").alias(key), F.col("a.rank").alias("better"), F.col("b.rank").alias("worse"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "at", "cx", "cy")]
+    once = (F.col("b.level") < F.col("a.level")) | (F.col("a.rank") < F.col("b.rank"))
+    alike = once & (F.col("a.rank") != F.col("b.rank")) & (cell(x, F.col("a.at")) == F.col("a.cx")) & (cell(y, F.col("a.at")) == F.col("a.cy")) & (union > 0) & (w * h >= threshold * union)
+    return a.join(b, [*same, alike]).select(F.col(f"a.{key}").alias(KEY), F.least("a.rank", "b.rank").alias("better"), F.greatest("a.rank", "b.rank").alias("worse"))
 
 
 def suppress(records: DataFrame, threshold: float, order: list[Column], key: str = "raster_id") -> DataFrame:
@@ -37,18 +55,49 @@ def suppress(records: DataFrame, threshold: float, order: list[Column], key: str
 
     `order` must be total within a key: score descending, then input order.
     """
-    ranked = cut(records.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")))
+    ranked = cut(ranks.ranked(records, [key], order))
     pairs = cut(conflicts(ranked.filter(F.col("bbox").isNotNull()).select(key, "rank", F.transform("bbox", lambda v: v.cast("double")).alias("bbox")), threshold, key)) if threshold > 0 else None
     if pairs is None or pairs.isEmpty():
         return ranked
-    # edges whose worse end is undecided; an end is settled once
-    gone = None
+    # conflicts whose worse end is undecided; an end is settled once
+    gone, kind = [], ranked.schema[key].dataType.simpleString()
     while True:
-        waiting = pairs.select(key, F.col("worse").alias("rank")).distinct()
-        sure = pairs.select(key, F.col("better").alias("rank")).distinct().join(waiting, [key, "rank"], "left_anti")
-        lost = cut(pairs.join(sure.withColumnRenamed("rank", "better"), [key, "better"], "left_semi").select(key, F.col("worse").alias("rank")).distinct())
-        gone = lost if gone is None else cut(gone.union(lost))
-        out = lost.withColumnRenamed("rank", "r").withColumnRenamed(key, "k")
-        pairs = cut(pairs.join(out, [F.col(key) == F.col("k"), F.col("worse") == F.col("r")], "left_anti").join(out, [F.col(key) == F.col("k"), F.col("better") == F.col("r")], "left_anti"))
-        if pairs.isEmpty():
-            return ranked.join(gone, [key, "rank"], "left_anti")
+        if pairs.count() <= EDGES:
+            gone.append(cut(pairs.coalesce(1).mapInArrow(_settled, f"`{KEY}` {kind}, rank long"), pairs))
+            break
+        waiting = pairs.select(KEY, F.col("worse").alias("rank")).distinct()
+        sure = pairs.select(KEY, F.col("better").alias("rank")).distinct().join(waiting, [KEY, "rank"], "left_anti")
+        lost = cut(pairs.join(sure.withColumnRenamed("rank", "better"), [KEY, "better"], "left_semi").select(KEY, F.col("worse").alias("rank")).distinct())
+        gone.append(lost)
+        out = lost.select(F.col(KEY).alias("k"), F.col("rank").alias("r"))
+        pairs = cut(pairs.join(out, [F.col(KEY) == F.col("k"), F.col("worse") == F.col("r")], "left_anti").join(out, [F.col(KEY) == F.col("k"), F.col("better") == F.col("r")], "left_anti"), pairs)
+    every = gone[0]
+    for more in gone[1:]:
+        every = every.union(more)
+    every = every.withColumnRenamed("rank", "__rank")
+    return ranked.join(every, [F.col(key) == F.col(KEY), F.col("rank") == F.col("__rank")], "left_anti")
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The boxes that the conflicts of one task suppress: the same rounds, over arrays."""
+    held = [x for x in batches if len(x)]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    keys = table.column(KEY).combine_chunks().dictionary_encode()
+    if isinstance(keys, pa.ChunkedArray):
+        keys = keys.combine_chunks()
+    names, of = keys.dictionary, keys.indices.to_numpy().astype(np.int64)
+    better, worse = table.column("better").to_numpy(), table.column("worse").to_numpy()
+    most = int(worse.max()) + 1
+    boxes, ends = np.unique(np.concatenate([of * most + better, of * most + worse]), return_inverse=True)
+    a, b = ends[: len(of)], ends[len(of) :]
+    gone = np.zeros(len(boxes), bool)
+    while len(a):
+        waiting = np.zeros(len(boxes), bool)
+        waiting[b] = True
+        gone[b[~waiting[a]]] = True
+        open_ = ~(gone[a] | gone[b])
+        a, b = a[open_], b[open_]
+    out = boxes[gone]
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(out // most)), pa.array(out % most)], [KEY, "rank"])

@@ -29,7 +29,8 @@ MESSAGES = {
 #: Columns that the rules read; a job's row may lack any of them.
 FACTS = {
     "has_crs_key": "boolean", "crs": "string", "target_count": "bigint", "instance_count": "bigint", "changed_pixels": "bigint", "connected_component_count": "bigint", "small_patch_count": "bigint",
-    "dominant_ratio": "double", "low_confidence_ratio": "double", "edge_object_ratio": "double", "change_area_ratio": "double", "type": "string", "transform_matches_scale": "boolean", "tile_size": "int", "overlap": "int",
+    "dominant_ratio": "double", "dominant_class": "string", "class_ratios": "string", "mean_confidence": "double", "total_area_km2": "double", "changed_area_km2": "double", "max_patch_area_m2": "double",
+    "shape_matches_scale": "boolean", "mean": "double", "min": "double", "max": "double", "low_confidence_ratio": "double", "edge_object_ratio": "double", "change_area_ratio": "double", "type": "string", "transform_matches_scale": "boolean", "tile_size": "int", "overlap": "int",
 }
 
 
@@ -95,6 +96,33 @@ def conclusion_summary(task: Column) -> Column:
     )
 
 
+def key_findings() -> Column:
+    """What a row of facts has to say, in order: targets, classes, change, scale, range of an index."""
+    c = F.col
+    text = F.format_string
+    word = lambda name: F.coalesce(F.initcap(c(name).cast("string")), F.lit("None"))
+    zero = lambda name, v: F.coalesce(c(name), F.lit(v))
+    groups = [
+        (c("target_count").isNotNull(), [text("目标数量：%d", "target_count"), text("低置信度比例：%.3f", zero("low_confidence_ratio", 0.0))]),
+        (c("class_ratios").isNotNull(), [text("类别占比：%s", "class_ratios"), text("连通域数量：%d", zero("connected_component_count", 0))]),
+        (c("change_area_ratio").isNotNull(), [text("变化面积占比：%.3f%%", c("change_area_ratio") * 100), text("最大变化斑块面积：%.2f m2", zero("max_patch_area_m2", 0.0))]),
+        (c("type") == "super_resolution", [text("输出尺寸是否匹配 scale：%s", word("shape_matches_scale")), text("transform 是否匹配 scale：%s", word("transform_matches_scale"))]),
+        (c("type") == "spectral_index", [text("指数范围：%s 至 %s", F.coalesce(c("min").cast("string"), F.lit("None")), F.coalesce(c("max").cast("string"), F.lit("None")))]),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, line) for test, lines in groups for line in lines]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("无额外关键统计发现。")))
+
+
+def conclusion(task: Column, flags: Column) -> dict[str, Column]:
+    """All parts of a conclusion over a row of facts and its flags (array of struct<code, severity, message>)."""
+    codes = F.transform(flags, lambda f: f["code"])
+    risky = F.exists(flags, lambda f: f["code"].isin("georeference_mismatch", "no_crs_warning") | (f["severity"] == "error"))
+    level = F.when(risky, "low").when(F.exists(flags, lambda f: f["severity"].isin("error", "warning")), "medium").otherwise("high")
+    return {
+        "summary": conclusion_summary(task), "confidence": level, "key_findings": key_findings(), "limitations": limitations(task, flags), "recommended_review_areas": review_areas(task, codes), "next_steps": next_steps(task, codes),
+    }
+
+
 def limitations(task: Column, flags: Column) -> Column:
     """flags: array of struct<code, message>."""
     first = [

@@ -1,26 +1,32 @@
-"""Statistics of indices, bands, classes, detections and changes: one aggregate each."""
+"""Statistics of indices, bands, classes, detections and changes: one aggregate each, and passes for percentiles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shoelace_area
 from .components import components
+from .ranks import percentiles
 
 SMALL_PATCH, LOW_SCORE = 9, 0.5
 
 
-def summary(value: str, prefix: str = "") -> list[Column]:
-    """Extent, mean, population deviation, percentiles by linear interpolation and count; zeros of none."""
-    p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return [
-        zero(F.min(value)).alias(f"{prefix}min"), zero(F.max(value)).alias(f"{prefix}max"), zero(F.avg(value)).alias(f"{prefix}mean"), zero(F.stddev_pop(value)).alias(f"{prefix}std"),
-        zero(p[0]).alias(f"{prefix}p5"), zero(p[1]).alias(f"{prefix}p50"), zero(p[2]).alias(f"{prefix}p95"), F.count(value).alias(f"{prefix}valid_pixels"),
-    ]
+def summaries(df: DataFrame, values: list[str], *more: Column) -> tuple[list[dict], Row]:
+    """Of each column its extent, mean, population deviation, 5th, 50th and 95th percentile and count, zeros of none; and further aggregates."""
+    row = df.agg(*[f(v).alias(f"{i}_{n}") for i, v in enumerate(values) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop), ("valid_pixels", F.count))], *more).collect()[0]
+    parts = percentiles(df, values, (0.05, 0.5, 0.95))
+    out = []
+    for i, v in enumerate(values):
+        p = dict(zip(("p5", "p50", "p95"), parts[v], strict=True))
+        own = {n: row[f"{i}_{n}"] for n in ("min", "max", "mean", "std")} | p
+        out.append({n: float(x or 0.0) for n, x in own.items()} | {"valid_pixels": row[f"{i}_valid_pixels"]})
+    return out, row
+
+
+SUMMARY = "min double, max double, mean double, std double, p5 double, p50 double, p95 double, valid_pixels long"
 
 
 def threshold_areas(df: DataFrame, value: str, rules: dict[str, Callable[[Column], Column]], area: float) -> DataFrame:
@@ -82,10 +88,11 @@ def record_statistics(records: DataFrame) -> DataFrame:
     six = lambda c: F.bround(F.coalesce(c, F.lit(0.0)), 6)
     share = lambda c: six(F.when(F.count("*") > 0, c / F.count("*")))
     low, edge = F.count_if(F.col("score") < LOW_SCORE), F.count_if(F.col("touches_image_edge"))
+    middle = {n: F.lit(v[0]).cast("double") for n, v in percentiles(records, ["score", "angle_degrees"], (0.5,)).items()}
     return records.agg(
-        F.count("*").alias("count"), six(F.avg("score")).alias("confidence_mean"), six(F.median("score")).alias("confidence_median"), low.alias("low_confidence_count"), share(low).alias("low_confidence_ratio"),
+        F.count("*").alias("count"), six(F.avg("score")).alias("confidence_mean"), six(middle["score"]).alias("confidence_median"), low.alias("low_confidence_count"), share(low).alias("low_confidence_ratio"),
         edge.alias("edge_object_count"), share(edge).alias("edge_object_ratio"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), F.coalesce(F.min("score"), F.lit(0.0)).alias("min_score"),
-        *[F.bround(f("angle_degrees"), 6).alias(f"angle_degrees_{n}") for f, n in ((F.avg, "mean"), (F.median, "median"), (F.min, "min"), (F.max, "max"))],
+        *[F.bround(c, 6).alias(f"angle_degrees_{n}") for c, n in ((F.avg("angle_degrees"), "mean"), (middle["angle_degrees"], "median"), (F.min("angle_degrees"), "min"), (F.max("angle_degrees"), "max"))],
     )
 
 
@@ -93,9 +100,10 @@ def detections(features: DataFrame) -> DataFrame:
     """One row of stored detections (label, score, ring): density is by the features' own area."""
     rows = features.withColumn("area", shoelace_area(F.col("ring")))
     area = F.coalesce(F.sum("area"), F.lit(0.0))
+    middle = F.lit(percentiles(rows, ["score"], (0.5,))["score"][0]).cast("double")
     return rows.agg(
         F.count("*").alias("target_count"), F.array_join(F.sort_array(F.collect_set(F.coalesce("label", F.lit("unknown")))), ",").alias("labels"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_confidence"),
-        F.coalesce(F.median("score"), F.lit(0.0)).alias("median_confidence"), F.coalesce(F.avg((F.col("score") < LOW_SCORE).cast("double")), F.lit(0.0)).alias("low_confidence_ratio"), area.alias("total_area_m2"),
+        F.coalesce(middle, F.lit(0.0)).alias("median_confidence"), F.coalesce(F.avg((F.col("score") < LOW_SCORE).cast("double")), F.lit(0.0)).alias("low_confidence_ratio"), area.alias("total_area_m2"),
         F.when(area > 0, F.count("*") / area).otherwise(0.0).alias("density_per_m2"),
     )
 
@@ -106,7 +114,8 @@ def instances(features: DataFrame) -> DataFrame:
 
 def index_statistics(df: DataFrame, value: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.agg(zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("mean"), zero(F.median(value)).alias("median"), zero(F.stddev_pop(value)).alias("std"), F.count(value).alias("valid_pixels"), F.count("*").alias("total_pixels"))
+    middle = F.lit(percentiles(df, [value], (0.5,))[value][0]).cast("double")
+    return df.agg(zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("mean"), zero(middle).alias("median"), zero(F.stddev_pop(value)).alias("std"), F.count(value).alias("valid_pixels"), F.count("*").alias("total_pixels"))
 
 
 def super_resolution(pair: DataFrame, scale: int, keys: list[str] | None = None) -> DataFrame:

@@ -83,14 +83,16 @@ _SUMMARY_SQL = ", ".join(f"coalesce({_sql_r6(e)}, 0) as {n}" for n, e in (("min"
 @_query(f"with {SCENE}, i as (select {_sql_index('ndvi')} as v from scene) select {_SUMMARY_SQL}, count(v) as valid_pixels from i")
 def m7_index_summary(spark, sf_dir):
     rows = scenes.scene(spark, sf_dir).select(indices.index("ndvi", _bands()).alias("v"))
-    return _rounded(rows.agg(*statistics.summary("v")))
+    return _rounded(spark.createDataFrame(statistics.summaries(rows, ["v"])[0], statistics.SUMMARY))
 
 
 @_query("with " + SCENE + ", i as (" + " union all ".join(f"select '{n}' as name, {_sql_index(n)} as v, (abs({INDEX_SQL[n][1]}) < 1e-6)::int as z from scene" for n in INDEX_SQL) + f") select name, {_SUMMARY_SQL}, count(v) as valid_pixels, sum(z)::bigint as near_zero_pixels from i group by name")
 def m7_all_indices(spark, sf_dir):
-    """Every index of one scan, unpivoted: one aggregate for all of them."""
-    rows = scenes.scene(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), indices.index(n, _bands()).alias("v"), indices.near_zero(n, _bands()).cast("int").alias("z")) for n in indices.FORMULAS])).alias("r")).select("r.*")
-    return _rounded(rows.groupBy("name").agg(*statistics.summary("v"), F.sum("z").alias("near_zero_pixels")))
+    """Every index of one scan: one aggregate and the passes for percentiles, for all of them."""
+    rows = scenes.scene(spark, sf_dir).select(*[c for n in indices.FORMULAS for c in (indices.index(n, _bands()).alias(n), indices.near_zero(n, _bands()).cast("int").alias(f"{n}_z"))])
+    found, more = statistics.summaries(rows, list(indices.FORMULAS), *[F.sum(f"{n}_z").alias(n) for n in indices.FORMULAS])
+    found = [{"name": n, "near_zero_pixels": more[n]} | x for n, x in zip(indices.FORMULAS, found, strict=True)]
+    return _rounded(spark.createDataFrame(found, f"name string, {statistics.SUMMARY}, near_zero_pixels long"))
 
 
 @_query(f"""with {SCENE}, i as (select {_sql_index('ndvi')} as v from scene), c as (select unnest([{{'label': 'dense', 'n': count_if(v > 0.3e0)}}, {{'label': 'water', 'n': count_if(v <= -0.1e0)}}, {{'label': 'some', 'n': count_if(v >= 0.1e0)}}]) as r from i)
@@ -239,7 +241,7 @@ def g12_alignment_warnings(spark, sf_dir):
     return rows.select("id", F.array_join(raster_ops.alignment_warnings(raster_ops.alignment(F.col("reference"), F.col("candidate"))), ",").alias("warnings"))
 
 
-_NEAREST = "select t.y as y, t.x as x, {0} from (select range // 70 as y, range % 70 as x from range(45 * 70)) t join {1} s on s.y = round_even(t.y * (19e0 / 44e0), 0)::bigint and s.x = round_even(t.x * (24e0 / 69e0), 0)::bigint"
+_NEAREST = "select t.y as y, t.x as x, {0} from (select range // 70 as y, range % 70 as x from range(45 * 70)) t, (select max(vec_id) // 25 as last from embeddings) e join {1} s on s.y = round_even(t.y * (e.last::double / 44e0), 0)::bigint and s.x = round_even(t.x * (24e0 / 69e0), 0)::bigint"
 
 
 @_query(f"with {VECTORS} " + _NEAREST.format("s.class_id", "vectors"))

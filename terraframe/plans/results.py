@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices
-from ..operators import components, nms, quality, raster_ops, statistics, stitching
+from ..functions.affine import transform
+from ..operators import components, nms, quality, ranks, raster_ops, statistics, stitching
 from ..sources import scenes
 from .registry import _ASSIGN, _INTER, _UNION, BOXES, LATER, SCENE, VECTORS, T, _bands, _query, _rounded, _sql_index, _sql_r6, _tiled, r6
 
@@ -106,7 +107,7 @@ def x9_class_histogram(spark, sf_dir):
     return _rounded(rows.groupBy("class_id").agg(F.count("*").alias("pixels"), F.min("p").alias("least"), F.max("p").alias("most")))
 
 
-@_query(f"""with {BOXES}, b as (select row_number() over (order by id) as ordinal, round_even(x1 / 3, 0)::bigint as a, round_even(y1 / 3, 0)::bigint as b, round_even(x2 / 3, 0)::bigint as c, round_even(y2 / 3, 0)::bigint as d from boxes where id < 500),
+@_query(f"""with {BOXES}, b as (select row_number() over (order by id) as ordinal, round_even(x1 / 3, 0)::bigint as a, round_even(y1 / 3, 0)::bigint as b, round_even(x2 / 3, 0)::bigint as c, round_even(y2 / 3, 0)::bigint as d from boxes),
 p as (select range as n, range // 134 as y, range % 134 as x from range(100 * 134)) select p.y, p.x, max(ordinal) as instance from b join p on p.x >= greatest(a, 0) and p.x < least(c, 134) and p.y >= greatest(b, 0) and p.y < least(d, 100) group by p.y, p.x""")
 def x10_burn_instances(spark, sf_dir):
     rows = scenes.boxes(spark, sf_dir)
@@ -163,15 +164,19 @@ def n2_merge_detections(spark, sf_dir):
     return _kept(spark, sf_dir, 0.5).groupBy("label").agg(F.count("*").alias("kept"), F.max("score").alias("best"))
 
 
-@_query(f"""with {BOXES}, t as (select *, least(400e0, x1 + 10) as a, least(300e0, y1 + 5) as b, least(400e0, x2 + 10) as c, least(300e0, y2 + 5) as d from boxes where score >= 0.2e0)
-select id, row_number() over (order by id) as instance_id, (c - a) * (d - b) as area_pixels, a <= 2 or b <= 2 or c >= 398 or d >= 298 as touches_image_edge, {_sql_r6('2e0 * a + 0.5e0 * b + 1000e0')} as gx from t where c > a and d > b""")
+_CLIPPED = f"""{BOXES}, c as (select id, label, score, least(400e0, x1 + 10) as x1, least(300e0, y1 + 5) as y1, least(400e0, x2 + 10) as x2, least(300e0, y2 + 5) as y2 from boxes where score >= 0.2e0),
+t as (select *, row_number() over (order by id) as instance_id from c where x2 > x1 and y2 > y1)"""
+
+
+@_query(_nms_sql("0.5e0", f"select r.id, r.instance_id, r.rk as rank, (x2 - x1) * (y2 - y1) as area_pixels, x1 <= 2 or y1 <= 2 or x2 >= 398 or y2 >= 298 as touches_image_edge, 5 as points, {_sql_r6('2e0 * x1 + 0.5e0 * y1 + 1000e0')} as gx, {_sql_r6('0.25e0 * x2 - 3e0 * y2 + 2000e0')} as gy from r join k on r.rk = k.rk").replace(BOXES, _CLIPPED).replace("from boxes),\nc as", "from t),\ncc as").replace("left join c on", "left join cc c on"))
 def n3_detection_assembly(spark, sf_dir):
-    """Tile-local boxes become records: score filter, shift, clip, ids before suppression, geometry."""
-    box = F.col("b")
-    rows = scenes.boxes(spark, sf_dir).filter(F.col("score") >= 0.2).withColumn("b", geometry.clip_box(geometry.translate_box(F.col("bbox"), F.lit(10), F.lit(5)), F.lit(400), F.lit(300)))
-    rows = rows.filter(~geometry.is_empty(box)).withColumn("instance_id", F.row_number().over(Window.partitionBy("raster_id").orderBy("id")).cast("long"))
-    gx = F.lit(T[0]) * box[0] + F.lit(T[1]) * box[1] + F.lit(T[2])
-    return rows.select("id", "instance_id", geometry.box_area(box).alias("area_pixels"), geometry.touches_edge(box, F.lit(400), F.lit(300)).alias("touches_image_edge"), r6(gx).alias("gx"))
+    """Tile-local boxes become records: score filter, shift, clip, ids before suppression, suppression, geometry."""
+    box = F.col("bbox")
+    rows = scenes.boxes(spark, sf_dir).filter(F.col("score") >= 0.2).withColumn("bbox", geometry.clip_box(geometry.translate_box(box, F.lit(10), F.lit(5)), F.lit(400), F.lit(300)))
+    rows = ranks.ranked(rows.filter(~geometry.is_empty(box)), ["raster_id"], [F.col("id")], "instance_id")
+    rows = nms.suppress(rows, 0.5, [F.desc("score"), F.asc("instance_id")]).withColumn("ring", geometry.to_geo(geometry.box_polygon(box), transform(T)))
+    far = F.col("ring")[2]
+    return rows.select("id", "instance_id", "rank", geometry.box_area(box).alias("area_pixels"), geometry.touches_edge(box, F.lit(400), F.lit(300)).alias("touches_image_edge"), F.size("ring").alias("points"), r6(F.col("ring")[0]["x"]).alias("gx"), r6(far["y"]).alias("gy"))
 
 
 _EVEN6 = lambda x: f"round_even(({x})::double, 6)"
@@ -454,7 +459,7 @@ def _facts(spark, sf_dir: str) -> DataFrame:
         only("object_detection", k).alias("target_count"), only("change_detection", k * 10).alias("changed_pixels"), (s + 1).cast("long").alias("connected_component_count"), F.floor(s * k / 10).alias("small_patch_count"),
         only("semantic_segmentation", 0.5 + k / 20).alias("dominant_ratio"), (k / 20).alias("low_confidence_ratio"), (k / 30).alias("edge_object_ratio"), only("change_detection", k / 11).alias("change_area_ratio"),
         (k % 2 == 0).alias("transform_matches_scale"), (s * 20).cast("int").alias("tile_size"), s.cast("int").alias("overlap"), (k / 10).alias("mean_confidence"), (k / 1000).alias("total_area_km2"), F.concat(F.lit("class_"), k.cast("string")).alias("dominant_class"),
-        (k / 500).alias("changed_area_km2"), (k / 7).alias("mean"),
+        (k / 500).alias("changed_area_km2"), only("change_detection", k.cast("double")).alias("max_patch_area_m2"), (k / 7).alias("mean"),
     )
 
 
@@ -483,18 +488,24 @@ def _concluded(spark, sf_dir: str) -> DataFrame:
     return quality.with_facts(rows).withColumn("flag_count", F.size("flags")).withColumn("codes", F.col("flags.code"))
 
 
-@_query(f"""with {_JOBS}, {_FLAGS}, n as (select job_id, count(*) as n, bool_or(code = 'low_confidence_warning') as lowc, bool_or(code = 'too_many_small_polygons_warning') as smallc from flags group by job_id)
+@_query(f"""with {_JOBS}, {_FLAGS}, n as (select job_id, count(*) as n, bool_or(code = 'no_crs_warning') as nocrs, bool_or(code = 'low_confidence_warning') as lowc, bool_or(code = 'too_many_small_polygons_warning') as smallc, string_agg(code || ': ' || message, ' | ' order by o) as said from flags group by job_id)
 select f.job_id, case task when 'object_detection' then printf('本次任务识别到 %d 个目标，平均置信度为 %.3f，质量标记 %d 项。', target_count, k / 10e0, coalesce(n, 0))
  when 'semantic_segmentation' then printf('本次语义分割覆盖约 %.6f km2，主导类别为 %s，质量标记 %d 项。', k / 1000e0, 'class_' || k, coalesce(n, 0))
  when 'super_resolution' then '本次超分辨率结果已完成 transform 和输出尺寸检查；无参考真值时不评价 PSNR、SSIM 或实际清晰度提升。'
- when 'change_detection' then '变化' when 'spectral_indices' then '光谱' else '任务 quality 已完成统计和质量检查。' end as summary,
- 1 + (task in ('change_detection', 'super_resolution'))::int + coalesce(n, 0)::int as limitations, greatest(1, coalesce(lowc, false)::int + coalesce(smallc, false)::int + (task in ('change_detection', 'super_resolution'))::int) as areas, 1 + (coalesce(n, 0) > 0)::int + (task in ('object_detection', 'change_detection'))::int as steps
+ when 'change_detection' then printf('本次变化检测变化面积约 %.6f km2，占比 %.3f%%，质量标记 %d 项。', k / 500e0, k / 11e0 * 100, coalesce(n, 0))
+ when 'spectral_indices' then printf('本次光谱指数统计均值为 %.4f，需结合地物类型解释。', k / 7e0) else '任务 quality 已完成统计和质量检查。' end as summary,
+ case when nocrs then 'low' when n > 0 then 'medium' else 'high' end as confidence,
+ case task when 'object_detection' then printf('目标数量：%d | 低置信度比例：%.3f', target_count, low) when 'change_detection' then printf('变化面积占比：%.3f%% | 最大变化斑块面积：%.2f m2', k / 11e0 * 100, k * 1e0)
+ when 'super_resolution' then '输出尺寸是否匹配 scale：None | transform 是否匹配 scale：' || case when sr_ok then 'True' else 'False' end else '无额外关键统计发现。' end as findings,
+ concat_ws(' | ', '未提供人工真值，因此不输出 IoU、mAP、PSNR 等监督评价指标。', case task when 'change_detection' then '变化检测结论依赖两期影像配准质量；若 CRS、分辨率或对齐存在问题，变化面积可能失真。' when 'super_resolution' then '无参考超分只能检查尺寸、transform 和基础统计，不能声称结果更清晰或更准确。' end, said) as limitations,
+ coalesce(nullif(concat_ws(' | ', case when lowc then '低置信度目标集中区域' end, case when smallc then '小斑块密集区域' end, case task when 'change_detection' then '最大变化斑块及其周边' when 'super_resolution' then '道路、建筑边缘等高频纹理区域' end), ''), '抽样检查主要输出区域') as areas,
+ concat_ws(' | ', '核对输出文件路径并抽样人工复核。', case when n > 0 then '优先处理 quality_flags 中的 warning/error。' end, case task when 'object_detection' then '如目标漏检或误检较多，调整置信度阈值或更换真实模型 adapter。' when 'change_detection' then '复核两期影像配准和时相差异。' end) as steps
 from facts f left join n on n.job_id = f.job_id""")
 def r14_conclusion(spark, sf_dir):
-    """Wording by task; two summaries whose numbers round on ties are shortened here."""
-    rows, task = _concluded(spark, sf_dir), F.col("task")
-    short = F.when(task == "change_detection", "变化").when(task == "spectral_indices", "光谱").otherwise(quality.conclusion_summary(task))
-    return rows.select("job_id", short.alias("summary"), F.size(quality.limitations(task, F.col("flags"))).alias("limitations"), F.size(quality.review_areas(task, F.col("codes"))).alias("areas"), F.size(quality.next_steps(task, F.col("codes"))).alias("steps"))
+    """Every part of a conclusion as text, lists joined."""
+    parts = quality.conclusion(F.col("task"), F.col("flags"))
+    joined = lambda name: F.array_join(parts[name], " | ")
+    return _concluded(spark, sf_dir).select("job_id", parts["summary"].alias("summary"), parts["confidence"].alias("confidence"), joined("key_findings").alias("findings"), joined("limitations").alias("limitations"), joined("recommended_review_areas").alias("areas"), joined("next_steps").alias("steps"))
 
 
 @_query(f"""with {_JOBS}, {_FLAGS}, a as (select job_id, string_agg('- [' || severity || '] ' || code || ': ' || message, chr(10) order by o) as t from flags group by job_id)

@@ -62,8 +62,10 @@ class Models:
         self.known = {m: {"id": m, "task": t, "backend": "fake", "framework": "numpy", "weights": None} for t, m in DEFAULT_MODELS.items()}
         for model in (load_yaml(path) or {}).get("models", []) if path else []:
             old = self.known.get(model["id"], {})
-            keep = {k: old[k] for k in ("runner", "conda_env", "entrypoint", "runner_timeout_sec") if k in old and model["id"].endswith("_subprocess")}
-            self.known[model["id"]] = old | model | keep
+            apart = lambda m: str(m.get("runner") or "").lower() == "subprocess"
+            # the later of two descriptions counts, but for one that would take a worker's own process away
+            if not (model["id"].endswith("_subprocess") and apart(old) and not apart(model)):
+                self.known[model["id"]] = model
 
     def list(self) -> list[dict]:
         return [self.known[k] for k in sorted(self.known)]
@@ -77,11 +79,11 @@ class Models:
 
     def check(self, model: dict) -> dict:
         """Raises where this model can't run here."""
-        runner = model.get("runner", "inprocess")
+        runner = str(model.get("runner") or "inprocess").lower()
         if runner == "http":
             raise NotImplementedError("the http runner is reserved")
         if runner not in RUNNERS:
             raise ValueError(f"unknown runner {runner!r}")
-        if model["backend"] not in ("fake", "fake_external"):
-            raise BackendUnavailable(f"{model['id']}: {model['backend']} has no framework or weights here")
+        if runner != "subprocess" and str(model.get("backend", "fake")).lower() not in ("fake", "fake_external"):
+            raise BackendUnavailable(f"{model['id']}: {model.get('backend')} has no framework or weights here")
         return model

@@ -21,12 +21,12 @@ def write_lines(features: DataFrame, path: str, column: str = "feature") -> None
 
 
 def write_collection(features: DataFrame, path: str, crs: str | None = None, column: str = "feature") -> None:
-    """One collection file on the driver, for results small enough to be looked at."""
-    body: dict = {"type": "FeatureCollection", "features": [json.loads(r[0]) for r in features.select(column).toLocalIterator()]}
-    if crs:
-        body["crs"] = {"type": "name", "properties": {"name": crs}}
+    """One collection file, written row by row on the driver, for other programs; large results go by write_lines."""
     with open(path, "w", encoding="utf-8") as file:
-        json.dump(body, file, indent=2, ensure_ascii=False)
+        file.write('{"type": "FeatureCollection", "features": [')
+        for i, row in enumerate(features.select(column).toLocalIterator()):
+            file.write(("," if i else "") + "\n" + row[0])
+        file.write("]" + (', "crs": ' + json.dumps({"type": "name", "properties": {"name": crs}}) if crs else "") + "}\n")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -1,21 +1,28 @@
-"""Baseline GeoTIFF without other libraries: uncompressed strips, planar or interleaved, little or big endian.
+"""GeoTIFF without other libraries: strips or tiles, plain, deflate, LZW or PackBits, with or without
+differencing, planar or interleaved, little or big endian.
 
-Reading is by strips of rows, a task each; writing gathers a scene on the driver, for exchange.
+A task reads strips or tiles, and writes rows of pixels to their place in the file, so no scene is held
+as a whole. Executors must see the file's folder.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of TIFF 6.0 and GeoTIFF: sizes of field types, tags, sample formats.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SCALE, TIEPOINT, MATRIX, GEOKEYS, NODATA = 33550, 33922, 34264, 34735, 42113
 PROJECTED, GEOGRAPHIC = 3072, 2048
 FORMATS = {"u": 1, "i": 2, "f": 3}
@@ -45,8 +52,10 @@ def _fields(path: str) -> tuple[dict[int, tuple], str]:
 
 def describe(path: str) -> dict:
     fields, order = _fields(path)
-    if fields.get(COMPRESSION, (1,))[0] != 1:
-        raise ValueError("compressed TIFF files are not read")
+    if fields.get(COMPRESSION, (1,))[0] not in DECODERS:
+        raise ValueError(f"TIFF compression {fields[COMPRESSION][0]} is not read")
+    tiled = TILE_OFFSETS in fields
+    high = fields[TILE_HEIGHT][0] if tiled else min(fields.get(ROWS, fields[HEIGHT])[0], fields[HEIGHT][0])
     kind = {1: "uint", 2: "int", 3: "float"}[fields.get(FORMAT, (1,))[0]]
     transform = None
     if MATRIX in fields:
@@ -62,57 +71,118 @@ def describe(path: str) -> dict:
     return {
         "path": path, "width": fields[WIDTH][0], "height": fields[HEIGHT][0], "count": fields.get(SAMPLES, (1,))[0], "dtype": f"{kind}{fields[BITS][0]}", "crs": f"EPSG:{code}" if code else None,
         "transform": transform, "nodata": float(nodata) if nodata not in (None, "") else None, "driver": "GTiff", "fallback_container": False, "order": order,
-        "offsets": fields[OFFSETS], "rows": fields.get(ROWS, fields[HEIGHT])[0], "planar": fields.get(PLANAR, (1,))[0] == 2,
+        "offsets": fields[TILE_OFFSETS if tiled else OFFSETS], "sizes": fields.get(TILE_COUNTS if tiled else COUNTS), "tiled": tiled, "high": high, "wide": fields[TILE_WIDTH][0] if tiled else fields[WIDTH][0],
+        "planar": fields.get(PLANAR, (1,))[0] == 2, "compression": fields.get(COMPRESSION, (1,))[0], "predictor": fields.get(PREDICTOR, (1,))[0],
     }
 
 
+def _lzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; 256 clears the table, 257 ends."""
+    out, table, before = [], [], b""
+    bits = held = at = 0
+    width = 9
+    while True:
+        while held < width:
+            if at == len(raw):
+                return b"".join(out)
+            bits, held, at = (bits << 8 | raw[at]) & 0xFFFFFF, held + 8, at + 1
+        code = bits >> (held - width) & ((1 << width) - 1)
+        held -= width
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, before, width = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        entry = table[code] if code < len(table) else before + before[:1]
+        out.append(entry)
+        if before:
+            table.append(before + entry[:1])
+        before = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
+def _packbits(raw: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out.append(raw[at + 1 : at + 2 + n])
+            at += 2 + n
+        elif n > 128:
+            out.append(raw[at + 1 : at + 2] * (257 - n))
+            at += 2
+        else:
+            at += 1
+    return b"".join(out)
+
+
+DECODERS = {PLAIN: bytes, LZW: _lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: _packbits}
+
+
+def _samples(raw: bytes, info: dict, rows: int, bands: int) -> np.ndarray:
+    """(row, column, band) of one strip or tile."""
+    dtype = np.dtype(info["dtype"]).newbyteorder(info["order"])
+    data = np.frombuffer(DECODERS[info["compression"]](raw), np.uint8)[: rows * info["wide"] * bands * dtype.itemsize]
+    if info["predictor"] == 3:  # bytes of a row's values by significance, each after the one before
+        planes = np.cumsum(data.reshape(rows, dtype.itemsize * info["wide"], bands), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, info["wide"] * bands)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, info["wide"], bands)
+    data = data.view(dtype).reshape(rows, info["wide"], bands)
+    if info["predictor"] == 2:
+        data = np.cumsum(data, axis=1, dtype=dtype.newbyteorder("="))
+    return data
+
+
 def read_scene(spark: SparkSession, path: str) -> DataFrame:
     """y, x and b1 to b<count>; integer samples as longs, others as doubles."""
     info = describe(path)
-    dtype = np.dtype(info["dtype"]).newbyteorder(info["order"])
-    whole = np.issubdtype(dtype, np.integer)
+    whole = np.issubdtype(np.dtype(info["dtype"]), np.integer)
     names = ["y", "x", *(f"b{i + 1}" for i in range(info["count"]))]
-    width, height, rows, bands, offsets = info["width"], info["height"], info["rows"], info["count"], info["offsets"]
-    strips = -(-height // rows)
+    width, height, high, wide, bands = info["width"], info["height"], info["high"], info["wide"], info["count"]
+    across = -(-width // wide)
+    parts = across * -(-height // high)
+    itemsize = np.dtype(info["dtype"]).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(path, "rb") as file:
-            for batch in batches:
-                for s in batch.column("id").to_pylist():
-                    n = min(rows, height - s * rows) * width
 
-                    def part(at: int, count: int) -> np.ndarray:
-                        file.seek(at)
-                        return np.frombuffer(file.read(count * dtype.itemsize), dtype)
+            def stored(number: int, rows: int, count: int) -> np.ndarray:
+                file.seek(info["offsets"][number])
+                size = info["sizes"][number] if info["sizes"] else rows * wide * count * itemsize
+                return _samples(file.read(size), info, rows, count)
 
-                    data = [part(offsets[b * strips + s], n) for b in range(bands)] if info["planar"] else part(offsets[s], n * bands).reshape(n, bands).T
-                    y, x = np.divmod(np.arange(n), width)
-                    yield pa.RecordBatch.from_arrays([pa.array(y + s * rows), pa.array(x), *(pa.array(b.astype(np.int64 if whole else np.float64)) for b in data)], names)
+            for batch in batches:
+                for part in batch.column("id").to_pylist():
+                    top, left = part // across * high, part % across * wide
+                    rows = high if info["tiled"] else min(high, height - top)
+                    data = np.concatenate([stored(b * parts + part, rows, 1) for b in range(bands)], axis=2) if info["planar"] else stored(part, rows, bands)
+                    data = data[: height - top, : width - left]
+                    y, x = np.divmod(np.arange(data.shape[0] * data.shape[1]), data.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(y + top), pa.array(x + left), *(pa.array(data[:, :, b].ravel().astype(np.int64 if whole else np.float64)) for b in range(bands))], names)
 
     schema = ", ".join(["y long", "x long", *(f"{n} {'long' if whole else 'double'}" for n in names[2:])])
-    return spark.range(0, strips, 1, strips).mapInArrow(run, schema)
+    return spark.range(0, parts, 1, min(parts, 4096)).mapInArrow(run, schema)
 
 
 def write_scene(pixels: DataFrame, path: str, width: int, height: int, dtype: str, crs: str | None = None, transform: tuple | None = None, nodata: float | None = None) -> None:
-    """Bands in order of the columns after y and x, each in strips of its own."""
+    """Bands in order of the columns after y and x, each in strips of its own; pixels that are not there are nodata or 0.
+
+    Strips lie at known places, so each task writes its rows there; a task that runs again writes the same.
+    """
     names = [c for c in pixels.columns if c not in ("y", "x")]
-    data = np.full((len(names), height, width), 0 if nodata is None else nodata, dtype=np.dtype(dtype).newbyteorder("<"))
-    table = pixels.select("y", "x", *names).toArrow()
-    y, x = table["y"].to_numpy(), table["x"].to_numpy()
-    for i, name in enumerate(names):
-        data[i, y, x] = table[name].to_numpy().astype(dtype)
-    strips, at, offsets, counts = [], 8, [], []
-    for band in data:
+    sample = np.dtype(dtype).newbyteorder("<")
+    n, bits = len(names), sample.itemsize * 8
+    line = width * sample.itemsize
+    if n * height * line >= (1 << 32) - (1 << 20):
+        raise ValueError("a TIFF file holds less than 4 GB")
+    offsets, counts = [], []
+    for band in range(n):
         for first in range(0, height, STRIP):
-            raw = band[first : first + STRIP].tobytes()
-            strips.append(raw)
-            offsets.append(at)
-            counts.append(len(raw))
-            at += len(raw)
-    n, bits = len(names), data.itemsize * 8
+            offsets.append(8 + band * height * line + first * line)
+            counts.append(min(STRIP, height - first) * line)
+    table_at = 8 + n * height * line
     fields = {
         WIDTH: ("I", [width]), HEIGHT: ("I", [height]), BITS: ("H", [bits] * n), COMPRESSION: ("H", [1]), PHOTOMETRIC: ("H", [1]), OFFSETS: ("I", offsets), SAMPLES: ("H", [n]), ROWS: ("I", [STRIP]), COUNTS: ("I", counts),
-        PLANAR: ("H", [2]), FORMAT: ("H", [FORMATS[data.dtype.kind]] * n),
+        PLANAR: ("H", [2]), FORMAT: ("H", [FORMATS[sample.kind]] * n),
     }
     if transform is not None:
         a, b, c, d, e, f = tuple(transform)[:6]
@@ -124,7 +194,7 @@ def write_scene(pixels: DataFrame, path: str, width: int, height: int, dtype: st
     if nodata is not None:
         fields[NODATA] = ("s", f"{nodata:g}".encode() + b"\0")
     kinds = {"H": 3, "I": 4, "d": 12, "s": 2}
-    table_at, extra = at, b""
+    extra = b""
     extra_at = table_at + 2 + 12 * len(fields) + 4
     entries = b""
     for tag in sorted(fields):
@@ -136,4 +206,26 @@ def write_scene(pixels: DataFrame, path: str, width: int, height: int, dtype: st
         else:
             entries += struct.pack("<HHI", tag, kinds[code], len(values)) + raw.ljust(4, b"\0")
     with open(path, "wb") as file:
-        file.write(b"II*\0" + struct.pack("<I", table_at) + b"".join(strips) + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + extra)
+        file.write(b"II*\0" + struct.pack("<I", table_at))
+        if nodata:
+            row = np.full(width, nodata, sample).tobytes()
+            for _ in range(n * height):
+                file.write(row)
+        file.seek(table_at)
+        file.write(struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + extra)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as out:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                at = batch.column("y").to_numpy() * width + batch.column("x").to_numpy()
+                new = np.flatnonzero(np.r_[True, np.diff(at) != 1, True])
+                for b, name in enumerate(names):
+                    values = batch.column(name).to_numpy(zero_copy_only=False).astype(sample)
+                    for i, j in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                        os.pwrite(out.fileno(), values[i:j].tobytes(), 8 + b * height * line + int(at[i]) * sample.itemsize)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], ["done"])
+
+    ordered = pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *names).repartitionByRange("y").sortWithinPartitions("y", "x")
+    ordered.mapInArrow(place, "done int").count()

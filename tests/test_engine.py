@@ -1,5 +1,6 @@
 """Whole tasks through the engine's verbs, plug-in models and streams."""
 
+import json
 import os
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraframe.api import Engine
 from terraframe.operators.adapters import Adapter, detect
-from terraframe.sources import npz, scenes
+from terraframe.sources import catalog, npz, scenes
 from terraframe.streaming import scenes as streams
 
 
@@ -55,6 +56,108 @@ def test_detection_segmentation_super_resolution(spark, engine):
     assert engine.preflight(100, 70, "x", 32, 8)["tile_count"] == 12 and len(engine.list_models()) == 6
 
 
+def test_oriented_and_instance_outputs(spark, engine):
+    pixels = scenes.visual_synthetic(spark, 60, 48, 3).withColumns({b: F.when((F.col("x") >= 5) & (F.col("x") < 18) & (F.col("y") >= 4) & (F.col("y") < 16), 230).otherwise(F.col(b)) for b in ("b1", "b2", "b3")})
+    bands, t = ["b1", "b2", "b3"], (2, 0, 100, 0, -2, 200)
+    turned = engine.run_detection(pixels, bands, (60, 48), task="oriented_detection", tile=32, overlap=8, transform=t)
+    rows = spark.read.parquet(turned["outputs"]["detections"]).collect()
+    assert rows and all(r.angle_degrees == 25 and r.rotated[4] == 25 and len(r.ring) == 5 and r.label.startswith("oriented_") for r in rows)
+    for r in rows:
+        assert r.bbox == [min(p.x for p in r.polygon), min(p.y for p in r.polygon), max(p.x for p in r.polygon), max(p.y for p in r.polygon)]
+        assert np.allclose([(p.x, p.y) for p in r.ring], [(2 * p.x + 100, -2 * p.y + 200) for p in r.polygon])
+    found = engine.run_detection(pixels, bands, (60, 48), task="instance_segmentation", tile=64, overlap=0, transform=t)
+    stored = spark.read.parquet(found["outputs"]["detections"]).collect()
+    mask = spark.read.parquet(found["outputs"]["instance_mask"])
+    assert sorted(r.instance for r in mask.select("instance").distinct().collect()) == list(range(1, len(stored) + 1)) and mask.count() == sum(r.area_pixels for r in stored)
+    assert sorted(r.instance_id for r in stored) == list(range(1, len(stored) + 1))
+    body = json.load(open(found["outputs"]["geojson"], encoding="utf-8"))
+    assert len(body["features"]) == len(stored) and body["features"][0]["properties"]["label"] == stored[0].label
+    done = engine.analyze(found["job_id"])
+    assert done["statistics"]["instance_count"] == len(stored) and done["conclusion"]["key_findings"][0] == f"目标数量：{len(stored)}" and done["conclusion"]["confidence"] in ("high", "medium", "low")
+    by_file = engine.calculate_statistics(job_id=found["job_id"], zones="z.geojson")
+    assert by_file["statistics"]["feature_count"] == len(stored) and by_file["quality_flags"][0]["code"] == "zonal_stats_not_run"
+
+
+def test_every_task_is_analysed_anew(spark, engine):
+    pixels, later = scenes.synthetic(spark, 30, 20, 4), scenes.synthetic(spark, 30, 20, 4, changed=True)
+    bands = ["b1", "b2", "b3", "b4"]
+    classes = engine.analyze(engine.run_semantic_segmentation(pixels, bands, area=4.0)["job_id"])
+    assert abs(sum(classes["statistics"]["class_ratios"].values()) - 1) < 1e-9 and classes["conclusion"]["key_findings"][0].startswith("类别占比：")
+    change = engine.analyze(engine.run_change_detection(pixels, later, bands, area=2.0)["job_id"])
+    assert change["statistics"]["changed_area_m2"] == 2 * change["statistics"]["changed_pixels"] and "变化面积占比" in change["conclusion"]["key_findings"][0]
+    image = engine.analyze(engine.run_super_resolution(pixels, 2, (2, 0, 0, 0, -2, 0), size=(30, 20))["job_id"])
+    assert image["statistics"]["shape_matches_scale"] and image["statistics"]["transform_matches_scale"]
+    index = engine.analyze(engine.run_spectral_indices(pixels, ["ndvi"])["job_id"])
+    assert index["statistics"]["indices"]["ndvi"]["total_pixels"] == 600 and "0.0000" in index["conclusion"]["summary"]
+    mask = engine.calculate_statistics(job_id=change["job_id"])
+    assert [b["total_pixels"] for b in mask["statistics"]["bands"]] == [600, 600]
+    with pytest.raises(ValueError):
+        engine.calculate_statistics()
+
+
+def test_requests_are_checked_before_they_run(spark, engine):
+    pixels = scenes.synthetic(spark, 8, 8, 3)
+    for call in (lambda: engine.run_detection(pixels, ["b1"], (8, 8), iou=1.5), lambda: engine.run_detection(pixels, ["b1"], (8, 8), tile=8, overlap=8), lambda: engine.run_change_detection(pixels, pixels, ["b1"], threshold=-1), lambda: engine.run_super_resolution(pixels, 0)):
+        with pytest.raises(ValueError):
+            call()
+    assert engine.preflight(2048, 1200, "detection")["overlap"] == 192 and engine.preflight(2048, 1200, "segmentation")["overlap"] == 128
+
+
+MODELS = """models:
+  - {id: far_subprocess, task: object_detection, backend: fake, runner: subprocess, entrypoint: terraframe.operators.worker, runner_timeout_sec: 60}
+  - {id: far_subprocess, task: object_detection, backend: fake}
+  - {id: classes_apart, task: semantic_segmentation, backend: x, runner: subprocess, entrypoint: terraframe.operators.worker}
+  - {id: change_apart, task: change_detection, backend: x, runner: subprocess, entrypoint: terraframe.operators.worker}
+  - {id: image_apart, task: super_resolution, backend: x, runner: subprocess, entrypoint: terraframe.operators.worker}
+  - {id: none, task: object_detection, backend: x, runner: subprocess, entrypoint: no.such.module}
+  - {id: later, task: object_detection, backend: fake, runner: http}
+  - {id: real, task: object_detection, backend: ultralytics}
+"""
+
+
+def test_models_in_their_own_process(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text(MODELS)
+    engine = Engine(spark, str(tmp_path / "jobs"), str(tmp_path / "m.yaml"))
+    pixels = scenes.synthetic(spark, 20, 16, 3).withColumn("b1", F.when((F.col("x") == 9) & (F.col("y") == 7), 255).otherwise(F.col("b1")))
+    found = engine.run_detection(pixels, ["b1", "b2", "b3"], (20, 16), tile=32, overlap=0, model_id="far_subprocess")
+    assert found["statistics"]["count"] == 1 and found["model_id"] == "far_subprocess"
+    mask = engine.run_semantic_segmentation(pixels, ["b1", "b2", "b3"], size=(20, 16), tile=12, overlap=4, model_id="classes_apart")
+    assert spark.read.parquet(mask["outputs"]["mask"]).count() == 320
+    change = engine.run_change_detection(pixels, scenes.synthetic(spark, 20, 16, 3, changed=True), ["b1"], sizes=((16, 20), (16, 20)), tile=32, overlap=0, model_id="change_apart")
+    assert change["statistics"]["changed_pixels"] > 0
+    image = engine.run_super_resolution(pixels, 2, size=(20, 16), tile=12, overlap=4, model_id="image_apart")
+    back = {(r.y, r.x): r.b2 for r in spark.read.parquet(image["outputs"]["image"]).collect()}
+    assert len(back) == 4 * 320 and all(back[2 * r.y + 1, 2 * r.x] == r.b2 for r in pixels.collect())
+    with pytest.raises(Exception, match="no.such.module"):
+        engine.run_detection(pixels, ["b1"], (20, 16), tile=32, overlap=0, model_id="none")
+    assert engine.jobs.list()[0]["status"] in ("failed", "success") and any(j["status"] == "failed" for j in engine.jobs.list())
+    with pytest.raises(NotImplementedError):
+        engine.run_detection(pixels, ["b1"], (20, 16), model_id="later")
+    with pytest.raises(catalog.BackendUnavailable):
+        engine.run_detection(pixels, ["b1"], (20, 16), model_id="real")
+
+
+def test_models_are_loaded_and_closed_by_task(spark, tmp_path):
+    class Noted(Adapter):
+        def load(self):
+            self.file = open(tmp_path / f"{os.getpid()}-{id(self)}", "w")  # noqa: SIM115
+            self.file.write("load ")
+
+        def predict(self, tile, info):
+            self.file.write("tile ")
+            return [{"score": 0.5, "bbox": [0, 0, 1, 1], "polygon": [(0, 0), (1, 0), (1, 1)]}]
+
+        def close(self):
+            self.file.write("close")
+            self.file.close()
+
+    pixels = scenes.synthetic(spark, 20, 16, 1)
+    rows = detect(pixels, ["b1"], (20, 16), Noted, tile=8, overlap=0).collect()
+    said = [p.read_text().split() for p in tmp_path.iterdir()]
+    assert len(rows) == 6 and all(s[0] == "load" and s[-1] == "close" for s in said) and sum(s.count("tile") for s in said) == 6
+    assert all((p.x - q.x, p.y - q.y) == (0, 0) for r in rows for p, q in [(r.polygon[0], type(r.polygon[0])(x=r.bbox[0], y=r.bbox[1]))])
+
+
 def test_inspect(spark, engine, tmp_path):
     path = str(tmp_path / "s.npz")
     npz.write_scene(scenes.synthetic(spark, 8, 6, 2), path, 8, 6, "uint8", crs=None)

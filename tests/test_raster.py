@@ -3,11 +3,12 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terraframe.functions import affine, geometry, indices, tiles
-from terraframe.operators import components, jobs, nms, quality, raster_ops, statistics, stitching
+from terraframe.operators import components, graph, jobs, nms, quality, ranks, raster_ops, statistics, stitching
 from terraframe.plans import registry
 from terraframe.sources import catalog, features, npz, scenes
 
@@ -80,8 +81,8 @@ def test_indices_with_nodata_and_zero_denominators(spark):
     with pytest.raises(ValueError):
         indices.resolve_bands(4, {"thermal": 1})
     assert list(indices.thresholds(0.3)) == [">0.3"] and list(indices.thresholds([">= 1"])) == [">= 1"]
-    empty = one(rows.limit(0).select(indices.index("ndvi", bands).alias("v")).agg(*statistics.summary("v")))
-    assert empty.valid_pixels == 0 and empty.mean == 0
+    (empty,), _ = statistics.summaries(rows.limit(0).select(indices.index("ndvi", bands).alias("v")), ["v"])
+    assert empty["valid_pixels"] == 0 and empty["mean"] == 0
 
 
 def test_segmentation_and_change_statistics(spark):
@@ -185,3 +186,62 @@ def test_conclusions_of_changes_and_indices(spark):
         "本次变化检测变化面积约 0.012346 km2，占比 25.000%，质量标记 3 项。", "本次变化检测变化面积约 0.000000 km2，占比 0.000%，质量标记 0 项。",
         "本次光谱指数统计均值为 0.4322，需结合地物类型解释。", "本次光谱指数统计均值为 0.0000，需结合地物类型解释。",
     ]
+
+
+def _overlap(a, b):
+    shared = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+    return shared / union if union > 0 else 0
+
+
+@pytest.mark.parametrize("held", [500_000, 20])
+def test_suppression_of_boxes_of_all_sizes(spark, monkeypatch, held):
+    """Against going through the boxes by rank, with conflicts in one task and in rounds."""
+    monkeypatch.setattr(nms, "EDGES", held)
+    rng = np.random.default_rng(3)
+    boxes = []
+    for i in range(300):
+        side, x, y = rng.choice([0.3, 1, 2, 5, 30, 300]), *rng.uniform(-50, 100, 2)
+        boxes.append(("ab"[i % 2], i, float(rng.random()), [float(v) for v in (x, y, x + side * rng.uniform(0.5, 1), y + side * rng.uniform(0.5, 1))]))
+    boxes += [("a", 900, 0.5, None), ("b", 901, 0.5, [3.0, 3.0, 3.0, 3.0])]
+    found = nms.suppress(spark.createDataFrame(boxes, "raster_id string, id int, score double, bbox array<double>"), 0.1, [F.desc("score"), F.asc("id")]).collect()
+    wanted = []
+    for key in "ab":
+        kept = []
+        for _, i, _, box in sorted((b for b in boxes if b[0] == key), key=lambda b: (-b[2], b[1])):
+            if box is None or all(_overlap(box, k) < 0.1 for k in kept):
+                kept += [box] if box else []
+                wanted.append(i)
+    assert sorted(r.id for r in found) == sorted(wanted)
+
+
+def test_ranks_and_percentiles_over_partitions(spark):
+    rows = spark.createDataFrame([("ab"[i % 2] if i % 5 else None, float(i * 37 % 101), i) for i in range(400)], "k string, v double, id int").repartition(7)
+    found = ranks.ranked(rows, ["k"], [F.desc("v"), F.asc("id")]).collect()
+    for key in ("a", "b", None):
+        own = sorted((r for r in found if r.k == key), key=lambda r: (-r.v, r.id))
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+    values = rows.withColumns({"w": F.when(F.col("id") < 1, 5.0), "none": F.lit(None).cast("double")})
+    got = ranks.percentiles(values, ["v", "w", "none"], (0.05, 0.5, 0.95))
+    assert np.allclose(got["v"], np.percentile([float(i * 37 % 101) for i in range(400)], [5, 50, 95])) and got["w"] == [5.0] * 3 and got["none"] == [None] * 3
+    assert ranks.percentiles(values.limit(0), ["v"], (0.5,)) == {"v": [None]}
+
+
+@pytest.mark.parametrize("held", [500_000, 100])
+def test_components_of_many_tasks(spark, held):
+    """Random edges, a long path and a hub, contracted in one task and in many."""
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 1000, (400, 2))] + [(i, i + 1) for i in range(2000, 2500)] + [(3000, 4000 + i) for i in range(600)]
+    found = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", held).collect()}
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    assert found == {x: top(x) for x in root}
