@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Base of the polynomial hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+#: Modulus and base of a second one.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 #: A batch is worked on in pieces of about so many bytes; a longer text is a piece of its own.
 PIECE = 1 << 20
 
@@ -62,6 +64,7 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1 << 30, size: int =
         del batch
         give_back()
     _powers.cache_clear()
+    _prime_powers.cache_clear()
     give_back()
 
 
@@ -95,18 +98,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=2)
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
+        powers = np.ones(1, np.uint64)
+        while len(powers) < n:
+            powers = np.concatenate([powers, powers * np.uint64(pow(base, len(powers), PRIME)) % np.uint64(PRIME)])
+        out.append(powers[:n])
+    return out[0], out[1]
+
+
 class SpanHash:
-    """64-bit hashes of any spans of a buffer, in constant time each; equal bytes, equal hashes."""
+    """Hashes of any spans of a sequence of bytes or numbers, in constant time each; equal spans, equal hashes.
+
+    `of` is a polynomial modulo 2**64; `other` one modulo a prime, which has nothing in common with it.
+    """
 
     def __init__(self, data: np.ndarray):
-        n = max(1 << 16, 1 << int(len(data) + 1).bit_length())
-        self.up, self.down = _powers(n)
+        self.data = data
+        self.room = max(1 << 16, 1 << int(len(data) + 1).bit_length())
+        self.up, self.down = _powers(self.room)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
+        self.rest: np.ndarray | None = None
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        prime = np.uint64(PRIME)
+        up, down = _prime_powers(self.room)
+        if self.rest is None:
+            self.rest = np.zeros(len(self.data) + 1, np.uint64)
+            symbols = mix(self.data.astype(np.uint64) + np.uint64(1)) % prime
+            np.cumsum(symbols * up[: len(symbols)] % prime, out=self.rest[1:])
+        return mix((self.rest[end] - self.rest[start]) % prime * down[start] % prime + np.uint64(1))
+
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word: a longest run without SPACE bytes, never over two rows."""
@@ -155,6 +183,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return row[new], total[new]
 
 
+def fixed_binary(rows: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Rows of bytes as a binary Arrow column, null where not valid; `rows` are those of the valid ones."""
+    width = rows.shape[1]
+    sizes = np.full(len(rows), width) if valid is None else np.where(valid, width, 0)
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    mask = pa.array(valid, pa.bool_()).buffers()[1] if valid is not None else None
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [mask, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Offsets of each of n rows in an ordered array of row numbers."""
     return np.searchsorted(row, np.arange(n + 1))

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, least_reachable
-from .kernels import bounded, mix, pieces, row_bounds, shingles, text_buffers
+from .kernels import bounded, fixed_binary, mix, pieces, row_bounds, shingles, text_buffers
 from .tables import PLACES, bitmap, cut, maybe
 
 HASHES, TREES, SPARSE, DEPTH, REGION = 64, 32, 3, 4, 256
@@ -77,18 +77,6 @@ def signatures(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary(rows: np.ndarray, valid: np.ndarray | None = None, n: int | None = None) -> pa.Array:
-    """Rows of bytes as an Arrow column of n values, null where not valid."""
-    width = rows.shape[1]
-    if valid is None:
-        sizes = np.full(len(rows), width)
-    else:
-        sizes = np.where(valid, width, 0)
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    mask = pa.array(valid, pa.bool_()).buffers()[1] if valid is not None else None
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [mask, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-
-
 def scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, __n (set size), __set (its key, null if empty) and __sig of each row."""
 
@@ -105,7 +93,7 @@ def scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 some = len(begin) > 0
                 sets = set_keys(begin, hashes) if some else np.empty((0, 16), np.uint8)
                 sigs = signatures(begin, hashes).astype(">u2").view(np.uint8).reshape(len(begin), -1) if some else np.empty((0, 2 * HASHES), np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, n), pa.array(size, pa.int64()), _binary(sets, full), _binary(sigs, full)], [key, "__n", "__set", "__sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, n), pa.array(size, pa.int64()), fixed_binary(sets, full), fixed_binary(sigs, full)], [key, "__n", "__set", "__sig"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, __n long, __set binary, __sig binary")
@@ -157,7 +145,7 @@ def _orders(nodes: DataFrame, known: bytes) -> DataFrame:
                 if len(at):
                     place = np.ascontiguousarray(sigs[at][:, ORDERS[tree]]).view(np.uint8).reshape(len(at), -1)
                     rest = [batch.column(c).take(pa.array(at)) for c in ("node", "n", "sig")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()), _binary(place), *rest], ["tree", "place", "node", "n", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()), fixed_binary(place), *rest], ["tree", "place", "node", "n", "sig"])
 
     return nodes.select("node", "n", "sig").mapInArrow(run, "tree int, place binary, node binary, n long, sig binary")
 
@@ -217,7 +205,7 @@ def _region_edges(orders: DataFrame, percent: int) -> DataFrame:
             parts.append(hung(tree[:border], place[:border], raw[:border], DEPTH))
             if whole:
                 parts.append(hung(tree[:border], place[:border], raw[:border], SPARSE))
-        return pa.RecordBatch.from_arrays([_binary(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([fixed_binary(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True
@@ -270,7 +258,7 @@ def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
                 _, once = np.unique(keys[hit], axis=0, return_index=True)
                 hit = hit[once]
                 values = pa.ListArray.from_arrays(pa.array(np.append(bounds[full], bounds[-1]), pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([_binary(keys[hit]), values.take(pa.array(hit))], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([fixed_binary(keys[hit]), values.take(pa.array(hit))], ["node", "items"])
 
     return docs.select(text).mapInArrow(run, "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items"))
 
@@ -324,7 +312,7 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
             edge = items.offsets.to_numpy().astype(np.int64)
             found, _ = links(sigs, edge - edge[0], items.flatten().to_numpy(), label.ravel(), few, percent)
             raw, pairs = nodes.reshape(-1, 1).view(np.uint8).reshape(-1, 16), np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([_binary(raw[pairs[:, 0]]), _binary(raw[pairs[:, 1]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([fixed_binary(raw[pairs[:, 0]]), fixed_binary(raw[pairs[:, 1]])], ["a", "b"])
 
         before = None
         for batch in batches:
@@ -359,10 +347,12 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, cell: int
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     full = sets.select(F.col("node").alias("s"), "items")
 
-    def blocks(rows: DataFrame) -> DataFrame:
-        """The clusters' numbers of blocks."""
+    def with_blocks(rows: DataFrame) -> DataFrame:
+        """The rows with their clusters' numbers of blocks; a row that is alone goes."""
         count = rows.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("t"))
-        return count.filter("k > 1").select("c", _blocks(F.col("k"), F.col("t"), cell, most).alias("blocks"))
+        # kept first, so that the join has nothing but exchanges below it and adaptive execution can split a large cluster
+        count = cut(count.filter("k > 1").select("c", _blocks(F.col("k"), F.col("t"), cell, most).alias("blocks")))
+        return cut(rows.join(count, F.col("cluster") == F.col("c")).drop("c"), count)
 
     def within(rows: DataFrame, salt: str) -> DataFrame:
         """Links within the blocks of the rows' clusters."""
@@ -374,7 +364,7 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, cell: int
         comps = connected_components(found, "a", "b").select(F.col("node").alias("m"), "root")
         return rows.drop("comp").join(comps, F.col("node") == F.col("m"), "left").withColumn("comp", F.coalesce("root", "node")).drop("m", "root")
 
-    rows = cut(members.withColumn("comp", F.col("node")).join(blocks(members), F.col("cluster") == F.col("c")).drop("c"))
+    rows = with_blocks(members.withColumn("comp", F.col("node")))
     found = cut(within(rows, "0"))
     large = cut(rows.filter("blocks > 1"), rows)
     many, step = large.count(), 0
@@ -385,7 +375,7 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, cell: int
         few = some.count()
         if 2 * few > many:
             break
-        some, many = cut(some.join(blocks(some), F.col("cluster") == F.col("c")).drop("c")), few
+        some, many = with_blocks(some), few
         found = cut(found.union(within(some, str(step))), found, some)
     else:
         return found
@@ -393,7 +383,8 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, cell: int
     count = large.groupBy("cluster", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("t")).groupBy(F.col("cluster").alias("c"))
     count = count.agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"), F.max(F.struct("k", "comp", "t")).alias("top"))
     count = count.filter("k > top.k").select("c", "main", _blocks(F.col("k") - F.col("top.k"), F.col("t") - F.col("top.t"), cell, most).alias("fews"), _blocks(F.col("k"), F.col("t"), cell, most).alias("manys"))
-    there = cut(large.join(count, F.col("cluster") == F.col("c")).drop("c", "blocks"), large)
+    count = cut(count)
+    there = cut(large.join(count, F.col("cluster") == F.col("c")).drop("c", "blocks"), large, count)
     outside = F.col("comp") != F.col("main")
     asked = there.filter(outside).withColumns({"x": own("few", "fews"), "few": F.lit(True)}).select("*", every("manys").alias("y"))
     others = there.withColumns({"y": own("many", "manys"), "few": F.lit(False)}).select("*", every("fews").alias("x"))
@@ -443,7 +434,7 @@ def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
                 bounds = row_bounds(row, last - first)
                 full = np.diff(bounds) > 0
                 sets = set_keys(bounds[:-1][full], hashes) if full.any() else np.empty((0, 16), np.uint8)
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, _binary(sets, full)], [*batch.schema.names, "__set"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, fixed_binary(sets, full)], [*batch.schema.names, "__set"])
 
     return docs.mapInArrow(run, schema)
 

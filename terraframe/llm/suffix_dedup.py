@@ -1,33 +1,39 @@
-"""Exact repeated byte strings over a corpus: ranks of growing strings, until unique or long enough.
+"""Exact repeated strings over a corpus: ranks of growing strings, until unique or long enough.
 
-Every byte is to go that a string of LENGTH bytes covers which also starts anywhere else. Prefix
-doubling ranks all positions by short strings, then by ones twice as long, dropping positions as
-soon as they are unique. Here it does so from anchors instead of from every position, and a rank is
-a 64-bit hash of the string, since only equality is asked for:
+Every byte is to go that a string of LENGTH bytes covers which also starts anywhere else; beside that,
+words are counted that a run of PASSAGE words covers which another document has. Prefix doubling ranks
+all positions by short strings, then by ones twice as long, dropping positions as soon as they are
+unique. Here it does so from anchors instead of from every position, and a rank is a hash of the
+string, since only equality is asked for. It works on bytes and on words alike, in the same passes:
 
-* Of the grams of half of LENGTH in a string, the least hash is its anchor, so equal strings have
-  equal anchors at equal distances. About 1 position in 85 is an anchor; each stands for the run of
-  strings that it is the anchor of, which start at distances lo to hi before it.
+* Of the grams of half the length in a string, the least hash is its anchor, so equal strings have
+  equal anchors at equal distances. About 1 byte in 85 is an anchor, and 1 word in 13; each stands for the
+  run of strings that it is the anchor of, which start at distances lo to hi before it.
 * Level 0 ranks anchors by their gram. Where it is unique, so are all its strings.
 * An anchor's strings together are one longer string; where that is repeated, all of them are.
 * Else the distances are split into blocks. The strings of a block share a core, longer than the
   gram; unique cores end a block, repeated unions settle it, and what is open goes on to smaller
-  blocks, in the end single strings. Ranks grow from LENGTH / 2 over LENGTH - b + 1, with b each of
-  BLOCKS, to LENGTH bytes.
+  blocks, in the end single strings. Ranks grow from half the length over length - b + 1, with b each
+  of BLOCKS, to the length.
 
-Texts equal as a whole are settled by a count of text hashes. Counts are aggregated partially and
-rows meet their counts in joins of two shuffled sides, so a passage that a third of all texts hold
-is no hot group; nothing is emitted per pair. What was counted once is mostly dropped before it is
-shuffled, by bitmaps of fixed size that never drop a repeated rank.
+What decides are 128 bits of two unlike hashes, one modulo 2**64 and one modulo a prime; what only saves
+work (grams, cores, bitmaps) are 64.
+
+Texts equal as a whole are settled by a count of text hashes, and copies of a text are one from then on, combined on
+the map side. Counts are aggregated partially and rows meet their counts in joins of two shuffled
+sides, so a passage that a third of all texts hold is no hot group; nothing is emitted per pair. What
+was counted once is mostly dropped before it is shuffled, by bitmaps of fixed size that never drop a
+repeated rank.
 
 Defined results: a null text is an empty one; matches never go over the end of a text; strings are
 judged on the input, with overlaps; repeated rows get equal results; texts shorter than LENGTH stay.
+Words of a text that occurs more than once count as found in another document if they are PASSAGE or more.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +41,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SpanHash, bounded, mix, pieces, text_buffers
-from .tables import PLACES, bitmap, cut, maybe, release
+from .kernels import SpanHash, bounded, fixed_binary, mix, pieces, row_bounds, text_buffers, words
+from .tables import PLACES, bitmap, cut, maybe
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
+#: Bytes of a string that counts as repeated, and words of a passage that does: more than 50.
+LENGTH, PASSAGE = 400, 51
 #: Distances to a block, by level.
 BLOCKS = (16, 4, 1)
 #: Bits of a position in the order in which the least gram is looked for.
 POSITION = 26
 
-#: Bits of lo and hi in a run, a long with the anchor's position above them.
-BITS = 12
+#: Bits of lo and hi in a run, a long with the anchor's position above them, and the bit that marks a run of words.
+BITS, WORDS = 12, 1 << 62
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,10 +91,25 @@ def anchors(hashes: SpanHash, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def _tag(hashes: np.ndarray, *marks: np.ndarray) -> np.ndarray:
-    """Hashes that also tell where a string lies about its anchor."""
+    """Hashes that also tell where a string lies about its anchor, and of what it is made."""
     for m in marks:
         hashes = mix(hashes ^ ((np.asarray(m).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
-    return hashes.view(np.int64)
+    return hashes
+
+
+def _names(hashes: SpanHash, start: np.ndarray, end: np.ndarray, *marks: np.ndarray) -> np.ndarray:
+    """(strings, 16): 128 bits of each string and its marks."""
+    return np.stack([_tag(hashes.of(start, end), *marks), _tag(hashes.other(start, end), *marks)], axis=1).view(np.uint8)
+
+
+def _sequences(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, int]) -> Iterator[tuple[int, int, SpanHash, np.ndarray]]:
+    """Kind, length, hashes and offsets of the texts as bytes and as words; of lengths that are asked for."""
+    here = SpanHash(data)
+    if lengths[0]:
+        yield 0, lengths[0], here, offsets
+    if lengths[1]:
+        start, end, row = words(data, offsets)
+        yield 1, lengths[1], SpanHash(here.of(start, end)), row_bounds(row, len(offsets) - 1)
 
 
 def _places(ranks: np.ndarray) -> np.ndarray:
@@ -101,8 +122,8 @@ def _repeated(ranks: DataFrame, column: str) -> bytes:
     return bitmap(twice, F.col(column).bitwiseAND(F.lit(PLACES - 1)))
 
 
-def _packed(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    return pa.array(pos << 2 * BITS | lo << BITS | hi, pa.int64())
+def _packed(kind: int, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    return pa.array((WORDS if kind else 0) | pos << 2 * BITS | lo << BITS | hi, pa.int64())
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -111,7 +132,7 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(flat)).alias("k"), flat.alias("text"))
 
 
-def _level0(texts: DataFrame, length: int, known: bytes | None) -> DataFrame:
+def _level0(texts: DataFrame, lengths: tuple[int, int], known: bytes | None) -> DataFrame:
     """Ranks of all anchors; with a bitmap of repeated ranks, rows of those anchors."""
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
@@ -119,29 +140,28 @@ def _level0(texts: DataFrame, length: int, known: bytes | None) -> DataFrame:
         for batch in bounded(batches):
             data, offsets = text_buffers(batch.column("text"))
             for first, last in pieces(offsets):
-                here = offsets[first : last + 1] - offsets[first]
-                hashes = SpanHash(data[offsets[first] : offsets[last]])
-                row, at, lo, hi = anchors(hashes, here, length)
-                rank = hashes.of(at, at + length // 2).view(np.int64)
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(rank)], ["c"])
-                    continue
-                some = maybe(shared.value, _places(rank))
-                row, at, lo, hi, rank = row[some], at[some], lo[some], hi[some], rank[some]
-                whole = _tag(hashes.of(at - hi, at - lo + length), lo, hi)
-                k = batch.column("k").take(pa.array(first + row))
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(whole), k, _packed(at - here[row], lo, hi)], ["c", "u", "k", "run"])
-
-    return texts.mapInArrow(run, "c long" if shared is None else "c long, u long, k binary, run long")
-
-
-def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, pos, lo, hi of the column of runs, one after another."""
+                for kind, length, hashes, here in _sequences(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], lengths):
+                    row, at, lo, hi = anchors(hashes, here, length)
+                    rank = _tag(hashes.of(at, at + length // 2), kind).view(np.int64)
+                    if shared is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(rank)], ["c"])
+                        continue
+                    some = maybe(shared.value, _places(rank))
+                    row, at, lo, hi, rank = row[some], at[some], lo[some], hi[some], rank[some]
+                    whole = fixed_binary(_names(hashes, at - hi, at - lo + length, lo, hi, kind))
+                    k = batch.column("k").take(pa.array(first + row))
+                    yield pa.RecordBatch.from_arrays([pa.array(rank), whole, k, _packed(kind, at - here[row], lo, hi)], ["c", "u", "k", "run"])
+
+    return texts.mapInArrow(run, "c long" if shared is None else "c long, u binary, k binary, run long")
+
+
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, kind, pos, lo, hi of the column of runs, one after another."""
     column = batch.column("runs")
     flat = column.flatten().to_numpy()
     row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
     low = (1 << BITS) - 1
-    return row, flat >> 2 * BITS, flat >> BITS & low, flat & low
+    return row, flat >= WORDS, (flat & (WORDS - 1)) >> 2 * BITS, flat >> BITS & low, flat & low
 
 
 def _blocks(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
@@ -152,7 +172,7 @@ def _blocks(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> tuple
     return run, number, np.maximum(lo[run], number * block), np.minimum(hi[run], number * block + block - 1)
 
 
-def _refine(packed: DataFrame, length: int, block: int, known: bytes | None) -> DataFrame:
+def _refine(packed: DataFrame, lengths: tuple[int, int], block: int, known: bytes | None) -> DataFrame:
     """Ranks of the cores of all blocks of the runs; with a bitmap, rows of the blocks whose core it has.
 
     `packed` has k, the compressed text, and runs.
@@ -162,34 +182,35 @@ def _refine(packed: DataFrame, length: int, block: int, known: bytes | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
         for whole in bounded(batches):
-            raw = whole.column("packed")
-            size = np.array([zstandard.get_frame_parameters(x.as_buffer()).content_size for x in raw], np.int64)
+            size = np.array([zstandard.get_frame_parameters(x.as_buffer()).content_size for x in whole.column("packed")], np.int64)
             for first, last in pieces(np.concatenate([[0], np.cumsum(size)])):
                 batch = whole.slice(first, last - first)
-                texts = [inflate.decompress(x.as_buffer()) for x in batch.column("packed")]
-                begin = np.concatenate([[0], np.cumsum(size[first:last])])
-                hashes = SpanHash(np.frombuffer(b"".join(texts), np.uint8))
-                row, pos, lo, hi = _runs(batch)
-                of, number, near, far = _blocks(pos, lo, hi, block)
-                at = (pos + begin[row])[of]
-                core = _tag(hashes.of(at - number * block, at - number * block - block + 1 + length), number)
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(core)], ["c"])
-                    continue
-                some = maybe(shared.value, _places(core))
-                of, near, far, at = of[some], near[some], far[some], at[some]
-                union = _tag(hashes.of(at - far, at - near + length), near, far)
-                yield pa.RecordBatch.from_arrays([pa.array(union), batch.column("k").take(pa.array(row[of])), _packed(pos[of], near, far)], ["u", "k", "run"])
-
-    return packed.mapInArrow(run, "c long" if shared is None else "u long, k binary, run long")
+                data = np.frombuffer(b"".join(inflate.decompress(x.as_buffer()) for x in batch.column("packed")), np.uint8)
+                offsets = np.concatenate([[0], np.cumsum(size[first:last])])
+                all_rows, kinds, all_pos, all_lo, all_hi = _runs(batch)
+                asked = tuple(n if (kinds == bool(i)).any() else 0 for i, n in enumerate(lengths))
+                for kind, length, hashes, begin in _sequences(data, offsets, asked):
+                    row, pos, lo, hi = (x[kinds == bool(kind)] for x in (all_rows, all_pos, all_lo, all_hi))
+                    of, number, near, far = _blocks(pos, lo, hi, block)
+                    at = (pos + begin[row])[of]
+                    core = _tag(hashes.of(at - number * block, at - number * block - block + 1 + length), number, kind).view(np.int64)
+                    if shared is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(core)], ["c"])
+                        continue
+                    some = maybe(shared.value, _places(core))
+                    of, near, far, at = of[some], near[some], far[some], at[some]
+                    union = fixed_binary(_names(hashes, at - far, at - near + length, near, far, kind))
+                    yield pa.RecordBatch.from_arrays([union, batch.column("k").take(pa.array(row[of])), _packed(kind, pos[of], near, far)], ["u", "k", "run"])
+
+    return packed.mapInArrow(run, "c long" if shared is None else "u binary, k binary, run long")
 
 
 def _place(k: str):
     return F.pmod(F.conv(F.hex(F.substring(k, 14, 3)), 16, 10).cast("long"), F.lit(PLACES))
 
 
-def _some_texts(texts: DataFrame, wanted: DataFrame, outcome: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Joins the texts that `wanted` (by k) may have with it; only those are shuffled."""
+def _some_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that `wanted` (by k) has, one of each and compressed, with its other columns; hardly any others are shuffled."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, _place("k")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,48 +221,56 @@ def _some_texts(texts: DataFrame, wanted: DataFrame, outcome: Callable[[DataFram
             packed = [squeeze.compress(batch.column("text")[int(i)].as_buffer() or b"") for i in at]
             yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(at)), pa.array(packed, pa.binary())], ["k", "packed"])
 
-    found = texts.mapInArrow(run, "k binary, packed binary")
-    return outcome(found.join(wanted.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w"))
+    found = texts.mapInArrow(run, "k binary, packed binary").groupBy("k").agg(F.first("packed").alias("packed"))
+    return found.join(wanted.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w")
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
     """k and its runs; a text has at most as many as bytes."""
-    return rows.groupBy("k").agg(F.collect_list("run").alias("runs"))
+    return rows.groupBy("k").agg(F.collect_set("run").alias("runs"))
+
+
+def _status(rows: DataFrame) -> DataFrame:
+    """Of each string: whether its rows are settled, i.e. it is a string of bytes that stands twice, or one of words in two texts; and one of its rows."""
+    seen = rows.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.min(F.struct("k", "run")).alias("one"))
+    settled = F.when(F.col("one.run") >= WORDS, F.col("low") != F.col("high")).otherwise(F.col("n") > 1)
+    return cut(seen.select("v", settled.alias("settled"), "one"))
 
 
-def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: int = 0, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """k (hash of a text) and run: strings that start from pos - hi to pos - lo start anywhere else, too.
 
-    Texts that occur more than once as a whole are not complete here.
+    With `passage`, runs of so many words that stand in another text, too; 0 leaves them out. What only
+    copies of a whole text have in common is not told here.
     """
-    if length >> BITS or blocks[-1] != 1:
+    if length >> BITS or passage >> BITS or blocks[-1] != 1:
         raise ValueError("too long a string, or blocks don't end in single strings")
-    texts = _texts(docs, text).filter(F.octet_length("text") >= length)
-    rows = cut(_level0(texts, length, _repeated(_level0(texts, length, None), "c")))
-    ranks = cut(rows.groupBy("u").agg(F.count("*").alias("n"), F.min("c").alias("c"), F.min(F.struct("k", "run")).alias("one")))
-    grams = ranks.groupBy(F.col("c").alias("g")).agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("single"))
-    grams = cut(grams.filter((F.col("all") > 1) & (F.col("single") > 0)).select("g"))
-    settled = ranks.filter("n > 1").select(F.col("u").alias("v"))
-    found = [cut(rows.join(settled, F.col("u") == F.col("v")).select("k", "run"))]
+    lengths = (length, passage)
+    texts = _texts(docs, text).filter(F.octet_length("text") >= min(length, 2 * passage - 1 if passage else length))
+    # copies of a text give equal rows, which are one from here on
+    rows = cut(_level0(texts, lengths, _repeated(_level0(texts, lengths, None), "c")).dropDuplicates(["c", "u", "k", "run"]))
+    status = _status(rows)
+    marked = cut(rows.join(status.select("v", "settled"), F.col("u") == F.col("v")).drop("v"), rows)
+    grams = marked.groupBy(F.col("c").alias("g")).agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("open"))
+    grams = cut(grams.filter((F.col("all") > 1) & (F.col("open") > 0)).select("g"))
+    found = [cut(marked.filter("settled").select("k", "run"))]
     # what goes on: anchors whose strings aren't settled, and one of each that is, for those to be found by
-    runs = cut(_by_text(ranks.join(grams, F.col("c") == F.col("g"), "left_semi").select("one.*")))
-    del rows, ranks, settled
-    release(runs)
-    state = cut(_some_texts(texts, runs, lambda x: x))
+    first = status.filter("settled").select(F.col("v").alias("u"), "one.*")
+    first = first.join(marked.select("u", "c").dropDuplicates(["u"]).withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select("c", "k", "run")
+    more = marked.filter("NOT settled").select("c", "k", "run").union(first)
+    runs = cut(_by_text(more.join(grams, F.col("c") == F.col("g"), "left_semi")), marked, status, grams)
+    state = cut(_some_texts(texts, runs), runs)
     for block in blocks:
-        rows = _refine(state, length, block, _repeated(_refine(state, length, block, None), "c"))
-        counts = rows.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"))
-        rows = rows.join(counts, F.col("u") == F.col("v"))
+        rows = cut(_refine(state, lengths, block, _repeated(_refine(state, lengths, block, None), "c")))
+        status = _status(rows)
+        marked = rows.join(status.select("v", "settled"), F.col("u") == F.col("v"))
         if block == 1:
-            found.append(rows.filter("n > 1").select("k", "run"))
+            found.append(cut(marked.filter("settled").select("k", "run"), rows, status, state))
             break
-        rows = cut(rows.select("u", "k", "run", "n"))
-        found.append(cut(rows.filter("n > 1").select("k", "run")))
-        more = rows.filter("n > 1").groupBy("u").agg(F.min(F.struct("k", "run")).alias("one")).select("one.*")
-        runs = cut(_by_text(rows.filter("n = 1").select("k", "run").union(more)))
-        del rows, more
-        state = cut(state.drop("runs").join(runs.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w"))
-        release(runs)
+        marked = cut(marked.select("k", "run", "settled"), rows)
+        found.append(cut(marked.filter("settled").select("k", "run")))
+        runs = cut(_by_text(marked.filter("NOT settled").select("k", "run").union(status.filter("settled").select("one.*"))), marked, status)
+        state = cut(state.drop("runs").join(runs.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w"), state, runs)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -256,45 +285,59 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(new[1:], len(start)) - 1].tolist(), strict=True)) if len(new) else []
 
 
-def _without(packed: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """k, n_removed, n_spans and hash of the rest of each text, or the rest itself."""
+def _without(packed: DataFrame, lengths: tuple[int, int], with_text: bool) -> DataFrame:
+    """k, n_removed, n_spans, repeated words and hash of the rest of each text, or the rest itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
         for batch in bounded(batches):
-            row, pos, lo, hi = _runs(batch)
+            row, kinds, pos, lo, hi = _runs(batch)
             edge = np.searchsorted(row, np.arange(len(batch) + 1))
-            removed, spans, rest = [], [], []
+            removed, spans, passages, rest = [], [], [], []
             for i, raw in enumerate(batch.column("packed")):
                 text = inflate.decompress(raw.as_buffer())
-                own = slice(edge[i], edge[i + 1])
-                gone = _merged(pos[own] - hi[own], pos[own] - lo[own] + length)
+                own = np.arange(edge[i], edge[i + 1])
+                told, bare = own[kinds[own]], own[~kinds[own]]
+                gone = _merged(pos[bare] - hi[bare], pos[bare] - lo[bare] + lengths[0])
                 kept = b"".join(text[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True))
                 removed.append(len(text) - len(kept))
                 spans.append(len(gone))
+                passages.append(sum(e - s for s, e in _merged(pos[told] - hi[told], pos[told] - lo[told] + lengths[1])))
                 rest.append(kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(rest, pa.string())], ["key", "removed", "spans", "rest"])
+            columns = [batch.column("k"), *(pa.array(x, pa.int64()) for x in (removed, spans, passages)), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "removed", "spans", "passages", "rest"])
 
-    return packed.mapInArrow(run, "key binary, removed long, spans long, rest string")
+    return packed.mapInArrow(run, "key binary, removed long, spans long, passages long, rest string")
 
 
-def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, or with `with_text` kept_text.
+def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False, passage: int = PASSAGE) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, or with `with_text` kept_text; and n_passage_words.
 
-    Kept text leaves out bytes of a character that a removed run cuts through.
+    Kept text leaves out bytes of a character that a removed run cuts through. n_passage_words are the
+    words in runs of `passage` words that another document has; they are told and not removed.
     """
     texts = _texts(docs, text)
     flat = F.coalesce(F.col(text), F.lit(""))
+    n_words = F.coalesce(F.regexp_count(flat, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     base = docs.select(key, F.unhex(F.md5(flat)).alias("k"), F.octet_length(flat).cast("long").alias("n_bytes"), flat.alias("kept") if with_text else F.sha2(flat, 256).alias("kept"))
-    copies = cut(base.filter(F.col("n_bytes") >= length).groupBy("k").count().filter(F.col("count") > 1).select(F.col("k").alias("c")))
-    spans = repeated_strings(docs, text, length).join(copies, F.col("k") == F.col("c"), "left_anti")
-    spans = cut(spans.groupBy("k").agg(F.collect_list("run").alias("runs")))
-    some = _some_texts(texts, spans, lambda x: _without(x, length, with_text))
+    counts = docs.select(F.unhex(F.md5(flat)).alias("k"), F.octet_length(flat).alias("b"), n_words.alias("w")).filter((F.col("b") >= length) | (F.col("w") >= passage))
+    counts = counts.groupBy("k").agg(F.count("*").alias("n"), F.first("b").alias("b"), F.first("w").alias("w"))
+    copies = cut(counts.filter("n > 1").select(F.col("k").alias("c"), "b", "w"))
+    spans = repeated_strings(docs, text, length, passage)
+    # whole texts that occur again are settled, in bytes if long enough and in words if enough
+    done = F.when(F.col("run") >= WORDS, F.col("w") >= passage).otherwise(F.col("b") >= length)
+    spans = spans.join(copies, F.col("k") == F.col("c"), "left").filter(F.col("c").isNull() | ~done).select("k", "run")
+    spans = cut(_by_text(spans))
+    some = _without(_some_texts(texts, spans), (length, passage), with_text)
+    told = cut(some, spans)
     nothing = F.lit("") if with_text else F.sha2(F.lit(""), 256)
-    whole = copies.select(F.col("c").alias("key"), F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), nothing.alias("rest"))
-    told = cut(some.unionByName(whole))
-    release(told)
-    out = base.join(told, F.col("k") == F.col("key"), "left")
-    removed = F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.coalesce("removed", "n_bytes")).cast("long")
+    # one row for each text that has something to tell, so that rows meet them in one join
+    both = told.join(copies, F.col("key") == F.col("c"), "full").withColumn("t", F.coalesce("key", "c")).drop("key", "c")
+    out = base.join(cut(both, told, copies), F.col("k") == F.col("t"), "left")
+    whole = F.coalesce(F.col("b") >= length, F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     name = "kept_text" if with_text else "kept_sha256"
-    return out.select(base[key], "n_bytes", removed.alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("rest", "kept").alias(name))
+    return out.select(
+        base[key], "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(zero("removed")).alias("n_removed"), F.when(whole, F.lit(1).cast("long")).otherwise(zero("spans")).alias("n_spans"),
+        F.when(whole, nothing).otherwise(F.coalesce("rest", "kept")).alias(name), F.when(F.col("w") >= passage, F.col("w")).otherwise(zero("passages")).alias("n_passage_words"),
+    )

@@ -112,6 +112,42 @@ def test_op3(spark, small, texts):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw[r.doc_id]), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def passages(texts, n=suffix_dedup.PASSAGE):
+    """Words of each text in runs of n words that another text's row has, by its place in the list."""
+    where, split = defaultdict(set), [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for i, w in enumerate(split):
+        for k in range(len(w) - n + 1):
+            where[tuple(w[k : k + n])].add(i)
+    out = []
+    for w in split:
+        mark = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            if len(where[tuple(w[k : k + n])]) > 1:
+                mark[k : k + n] = True
+        out.append(int(mark.sum()))
+    return out
+
+
+def test_op3_tells_passages_of_other_documents(spark, small, texts):
+    rows = {r.doc_id: r.n_passage_words for r in run(spark, small, "op3_suffix_dedup").itertuples()}
+    ids = sorted(texts)
+    assert [rows[i] for i in ids] == passages([texts[i] for i in ids]) and sum(rows.values()) > 0
+
+
+def test_passages_of_words(spark):
+    """Short words, other spacing, at the edges of texts, one word too few, copies, and repeats within one text only."""
+    rng = np.random.default_rng(8)
+    some = lambda n: list(map(str, rng.integers(0, 1000, n)))
+    part, own, line = some(51), some(60), some(55)
+    rows = [
+        " ".join([*some(30), *part, *some(9)]), "\t".join(part), "  ".join([*part, *some(3)]), " ".join([*some(5), *part[:50], *some(5)]), " ".join([*own, *some(2), *own]), " ".join(some(80)), None, "",
+        " ".join(line), " ".join(line), "a b " * 40, " ".join([*some(4), *some(200)]), " ".join([*own[5:57], *some(4)]), "a b " * 40,
+    ]
+    found = suffix_dedup.remove_repeated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).toPandas().sort_values("doc_id")
+    wanted = passages(rows)
+    assert found.n_passage_words.tolist() == wanted and wanted[1] == 51 and wanted[3] == 0 and wanted[4] == 104 and wanted[8] == 55 and wanted[10] == 80
+
+
 def test_repeats_within_a_text_and_periodic_ones(spark):
     rng = np.random.default_rng(3)
     noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
