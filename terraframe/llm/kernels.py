@@ -109,6 +109,9 @@ def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(PRIME)
+
+
 class SpanHash:
     """Hashes of any spans of a sequence of bytes or numbers, in constant time each; equal spans, equal hashes.
 
@@ -131,8 +134,13 @@ class SpanHash:
         up, down = _prime_powers(self.room)
         if self.rest is None:
             self.rest = np.zeros(len(self.data) + 1, np.uint64)
-            symbols = mix(self.data.astype(np.uint64) + np.uint64(1)) % prime
-            np.cumsum(symbols * up[: len(symbols)] % prime, out=self.rest[1:])
+            if self.data.dtype == np.uint8:
+                terms = BYTE_SYMBOLS[self.data]
+            else:
+                terms = mix(self.data.astype(np.uint64) + np.uint64(1)) & prime
+            terms *= up[: len(terms)]
+            # below 2**32 and equal modulo the prime, so sums of up to 2**31 of them don't overflow
+            np.cumsum((terms & prime) + (terms >> np.uint64(31)), out=self.rest[1:])
         return mix((self.rest[end] - self.rest[start]) % prime * down[start] % prime + np.uint64(1))
 
 

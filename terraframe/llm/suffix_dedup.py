@@ -6,14 +6,14 @@ all positions by short strings, then by ones twice as long, dropping positions a
 unique. Here it does so from anchors instead of from every position, and a rank is a hash of the
 string, since only equality is asked for. It works on bytes and on words alike, in the same passes:
 
-* Of the grams of half the length in a string, the least hash is its anchor, so equal strings have
-  equal anchors at equal distances. About 1 byte in 85 is an anchor, and 1 word in 13; each stands for the
+* Of the grams of a quarter of the length in a string, the least hash is its anchor, so equal strings have
+  equal anchors at equal distances. About 1 byte in 130 is an anchor, and 1 word in 18; each stands for the
   run of strings that it is the anchor of, which start at distances lo to hi before it.
 * Level 0 ranks anchors by their gram. Where it is unique, so are all its strings.
 * An anchor's strings together are one longer string; where that is repeated, all of them are.
 * Else the distances are split into blocks. The strings of a block share a core, longer than the
   gram; unique cores end a block, repeated unions settle it, and what is open goes on to smaller
-  blocks, in the end single strings. Ranks grow from half the length over length - b + 1, with b each
+  blocks, in the end single strings. Ranks grow from a quarter of the length over length - b + 1, with b each
   of BLOCKS, to the length.
 
 What decides are 128 bits of two unlike hashes, one modulo 2**64 and one modulo a prime; what only saves
@@ -41,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import discard
 from .kernels import SpanHash, bounded, fixed_binary, mix, pieces, row_bounds, text_buffers, words
 from .tables import PLACES, bitmap, cut, maybe
 
@@ -68,7 +69,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(hashes: SpanHash, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position, lo and hi of every anchor: it is that of the strings from position - hi to position - lo."""
-    gram, size = length // 2, int(offsets[-1])
+    gram, size = length // 4, int(offsets[-1])
     none = np.empty(0, np.int64)
     if size < length:
         return none, none, none, none
@@ -142,7 +143,7 @@ def _level0(texts: DataFrame, lengths: tuple[int, int], known: bytes | None) ->
             for first, last in pieces(offsets):
                 for kind, length, hashes, here in _sequences(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], lengths):
                     row, at, lo, hi = anchors(hashes, here, length)
-                    rank = _tag(hashes.of(at, at + length // 2), kind).view(np.int64)
+                    rank = _tag(hashes.of(at, at + length // 4), kind).view(np.int64)
                     if shared is None:
                         yield pa.RecordBatch.from_arrays([pa.array(rank)], ["c"])
                         continue
@@ -230,11 +231,17 @@ def _by_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.collect_set("run").alias("runs"))
 
 
-def _status(rows: DataFrame) -> DataFrame:
-    """Of each string: whether its rows are settled, i.e. it is a string of bytes that stands twice, or one of words in two texts; and one of its rows."""
-    seen = rows.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.min(F.struct("k", "run")).alias("one"))
-    settled = F.when(F.col("one.run") >= WORDS, F.col("low") != F.col("high")).otherwise(F.col("n") > 1)
-    return cut(seen.select("v", settled.alias("settled"), "one"))
+def _marked(rows: DataFrame) -> DataFrame:
+    """The rows with settled, whether their string is one of bytes that stands twice, or one of words in two texts; and one, true of one of its rows.
+
+    All that is aggregated is numbers, so counts are kept in hash tables.
+    """
+    texts, row = F.xxhash64("k"), F.xxhash64("k", "run")
+    seen = rows.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"), F.min(texts).alias("low"), F.max(texts).alias("high"), F.min(row).alias("first"), F.max("run").alias("any"))
+    settled = F.when(F.col("any") >= WORDS, F.col("low") != F.col("high")).otherwise(F.col("n") > 1)
+    # kept first, so that the join has nothing but exchanges below it and adaptive execution can split a common string
+    status = cut(seen.select("v", settled.alias("settled"), "first"))
+    return cut(rows.join(status, F.col("u") == F.col("v")).withColumn("one", row == F.col("first")).drop("u", "v", "first"), rows, status)
 
 
 def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: int = 0, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
@@ -249,27 +256,21 @@ def repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH,
     texts = _texts(docs, text).filter(F.octet_length("text") >= min(length, 2 * passage - 1 if passage else length))
     # copies of a text give equal rows, which are one from here on
     rows = cut(_level0(texts, lengths, _repeated(_level0(texts, lengths, None), "c")).dropDuplicates(["c", "u", "k", "run"]))
-    status = _status(rows)
-    marked = cut(rows.join(status.select("v", "settled"), F.col("u") == F.col("v")).drop("v"), rows)
+    marked = _marked(rows)
     grams = marked.groupBy(F.col("c").alias("g")).agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("open"))
     grams = cut(grams.filter((F.col("all") > 1) & (F.col("open") > 0)).select("g"))
     found = [cut(marked.filter("settled").select("k", "run"))]
     # what goes on: anchors whose strings aren't settled, and one of each that is, for those to be found by
-    first = status.filter("settled").select(F.col("v").alias("u"), "one.*")
-    first = first.join(marked.select("u", "c").dropDuplicates(["u"]).withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select("c", "k", "run")
-    more = marked.filter("NOT settled").select("c", "k", "run").union(first)
-    runs = cut(_by_text(more.join(grams, F.col("c") == F.col("g"), "left_semi")), marked, status, grams)
+    more = marked.filter("one OR NOT settled").join(grams, F.col("c") == F.col("g"), "left_semi")
+    runs = cut(_by_text(more), marked, grams)
     state = cut(_some_texts(texts, runs), runs)
     for block in blocks:
-        rows = cut(_refine(state, lengths, block, _repeated(_refine(state, lengths, block, None), "c")))
-        status = _status(rows)
-        marked = rows.join(status.select("v", "settled"), F.col("u") == F.col("v"))
+        marked = _marked(cut(_refine(state, lengths, block, _repeated(_refine(state, lengths, block, None), "c"))))
+        found.append(cut(marked.filter("settled").select("k", "run")))
         if block == 1:
-            found.append(cut(marked.filter("settled").select("k", "run"), rows, status, state))
+            discard(marked, state)
             break
-        marked = cut(marked.select("k", "run", "settled"), rows)
-        found.append(cut(marked.filter("settled").select("k", "run")))
-        runs = cut(_by_text(marked.filter("NOT settled").select("k", "run").union(status.filter("settled").select("one.*"))), marked, status)
+        runs = cut(_by_text(marked.filter("one OR NOT settled")), marked)
         state = cut(state.drop("runs").join(runs.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w"), state, runs)
     out = found[0]
     for x in found[1:]:
@@ -286,7 +287,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _without(packed: DataFrame, lengths: tuple[int, int], with_text: bool) -> DataFrame:
-    """k, n_removed, n_spans, repeated words and hash of the rest of each text, or the rest itself."""
+    """k, n_removed, n_spans, words in passages and hash of the rest of each text, or the rest itself; packed: k, packed, runs, copied."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
@@ -294,15 +295,21 @@ def _without(packed: DataFrame, lengths: tuple[int, int], with_text: bool) -> Da
             row, kinds, pos, lo, hi = _runs(batch)
             edge = np.searchsorted(row, np.arange(len(batch) + 1))
             removed, spans, passages, rest = [], [], [], []
+            copied = batch.column("copied").to_pylist()
             for i, raw in enumerate(batch.column("packed")):
                 text = inflate.decompress(raw.as_buffer())
                 own = np.arange(edge[i], edge[i + 1])
                 told, bare = own[kinds[own]], own[~kinds[own]]
                 gone = _merged(pos[bare] - hi[bare], pos[bare] - lo[bare] + lengths[0])
+                heard = _merged(pos[told] - hi[told], pos[told] - lo[told] + lengths[1])
+                if copied[i]:  # whole, in bytes if long enough and in words if enough
+                    gone = [(0, len(text))] if len(text) >= lengths[0] else gone
+                    n = len(words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+                    heard = [(0, n)] if n >= lengths[1] else heard
                 kept = b"".join(text[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True))
                 removed.append(len(text) - len(kept))
                 spans.append(len(gone))
-                passages.append(sum(e - s for s, e in _merged(pos[told] - hi[told], pos[told] - lo[told] + lengths[1])))
+                passages.append(sum(e - s for s, e in heard))
                 rest.append(kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest())
             columns = [batch.column("k"), *(pa.array(x, pa.int64()) for x in (removed, spans, passages)), pa.array(rest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "removed", "spans", "passages", "rest"])
@@ -318,26 +325,15 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """
     texts = _texts(docs, text)
     flat = F.coalesce(F.col(text), F.lit(""))
-    n_words = F.coalesce(F.regexp_count(flat, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     base = docs.select(key, F.unhex(F.md5(flat)).alias("k"), F.octet_length(flat).cast("long").alias("n_bytes"), flat.alias("kept") if with_text else F.sha2(flat, 256).alias("kept"))
-    counts = docs.select(F.unhex(F.md5(flat)).alias("k"), F.octet_length(flat).alias("b"), n_words.alias("w")).filter((F.col("b") >= length) | (F.col("w") >= passage))
-    counts = counts.groupBy("k").agg(F.count("*").alias("n"), F.first("b").alias("b"), F.first("w").alias("w"))
-    copies = cut(counts.filter("n > 1").select(F.col("k").alias("c"), "b", "w"))
-    spans = repeated_strings(docs, text, length, passage)
-    # whole texts that occur again are settled, in bytes if long enough and in words if enough
-    done = F.when(F.col("run") >= WORDS, F.col("w") >= passage).otherwise(F.col("b") >= length)
-    spans = spans.join(copies, F.col("k") == F.col("c"), "left").filter(F.col("c").isNull() | ~done).select("k", "run")
-    spans = cut(_by_text(spans))
-    some = _without(_some_texts(texts, spans), (length, passage), with_text)
-    told = cut(some, spans)
-    nothing = F.lit("") if with_text else F.sha2(F.lit(""), 256)
-    # one row for each text that has something to tell, so that rows meet them in one join
-    both = told.join(copies, F.col("key") == F.col("c"), "full").withColumn("t", F.coalesce("key", "c")).drop("key", "c")
-    out = base.join(cut(both, told, copies), F.col("k") == F.col("t"), "left")
-    whole = F.coalesce(F.col("b") >= length, F.lit(False))
+    least = min(length, 2 * passage - 1)
+    copies = cut(base.filter(F.col("n_bytes") >= least).groupBy("k").count().filter("count > 1").select(F.col("k").alias("c")))
+    spans = cut(_by_text(repeated_strings(docs, text, length, passage)))
+    wanted = spans.join(copies, F.col("k") == F.col("c"), "full")
+    wanted = wanted.select(F.coalesce("k", "c").alias("k"), F.coalesce("runs", F.array().cast("array<long>")).alias("runs"), F.col("c").isNotNull().alias("copied"))
+    wanted = cut(wanted, spans, copies)
+    told = cut(_without(_some_texts(texts, wanted), (length, passage), with_text), wanted)
+    out = base.join(told, F.col("k") == F.col("key"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     name = "kept_text" if with_text else "kept_sha256"
-    return out.select(
-        base[key], "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(zero("removed")).alias("n_removed"), F.when(whole, F.lit(1).cast("long")).otherwise(zero("spans")).alias("n_spans"),
-        F.when(whole, nothing).otherwise(F.coalesce("rest", "kept")).alias(name), F.when(F.col("w") >= passage, F.col("w")).otherwise(zero("passages")).alias("n_passage_words"),
-    )
+    return out.select(base[key], "n_bytes", zero("removed").alias("n_removed"), zero("spans").alias("n_spans"), F.coalesce("rest", "kept").alias(name), zero("passages").alias("n_passage_words"))

@@ -54,7 +54,7 @@ def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Colu
 
 
 #: Places of a membership bitmap; its size is fixed, whatever it is made from.
-PLACES = 1 << 23
+PLACES = 1 << 24
 
 
 def bitmap(keys: DataFrame, place: Column) -> bytes:
