@@ -129,6 +129,14 @@ class SpanHash:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Scattered bits of every span of so many symbols, for orders; cheaper than `of` and not equal to it."""
+        out = self.sums[width:] - self.sums[: len(self.sums) - width]
+        out *= self.down[: len(out)]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+        return out
+
     def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         prime = np.uint64(PRIME)
         up, down = _prime_powers(self.room)

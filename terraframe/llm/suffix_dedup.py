@@ -73,18 +73,21 @@ def anchors(hashes: SpanHash, offsets: np.ndarray, length: int = LENGTH) -> tupl
     none = np.empty(0, np.int64)
     if size < length:
         return none, none, none, none
-    at = np.arange(size - gram + 1)
     low = np.uint64((1 << POSITION) - 1)
     # positions within the piece break ties to the left
-    order = (hashes.of(at, at + gram) & ~low) | (at.astype(np.uint64) & low)
-    found = _least(order, length - gram + 1) & low
-    start = np.arange(len(found))
-    row = np.searchsorted(offsets, start, side="right") - 1
-    inside = start + length <= offsets[row + 1]
-    start, row, found = start[inside], row[inside], found[inside].astype(np.int64)
-    if not len(start):
+    order = hashes.windows(gram)
+    order &= ~low
+    order |= np.arange(len(order), dtype=np.uint64) & low
+    found = _least(order, length - gram + 1)
+    found &= low
+    # strings that lie within a text
+    row = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - (length - 1), 0))
+    if not len(row):
         return none, none, none, none
-    position = start + ((found - start) & int(low))
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    start = np.arange(len(row)) + np.repeat(offsets[row[first]] - first, np.diff(np.append(first, len(row))))
+    found = found[start].astype(np.int64)
+    position = found if size <= int(low) else start + ((found - start) & int(low))
     new = np.flatnonzero(np.r_[True, (position[1:] != position[:-1]) | (row[1:] != row[:-1])])
     last = np.append(new[1:], len(start)) - 1
     position = position[new]
@@ -94,7 +97,7 @@ def anchors(hashes: SpanHash, offsets: np.ndarray, length: int = LENGTH) -> tupl
 def _tag(hashes: np.ndarray, *marks: np.ndarray) -> np.ndarray:
     """Hashes that also tell where a string lies about its anchor, and of what it is made."""
     for m in marks:
-        hashes = mix(hashes ^ ((np.asarray(m).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+        hashes = mix(hashes ^ ((np.atleast_1d(m).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
     return hashes
 
 
