@@ -2,10 +2,11 @@
 
 Three base patterns always give spans. Besides, every long token of mixed letters and digits
 outside of them is a candidate. Candidate values are hashed and counted over the corpus: how many
-repositories and how many owners hold the value. One that many owners hold is an example that has
-been copied around; one that a single owner holds looks live. Long tokens become spans of kind
-`owned` only if they look live; base spans stay whatever their class, with live ones and examples
-counted apart.
+repositories and how many owners hold the value. Both decide. A value looks live if one owner holds it, in
+at most FILLED repositories (beyond that it is the owner's own template), or if two owners hold
+it in a repository each, as after a move or a fork; any other value has been copied around. Long tokens
+become spans of kind `owned` only if they look live; base spans stay whatever their class, with live ones
+and copied ones counted apart.
 
 Only hashes are counted, by partial aggregation, so a value that a third of all rows hold costs a
 row per task; the classes come back by a join on the text's hash, whose other side has a row per
@@ -43,8 +44,8 @@ KINDS = ("assign", "access", "hex", "owned")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "owned": 20}
 #: Bits of entropy per character of a long token that counts as a candidate.
 ENTROPY = 3.0
-#: From so many owners on, a value is an example that was copied around.
-COPIED = 3
+#: Repositories of one owner that may hold a live value.
+FILLED = 20
 
 CANDIDATE = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -134,9 +135,14 @@ def classified(found: DataFrame, owner: str, repository: str) -> DataFrame:
     return each.join(held, "value").groupBy("__key").agg(F.collect_list(F.struct("kind", "start", "stop", "owners", "repositories")).alias("__spans"))
 
 
+def is_live(span: Column) -> Column:
+    """One owner's, in few repositories, or two owners' in one each; else the value has been copied around."""
+    return ((span["owners"] == 1) & (span["repositories"] <= FILLED)) | ((span["owners"] == 2) & (span["repositories"] == 2))
+
+
 def is_span(span: Column) -> Column:
-    """Base spans always; long tokens if one owner alone holds them."""
-    return (span["kind"] != "owned") | (span["owners"] == 1)
+    """Base spans always; long tokens if they look live."""
+    return (span["kind"] != "owned") | is_live(span)
 
 
 def _joined(spans: Column) -> Column:
@@ -147,12 +153,14 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """The rows without the text, with __spans (kind, start, stop, owners, repositories) and their digests."""
     found = cut(candidates(docs, text))
-    rows = found.drop("__found").join(classified(found, owner, repository), "__key", "left")
+    # kept first, so that the join has nothing but exchanges below it and adaptive execution can split a common text
+    classes = cut(classified(found, owner, repository))
+    rows = found.drop("__found").join(classes, "__key", "left")
     rows = rows.withColumn("__spans", F.filter(F.coalesce("__spans", F.array().cast("array<struct<kind:string,start:int,stop:int,owners:bigint,repositories:bigint>>")), is_span))
     count = lambda test: F.size(F.filter("__spans", test)).cast("long")
     of_kind = lambda kind: lambda s: s["kind"] == kind
     rows = rows.withColumns({f"__n_{k}": count(of_kind(k)) for k in KINDS})
-    rows = rows.withColumn("__n_live", count(lambda s: s["owners"] == 1)).withColumn("__n_copied", count(lambda s: s["owners"] >= COPIED))
+    rows = rows.withColumn("__n_live", count(is_live)).withColumn("__n_copied", count(lambda s: ~is_live(s)))
     return rows.withColumn("__base", _joined(F.filter("__spans", lambda s: s["kind"] != "owned"))).withColumn("__all", _joined(F.col("__spans"))).drop("__key")
 
 
@@ -162,7 +170,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     Only texts that have a long token travel to the classes; base spans are masked where they are read.
     """
     found = cut(candidates(docs.select(owner, repository, text), text).filter(F.size("__found") > 0))
-    owned = F.filter("__spans", lambda s: (s["kind"] == "owned") & (s["owners"] == 1))
+    owned = F.filter("__spans", lambda s: (s["kind"] == "owned") & is_live(s))
     live = classified(found, owner, repository).select(F.col("__key").alias("__text"), owned.alias("__owned")).filter(F.size("__owned") > 0)
     part = "array<struct<kind:string,start:int,stop:int>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"__found {part}"])
