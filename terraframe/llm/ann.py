@@ -4,8 +4,9 @@ Codes are the signs of the vectors' principal directions after a rotation that i
 iterative quantisation, on a sample of at most SAMPLE vectors; so is the Hamming radius, which holds
 the share COVERED of true neighbours within the sample (in all vectors, neighbours are nearer). A
 code is split into substrings, each indexed: two codes within the radius agree in at least one
-substring up to that substring's part of it, by the pigeonhole principle. Probing the substrings
-gives every code within the radius; those are reranked by inner products in double precision. Queries
+substring up to that substring's part of it, by the pigeonhole principle. Probing the substrings, all keys
+within the part's ball or, where these are more than the buckets, the buckets' keys, gives every code within the
+radius; those are reranked by inner products in double precision. Queries
 that find fewer than TOP + 1 vectors so, over all rows, are searched once more without a radius.
 
 The query set is stated (ids divisible by QUERY_EVERY), so it meets all rows in blocks: cells of at
@@ -14,12 +15,13 @@ by rank. Equal vectors are one class, which is searched once and searches once;
 TOP + 1 least ids can be in a result, so a vector that a third of all rows have is no hot group.
 
 Defined results: null ids take no part; nor do vectors that are null, zero, hold null or non-finite
-components, or are not of the most frequent length; rows of a query's own id are its own; ties go to
+components; vectors are compared with those of their own length, of which there are at most MAX_LENGTHS; rows of a query's own id are its own; ties go to
 the lesser id; fewer candidates than TOP give as many rows.
 """
 
 from __future__ import annotations
 
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ SAMPLE, BITS, SUBSTRINGS = 10_000, 64, 4
 COVERED = 0.96
 ROUNDS = 30
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+MAX_LENGTHS = 64
 
 
 class Code:
@@ -65,16 +68,26 @@ class Code:
         return np.packbits(full, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+@functools.lru_cache(maxsize=BITS)
+def ball(width: int, radius: int) -> np.ndarray:
+    """All differences of at most `radius` bits in `width`."""
+    every = np.arange(1 << width, dtype=np.uint64)
+    return every[np.bitwise_count(every) <= radius]
+
+
 class MultiIndex:
     """Buckets of rows by each substring of their codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.tables = codes, []
+        self.codes, self.tables, self.at = codes, [], []
         width = BITS // SUBSTRINGS
         for i in range(SUBSTRINGS):
             part = (codes >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
             order = np.argsort(part, kind="stable")
             keys, first = np.unique(part[order], return_index=True)
+            at = np.full(1 << width, -1, np.int64)
+            at[keys.astype(np.int64)] = np.arange(len(keys))
+            self.at.append(at)
             self.tables.append((np.uint64(i * width), np.uint64((1 << width) - 1), order, keys, np.append(first, len(codes))))
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
@@ -84,8 +97,15 @@ class MultiIndex:
             own = (radius + 1) // SUBSTRINGS + (i < (radius + 1) % SUBSTRINGS) - 1
             if own < 0:
                 continue
-            hit = np.bitwise_count(keys ^ (code >> shift & mask)) <= own
-            seen[order[np.repeat(hit, np.diff(edge))]] = True
+            part = code >> shift & mask
+            near = ball(BITS // SUBSTRINGS, own)
+            if len(near) < len(keys):  # look every key of the ball up
+                at = self.at[i][(part ^ near).astype(np.int64)]
+                for k in at[at >= 0].tolist():
+                    seen[order[edge[k] : edge[k + 1]]] = True
+            else:
+                hit = np.bitwise_count(keys ^ part) <= own
+                seen[order[np.repeat(hit, np.diff(edge))]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
@@ -100,11 +120,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = TOP, query_every: int = QUERY_EVERY) -> DataFrame:
-    """query_id, rank, key and score of the `top` nearest found of each query."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    sizes = rows.filter(F.col("v").isNotNull()).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    length = sizes[0]["n"] if sizes else 0
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"), length)).withColumn("class", F.xxhash64("v"))
+    """query_id, rank, key and score of the `top` nearest found of each query, among vectors of its length."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull())
+    lengths = [r["n"] for r in rows.filter(F.size("v") > 0).select(F.size("v").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
+    found = [_search(rows.filter(usable(F.col("v"), n)), top, query_every) for n in sorted(lengths)]
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if not found else found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _search(rows: DataFrame, top: int, query_every: int) -> DataFrame:
+    """search() among vectors of one length, all usable: id, v."""
+    df, rows = rows, rows.withColumn("class", F.xxhash64("v"))
     asks = F.col("id") % query_every == 0
     classes = cut(rows.groupBy("class", "v").agg(F.min("id").alias("least"), F.max(asks).alias("asks")))
     schema = "query_id long, rank int, vec_id long, score double"
