@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence, its path's and its host's.
 
-A document classifier, naive Bayes over hashed words calibrated by a logistic fit, is learned from a
+A document classifier, naive Bayes over which hashed words documents have, calibrated by a logistic fit, is learned from a
 bounded sample: of the labelled rows, the MAX_LABELLED whose hashed keys are least; three quarters of
 them give word weights, the others the calibration. Every document of the corpus is then scored, sums by
 host and by path within host are aggregated, and their posteriors are shrunk: a host's towards the
@@ -9,8 +9,8 @@ all documents, calls for. A document's posterior is its evidence with the odds o
 of those of the corpus, its own share taken out of the path's sums.
 
 Defined results: a null or empty text has no evidence and gets its path's quality; a null host or
-path is one of its own; without labelled rows the evidence is 0.5 for all; labels of a key that
-occurs more than once are all used. Repeated rows are scored each.
+path is one of its own; without labelled rows the evidence is 0.5 for all; of the documents of a labelled key
+the last text in order is learnt from, with each of its labels. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int
 class Model:
     """Word weights of one label, and the logistic fit of the inputs they give."""
 
-    def __init__(self, counts: np.ndarray):
-        total = counts + SMOOTHING
-        odds = np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
+    def __init__(self, counts: np.ndarray, documents: np.ndarray):
+        share = (counts + SMOOTHING) / (documents[:, None] + 2 * SMOOTHING)
+        odds = np.log(share[1]) - np.log(share[0])
         seen = counts.sum(axis=0)
         self.weights = (odds * seen / (seen + RARE)).astype(np.float32)
         self.fit = np.zeros(INPUTS + 1)
@@ -106,25 +106,29 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
     order = F.xxhash64(F.lit(label), key)
     sample = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y"), order.alias("__o")).orderBy("__o").limit(MAX_LABELLED)
     sample = cut(sample.select("__id", "__y", (F.pmod("__o", F.lit(4)) == 0).alias("__fit")))
-    # at most MAX_LABELLED rows of three numbers are broadcast
-    rows = cut(docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("__id")).select(text, "__y", "__fit"))
+    # at most MAX_LABELLED rows of three numbers are broadcast, and one text for each is learnt from
+    rows = docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("__id"))
+    rows = cut(rows.groupBy("__id", "__y", "__fit").agg(F.max(text).alias(text)).select(text, "__y", "__fit"), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS + 1), np.int64)  # documents last
         for batch in bounded(batches):
             y = batch.column("__y").to_numpy()
-            for first, bucket, row, _ in _pieces(batch.column(text)):
-                total += np.bincount(y[first + row].astype(np.int64) * BUCKETS + bucket, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+            for first, bucket, row, n in _pieces(batch.column(text)):
+                once = np.unique(row * BUCKETS + bucket)
+                of = y[first : first + n].astype(np.int64)
+                total[:, :-1] += np.bincount(of[once // BUCKETS] * BUCKETS + once % BUCKETS, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+                total[:, -1] += np.bincount(of, minlength=2)
         for c in (0, 1):
             at = np.flatnonzero(total[c])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at, pa.int32()), pa.array(total[c][at])], ["y", "bucket", "n"])
 
     table = rows.filter("NOT __fit").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS + 1))
     counts[table["y"].to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
-    if not counts.sum(axis=1).all():
+    if not counts[:, :-1].sum(axis=1).all():
         return None
-    model = Model(counts)
+    model = Model(counts[:, :-1], counts[:, -1])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +167,18 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Pseudo-documents of a group's prior, from the spread of groups' means beyond that of chance."""
-    row = groups.filter("n > 0").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)).alias("between"), F.count("*").alias("k"), F.sum("w").alias("within")).collect()[0]
-    if not row["n"] or row["k"] < 2 or not 0 < mean < 1:
+def _strength(groups: DataFrame, centre: Column, free: int) -> float:
+    """Pseudo-documents of a group's prior, from the spread of groups' means about their centres beyond that of chance; `free`: centres."""
+    row = groups.filter("n > 0").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - centre, 2)).alias("between"), F.count("*").alias("k"), F.sum("w").alias("within")).collect()[0]
+    return strength(row["n"] or 0, row["between"] or 0.0, row["k"], row["within"] or 0.0, free)
+
+
+def strength(n: int, between: float, k: int, within: float, free: int) -> float:
+    """Of k groups of n documents: noise of a document over the variance of groups' true means, by moments."""
+    if not n or k <= free:
         return 1e3
-    noise = max(row["within"], 1e-12) / row["n"]
-    spread = max((row["between"] - (row["k"] - 1) * noise) / row["n"], 1e-6)
+    noise = max(within, 1e-12) / n
+    spread = max((between - (k - free) * noise) / n, 1e-6)
     return min(max(noise / spread, 0.1), 1e6)
 
 
@@ -182,7 +191,10 @@ def posteriors(rows: DataFrame, p: str, host: str, path: str, name: str) -> Data
     hosts = cut(paths.groupBy(F.col("h").alias("hh")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).select("hh", "n", "s", within))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()[0]
     mean = whole["s"] / whole["n"] if whole["n"] else 0.5
-    by_host, by_path = _strength(hosts, mean), _strength(paths, mean)
+    by_host = _strength(hosts, F.lit(mean), 1)
+    # paths spread about the mean of their own host
+    inner = paths.join(hosts.select("hh", F.col("s").alias("hs"), F.col("n").alias("hn")), F.col("h").eqNullSafe(F.col("hh")))
+    by_path = _strength(inner, F.col("hs") / F.col("hn"), hosts.filter("n > 0").count())
     hosts = hosts.select("hh", ((F.col("s") + by_host * mean) / (F.col("n") + by_host)).alias(f"{name}_host"))
     groups = cut(paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).select("h", "a", "n", "s", f"{name}_host"))
     out = rows.join(groups, F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("a")))
