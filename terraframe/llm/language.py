@@ -91,12 +91,13 @@ def learn(docs: DataFrame, text: str, language: str) -> tuple[list[str], np.ndar
             seen = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = docs.select(text, language).filter(F.col(language).isNotNull() & F.col(text).isNotNull()).mapInArrow(count, "lang string, bucket int, n long")
+    known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
+    if known.select(language).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = known.select(text, language).mapInArrow(count, "lang string, bucket int, n long")
     rows = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = rows.toPandas()
     langs = sorted(table["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = np.zeros((len(langs), BUCKETS))
     counts[np.searchsorted(np.array(langs, object), table["lang"].to_numpy(object)).astype(int) if len(table) else [], table["bucket"].to_numpy(int)] = table["n"]
     counts += SMOOTHING
