@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import running_sum, spread
+from .tables import cut, running_sum, spread
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
+MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,11 +35,13 @@ def word_count(text: Column) -> Column:
 def targets(docs: DataFrame, source: str, size: str, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """One row per source: __source, __source_size, __weight, __target, and the end of the mix, __until.
 
-    Weights repeat over the sources by code point, null last. The table has a row per source, of
-    which there are few; windows over it without a key are bounded by that.
+    Weights repeat over the sources by code point, null last. The table has a row per source, at most
+    MAX_SOURCES, which is checked; windows over it without a key are bounded by that.
     """
     everything = Window.partitionBy()
-    sources = docs.groupBy(F.col(source).alias("__source")).agg(F.sum(size).alias("__source_size"))
+    sources = cut(docs.groupBy(F.col(source).alias("__source")).agg(F.sum(size).alias("__source_size")))
+    if sources.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     place = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     sources = sources.withColumn("__weight", weight.cast("long")).withColumn("__cap", F.col("__source_size") * passes)

@@ -36,21 +36,25 @@ def running_sum(df: DataFrame, by: list[str], hi: str, lo: str, order: list[Colu
         frame = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(what).over(frame), F.lit(0))
 
-    keys = [*by, hi, lo]
+    # never null and compared plainly, so that the rows are shuffled once for their window and the join
+    told = {c: f"{c}__told" for c in by}
+    df = df.withColumns({told[c]: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by})
+    keys = [*told.values(), hi, lo]
     other = {c: f"{c}__of_bucket" for c in keys}
     bucket = [other[c] for c in keys]
     small = df.groupBy(*[F.col(c).alias(other[c]) for c in keys]).agg(F.sum(value).alias("__sum"))
     small = small.withColumn("__low", before("__sum", bucket[:-1], bucket[-1:]))
     top = small.groupBy(*[F.col(c).alias(f"{c}__top") for c in bucket[:-1]]).agg(F.sum("__sum").alias("__all"))
     top = top.withColumn("__high", before("__all", [f"{c}__top" for c in bucket[:-2]], [f"{bucket[-2]}__top"]))
-    same = lambda pairs: [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs]
+    same = lambda pairs: [F.col(x) == F.col(y) for x, y in pairs]
     added = per_key.columns[len(by) :] if per_key is not None else []
     if per_key is not None:
-        top = top.join(per_key, same(zip([f"{other[c]}__top" for c in by], per_key.columns, strict=False)))
+        named = per_key.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in per_key.columns[: len(by)]})
+        top = top.join(named, same(zip([f"{other[told[c]]}__top" for c in by], per_key.columns, strict=False)))
     bases = small.join(top, same((c, f"{c}__top") for c in bucket[:-1])).select(*bucket, (F.col("__low") + F.col("__high")).alias("__base"), *added)
     rows = df.withColumn("__here", before(value, keys, order))
     joined = rows.join(bases, same((c, other[c]) for c in keys))
-    return joined.withColumn(out, (F.col("__base") + F.col("__here")).cast("long")).drop("__base", "__here", *bucket)
+    return joined.withColumn(out, (F.col("__base") + F.col("__here")).cast("long")).drop("__base", "__here", *bucket, *told.values())
 
 
 #: Places of a membership bitmap; its size is fixed, whatever it is made from.
