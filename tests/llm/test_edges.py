@@ -105,6 +105,19 @@ def test_ownership_tells_copied_from_live(spark):
     assert found[0]["__all"] == "" and found[9]["__n_owned"] == 1 and found[9]["__all"].startswith("owned:4:")
 
 
+def test_owners_and_repositories_decide_both(spark):
+    """One owner's value in few repositories or in many; two owners' in one repository each or in three."""
+    few, many, moved, shared = (f"{c}x9Kq2Lm7Pw4Rt8Vb3Nc6" for c in "ABCD")
+    rows = [(few, "o1", r) for r in range(secrets.FILLED)] + [(many, "o2", r) for r in range(secrets.FILLED + 1)] + [(moved, "o3", 100), (moved, "o4", 101), (shared, "o3", 102), (shared, "o4", 103), (shared, "o4", 104)]
+    docs = spark.createDataFrame([(i, f"see {t} here", o, str(r)) for i, (t, o, r) in enumerate(rows)], "doc_id long, text string, source string, place string")
+    found = {}
+    for r in secrets.scan_secrets(docs, repository="place").join(docs.select("doc_id", "text"), "doc_id").collect():
+        found.setdefault(r.text.split()[1], set()).add(r["__n_owned"])
+    assert found == {few: {1}, many: {0}, moved: {1}, shared: {0}}
+    left = {r.text for r in secrets.redact(docs, repository="place").collect()}
+    assert left == {"see <secret> here", f"see {many} here", f"see {shared} here"}
+
+
 def test_a_failing_match_is_consumed():
     assert [s[:3] for s in secrets.find("token=secret: abcdefghijklmnop")] == []
     assert [s[0] for s in secrets.find("PassWd: abcdefghijkl")] == ["assign"]
@@ -158,6 +171,10 @@ def test_neighbours(spark):
     found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df).collect() if r.rank <= 2)
     assert [f for f in found if f[0] == 0][0] == (0, 1, 1, 1.0) and {f[0] for f in found} == {0, 20}
     assert {f[2] for f in found}.isdisjoint({21, 22, 23, 24, 25, 26, 40, None})
+    # vectors of another length are compared among themselves
+    more = df.union(spark.createDataFrame([(60, [1.0, 2.0, 3.0], "x", 1), (61, [3.0, 0.0, 0.0], "x", 1), (62, [0.0, 0.0, 1.0], "x", 1)], df.schema))
+    assert [(r.vec_id, r.score) for r in sorted(ann.search(more).collect(), key=lambda r: (r.query_id, r["rank"])) if r.query_id == 60] == [(61, 3.0), (62, 3.0)]
+    assert sorted(map(tuple, ann.search(more).filter("query_id != 60").collect())) == sorted(map(tuple, ann.search(df).collect()))
     assert ann.search(df.limit(0)).count() == 0
 
 
