@@ -336,8 +336,39 @@ def test_pipeline_stages(spark, small, texts):
     for r in mixed.collect():
         took[r.source] += len(words(r.text))
     assert abs(sum(took.values()) - sum(size.values())) < 0.1 * sum(size.values()) and all(took[s] <= 3 * size[s] for s in took)
+    assert Counter(r.doc_id for r in mixed.collect()) == plain_mix([(r.doc_id, r.source, len(words(r.text or ""))) for r in clean.collect()])
+    library = tokens.tokenizer(tokenizer_path(corpus_pipeline.TOKENIZER)).library
+    wanted = Counter()
+    for r in mixed.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        wanted.update((r.doc_id, p // 4096, p, len(ids[p : p + 4096]), zlib.crc32(np.array(ids[p : p + 4096], "<u4").tobytes())) for p in range(0, len(ids), 4096))
     pieces = corpus_pipeline.pack_sequences(spark, mixed, small).toPandas()
-    assert (pieces.piece == 0).sum() == mixed.count()
+    assert Counter(pieces[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == wanted
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.r_[0, np.cumsum(g.length)[:-1]]).all() and g.length.sum() <= 4096
+
+
+def plain_mix(docs, weights=(5, 2, 1), passes=3):
+    """How often each document is taken: sources filled up one after another, documents in order of their hash, taken if half was served."""
+    names = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, x, n in docs if x == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full = set()
+    while True:
+        left = sum(size.values()) - sum(passes * size[s] for s in full)
+        time = left / sum(weight[s] for s in names if s not in full)
+        more = {s for s in names if s not in full and weight[s] * time > passes * size[s]}
+        if not more:
+            break
+        full |= more
+    out = Counter()
+    for s in names:
+        target, at = int((passes * size[s] if s in full else weight[s] * time) + 0.5), 0
+        own = sorted((hashlib.md5(f"mix/{i}".encode()).hexdigest(), i, n) for i, x, n in docs if x == s)
+        for _, i, n in own:
+            out[i] += sum(n > 0 and 2 * (target - k * size[s] - at) >= n for k in range(passes))
+            at += n
+    return +out
 
 
 def family(common, own, n):
