@@ -210,3 +210,15 @@ def test_urls(spark):
     rows = url_filter.filter_urls(df, rules).collect()
     assert len(rows) == len(urls) + 1 and all((r["__verdict"], r["__rule"]) == urls[r.url] for r in rows)
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, small, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, WORDS * 3, "en", None, None), (4, WORDS * 3, "en", "a", 3), (4, WORDS * 3, "en", "a", 3), (6, LONG, "de", "b", 1)]
+    spark.createDataFrame(odd, docs.schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in rows} <= {None, 4, 6} and sum(r.length for r in rows) > 0
