@@ -25,7 +25,9 @@ from ..functions import tiles
 from . import stitching
 from .jobs import plain
 
+# The names in requests and responses of models in their own process are those of _ask below.
 DETECTION = "tile_seq int, idx int, label string, class_id int, score double, bbox array<double>, rotated array<double>, polygon array<struct<x:double,y:double>>"
+#: Fixed value: how long a model in its own process may take for a tile where its description doesn't say.
 SECONDS = 600
 
 
