@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, bounded, pieces, text_buffers, words
+from .tables import map_arrow
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
@@ -94,7 +95,7 @@ def learn(docs: DataFrame, text: str, language: str) -> tuple[list[str], np.ndar
     known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
     if known.select(language).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = known.select(text, language).mapInArrow(count, "lang string, bucket int, n long")
+    rows = map_arrow(known.select(text, language), count, "lang string, bucket int, n long")
     rows = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = rows.toPandas()
     langs = sorted(table["lang"].unique())
@@ -177,7 +178,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
                     score.append(float(shares[i, top[i]]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*keep, "__lang", "__score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", drop_text: bool = False) -> DataFrame:

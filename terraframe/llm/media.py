@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import bounded, pieces, text_buffers
+from .tables import map_arrow
 
 #: Payloads are padded to a positive multiple of this.
 UNIT = 576
@@ -362,4 +363,4 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media:
                 yield pa.RecordBatch.from_arrays([*columns, *media], [key, *names, *["media"] * with_media])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {DIGEST}" + ", media binary" * with_media)
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, {DIGEST}" + ", media binary" * with_media)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, least_reachable
 from .kernels import bounded, fixed_binary, mix, pieces, row_bounds, shingles, text_buffers
-from .tables import PLACES, bitmap, cut, maybe
+from .tables import PLACES, bitmap, cut, map_arrow, maybe
 
 HASHES, TREES, SPARSE, DEPTH, REGION = 64, 32, 3, 4, 256
 #: Sets and shingles that a cell holds of each side; a larger set is a cell of its own.
@@ -96,7 +96,7 @@ def scan(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, n), pa.array(size, pa.int64()), fixed_binary(sets, full), fixed_binary(sigs, full)], [key, "__n", "__set", "__sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, __n long, __set binary, __sig binary")
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, __n long, __set binary, __sig binary")
 
 
 def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
@@ -130,7 +130,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
             sigs = _matrix(batch.column("sig"), 2 * HASHES, ">u2")
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_region_hash(sigs, t) for t in range(TREES)]))], ["region"])
 
-    return nodes.select("sig").mapInArrow(run, "region long")
+    return map_arrow(nodes.select("sig"), run, "region long")
 
 
 def _orders(nodes: DataFrame, known: bytes) -> DataFrame:
@@ -147,7 +147,7 @@ def _orders(nodes: DataFrame, known: bytes) -> DataFrame:
                     rest = [batch.column(c).take(pa.array(at)) for c in ("node", "n", "sig")]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree), pa.int32()), fixed_binary(place), *rest], ["tree", "place", "node", "n", "sig"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "tree int, place binary, node binary, n long, sig binary")
+    return map_arrow(nodes.select("node", "n", "sig"), run, "tree int, place binary, node binary, n long, sig binary")
 
 
 def neighbours(tree: np.ndarray, place: np.ndarray, size: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +231,7 @@ def _region_edges(orders: DataFrame, percent: int) -> DataFrame:
             yield edges(held, len(held[0]), len(held[0]) <= REGION)
 
     ordered = orders.repartitionByRange("tree", "place", "node").sortWithinPartitions("tree", "place", "node")
-    return ordered.mapInArrow(run, "a binary, b binary")
+    return map_arrow(ordered, run, "a binary, b binary")
 
 
 def _place(node: str):
@@ -260,7 +260,7 @@ def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
                 values = pa.ListArray.from_arrays(pa.array(np.append(bounds[full], bounds[-1]), pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([fixed_binary(keys[hit]), values.take(pa.array(hit))], ["node", "items"])
 
-    return docs.select(text).mapInArrow(run, "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items"))
+    return map_arrow(docs.select(text), run, "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items"))
 
 
 def links(sigs: np.ndarray, edge: np.ndarray, items: np.ndarray, label: np.ndarray, few: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -334,7 +334,7 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
             yield compared()
 
     rows = rows.select("cluster", "x", "y", "few", "node", "comp", "sig", "items")
-    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", F.desc("few"), "node").mapInArrow(run, "a binary, b binary")
+    return map_arrow(rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", F.desc("few"), "node"), run, "a binary, b binary")
 
 
 def _blocks(n: Column, items: Column, cell: int, most: int) -> Column:
@@ -436,7 +436,7 @@ def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
                 sets = set_keys(bounds[:-1][full], hashes) if full.any() else np.empty((0, 16), np.uint8)
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, fixed_binary(sets, full)], [*batch.schema.names, "__set"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

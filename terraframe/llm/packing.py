@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import bounded, pieces, text_buffers
-from .tables import cut, running_sum, spread
+from .tables import cut, map_arrow, running_sum, spread
 from .tokens import tokenizer
 
 SIZE = 4096
@@ -61,7 +61,7 @@ def tokenize(docs: DataFrame, path: str, size: int = SIZE, end: int = END, key:
                 yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 class Plan:
@@ -182,7 +182,7 @@ def pack(parts: DataFrame, key: str = "doc_id", size: int = SIZE, order: str | N
             columns += [pa.array(found[:, 0] + rank - first[run], pa.int64()), pa.array(found[:, 1], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*(c for c in batch.schema.names if c != "__rank"), "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, schema)
+    return map_arrow(rows, place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, SpanHash, bounded, pieces, text_buffers, words
-from .tables import cut
+from .tables import cut, map_arrow
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 20_000
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
             at = np.flatnonzero(total[c])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at, pa.int32()), pa.array(total[c][at])], ["y", "bucket", "n"])
 
-    table = rows.filter("NOT __fit").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = map_arrow(rows.filter("NOT __fit"), count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BUCKETS + 1))
     counts[table["y"].to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
     if not counts[:, :-1].sum(axis=1).all():
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -
                 x = shared.value.inputs(bucket, row, n)
                 yield pa.RecordBatch.from_arrays([batch.column("__y").slice(first, n), *(pa.array(x[:, i]) for i in range(INPUTS))], ["y", *(f"x{i}" for i in range(INPUTS))])
 
-    fit = rows.filter("__fit").mapInArrow(inputs, "y int, " + ", ".join(f"x{i} double" for i in range(INPUTS))).toPandas().sort_values([*(f"x{i}" for i in range(INPUTS)), "y"])
+    fit = map_arrow(rows.filter("__fit"), inputs, "y int, " + ", ".join(f"x{i} double" for i in range(INPUTS))).toPandas().sort_values([*(f"x{i}" for i in range(INPUTS)), "y"])
     model.calibrate(fit[[f"x{i}" for i in range(INPUTS)]].to_numpy(), fit["y"].to_numpy(float))
     return model
 
@@ -159,7 +159,7 @@ def evidence(docs: DataFrame, models: dict[str, Model | None], text: str) -> Dat
                     columns.append(pa.array(m.probability(m.inputs(bucket, row, n)) if m else np.full(n, 0.5), mask=empty))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *(f"__p_{x}" for x in names)])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _logit(p: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import bounded, pieces, text_buffers
-from .tables import cut
+from .tables import cut, map_arrow
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -118,7 +118,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [[(k, s, e, _value_hash(v)) for k, s, e, v in row] for row in _scan(batch, text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "__key"]), pa.array(found, kind)], [*keep, "__key", "__found"])
 
-    return docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).mapInArrow(scan, schema)
+    return map_arrow(docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), scan, schema)
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -181,7 +181,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
             found = [[(k, s, e) for k, s, e, _ in row] for row in _scan(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "__found"])
 
-    seen = docs.mapInArrow(base, schema)
+    seen = map_arrow(docs, base, schema)
     may = F.exists("__found", lambda s: s["kind"] == "owned")
     some = seen.filter(may).withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     some = some.join(live, F.col("__key") == F.col("__text"), "left").drop("__key", "__text")
@@ -200,7 +200,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
             columns = [texts if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__found"]
             yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "__found"])
 
-    return seen.filter(~may).unionByName(some).mapInArrow(replace, docs.schema)
+    return map_arrow(seen.filter(~may).unionByName(some), replace, docs.schema)
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import discard
 from .kernels import SpanHash, bounded, fixed_binary, mix, pieces, row_bounds, text_buffers, words
-from .tables import PLACES, bitmap, cut, maybe
+from .tables import PLACES, bitmap, cut, map_arrow, maybe
 
 #: Bytes of a string that counts as repeated, and words of a passage that does: more than 50.
 LENGTH, PASSAGE = 400, 51
@@ -156,7 +156,7 @@ def _level0(texts: DataFrame, lengths: tuple[int, int], known: bytes | None) ->
                     k = batch.column("k").take(pa.array(first + row))
                     yield pa.RecordBatch.from_arrays([pa.array(rank), whole, k, _packed(kind, at - here[row], lo, hi)], ["c", "u", "k", "run"])
 
-    return texts.mapInArrow(run, "c long" if shared is None else "c long, u binary, k binary, run long")
+    return map_arrow(texts, run, "c long" if shared is None else "c long, u binary, k binary, run long")
 
 
 def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -206,7 +206,7 @@ def _refine(packed: DataFrame, lengths: tuple[int, int], block: int, known: byte
                     union = fixed_binary(_names(hashes, at - far, at - near + length, near, far, kind))
                     yield pa.RecordBatch.from_arrays([union, batch.column("k").take(pa.array(row[of])), _packed(kind, pos[of], near, far)], ["u", "k", "run"])
 
-    return packed.mapInArrow(run, "c long" if shared is None else "u binary, k binary, run long")
+    return map_arrow(packed, run, "c long" if shared is None else "u binary, k binary, run long")
 
 
 def _place(k: str):
@@ -225,7 +225,7 @@ def _some_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [squeeze.compress(batch.column("text")[int(i)].as_buffer() or b"") for i in at]
             yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(at)), pa.array(packed, pa.binary())], ["k", "packed"])
 
-    found = texts.mapInArrow(run, "k binary, packed binary").groupBy("k").agg(F.first("packed").alias("packed"))
+    found = map_arrow(texts, run, "k binary, packed binary").groupBy("k").agg(F.first("packed").alias("packed"))
     return found.join(wanted.withColumnRenamed("k", "w"), F.col("k") == F.col("w")).drop("w")
 
 
@@ -317,7 +317,7 @@ def _without(packed: DataFrame, lengths: tuple[int, int], with_text: bool) -> Da
             columns = [batch.column("k"), *(pa.array(x, pa.int64()) for x in (removed, spans, passages)), pa.array(rest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "removed", "spans", "passages", "rest"])
 
-    return packed.mapInArrow(run, "key binary, removed long, spans long, passages long, rest string")
+    return map_arrow(packed, run, "key binary, removed long, spans long, passages long, rest string")
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False, passage: int = PASSAGE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker; a longer row is a batch of its own.
+BATCH = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow in batches of some BATCH bytes, so what an executor and its workers hold doesn't depend on the length of rows.
+
+    The session's own bound stays where it is smaller; rows of a batch are bounded by Spark's setting as well.
+    """
+    conf = df.sparkSession.conf
+    sizes = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if sizes.byteStringAsBytes(conf.get(BATCH_BYTES)) > BATCH:
+        conf.set(BATCH_BYTES, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def spread(key: Column) -> tuple[Column, Column]:
     """Two levels of buckets, in the order of a 128-bit hex key: its first bits, then its next."""
     number = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import map_arrow
+
 MAX_RULES = 200_000
 DEFAULT = "allow"
 
@@ -99,4 +101,4 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", d
             verdict = pa.array([x[0] if x else default for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], [*batch.schema.names, "__rule", "__verdict"])
 
-    return rows.mapInArrow(judge, schema)
+    return map_arrow(rows, judge, schema)
