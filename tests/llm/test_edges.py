@@ -1,11 +1,13 @@
 """Each operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terraframe.llm import ann, language, media, mixing, near_dedup, packing, quality, secrets, suffix_dedup, url_filter
 from terraframe.llm.queries import tokenizer_path
+from terraframe.llm.tables import BATCH, BATCH_BYTES, map_arrow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node string, k string, value int, h string"
 WORDS = "the quick brown fox jumps over the lazy dog and runs away from seven sleepy cats under some tall green trees "
@@ -222,3 +224,24 @@ def test_pipeline_on_empty_and_odd_tables(spark, small, tmp_path):
     spark.createDataFrame(odd, docs.schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
     assert {r.doc_id for r in rows} <= {None, 4, 6} and sum(r.length for r in rows) > 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of half a bound each, one of twice the bound; a session's lesser bound stays."""
+    rows = spark.range(12, numPartitions=1).select("id", F.repeat(F.lit("a"), F.when(F.col("id") == 5, 2 * BATCH).otherwise(BATCH // 2).cast("int")).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["rows", "size"])
+
+    try:
+        spark.conf.set(BATCH_BYTES, "64m")
+        found = map_arrow(rows, sizes, "rows long, size long").collect()
+        assert sum(r["rows"] for r in found) == 12
+        # a batch ends with the row that reaches the bound
+        assert all(r["size"] < 1.6 * BATCH for r in found if r["size"] < 2 * BATCH) and len(found) >= 5
+        spark.conf.set(BATCH_BYTES, "1m")
+        assert len(map_arrow(rows, sizes, "rows long, size long").collect()) == 12
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
