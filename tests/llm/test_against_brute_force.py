@@ -27,7 +27,7 @@ def run(spark, small, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     found, wanted = run(spark, small, name), con.execute(ORACLES[name]).df()
     shape = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None)))
