@@ -44,9 +44,9 @@ class Engine:
         a, b, _, d, e, _ = info["transform"]
         return info | {"pixel_size": [abs(a), abs(e)], "area_per_pixel": abs(a * e - b * d), "is_georeferenced": info["crs"] is not None, "warning": None if info["crs"] else "no CRS"}
 
-    def read(self, path: str) -> DataFrame:
-        """The pixels of a file: y, x, b1, b2 and so on."""
-        return rasters.read_scene(self.spark, catalog.validate_path(path))
+    def read(self, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+        """The pixels of a file: y, x, b1, b2 and so on; of some bands and a window (x, y, width, height) without reading the rest."""
+        return rasters.read_scene(self.spark, catalog.validate_path(path), bands, window)
 
     def preflight(self, width: int, height: int, task: str, tile_size: int | None = None, overlap: int | None = None) -> dict:
         return _dict(tiles.preflight(self.spark, width, height, task, tile_size, overlap))

@@ -1,4 +1,4 @@
-"""Results for other programs, written on the driver: GeoPackage, PNG previews, reports of jobs."""
+"""Results for other programs: PNG previews, made by tasks; GeoPackage and reports of jobs, written on the driver."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ import json
 import sqlite3
 import struct
 import zlib
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from ..operators import quality
+from . import pieces
 
 # Fixed values of the GeoPackage format.
 GPKG_ID, GPKG_VERSION = 0x47504B47, 10200
+#: Bytes of a PNG chunk at most, some less than the format allows.
+CHUNK_LIMIT = (1 << 31) - 64
 
 
 def _polygon(ring: list) -> bytes:
@@ -47,14 +52,42 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def write_png(pixels: DataFrame, path: str, width: int, height: int) -> None:
-    """Columns y, x, r, g, b as an image of 8 bits a sample; pixels that are not there are black."""
-    image = np.zeros((height, width, 3), np.uint8)
-    table = pixels.select("y", "x", "r", "g", "b").toArrow()
-    image[table["y"].to_numpy(), table["x"].to_numpy()] = np.stack([table[c].to_numpy() for c in "rgb"], axis=1)
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()
-    with open(path, "wb") as file:
-        file.write(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw)) + _chunk(b"IEND", b""))
+def write_png(pixels: DataFrame, path: str, width: int, height: int, rows: int = 256) -> None:
+    """Columns y, x, r, g, b as an image of 8 bits a sample; pixels that are not there are black. Tasks deflate strips of so many rows."""
+
+    def make(strip: int, image: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        lines = np.zeros((image.shape[1], 1 + 3 * width), np.uint8)  # each begins with its filter, none
+        lines[:, 1:] = image.transpose(1, 2, 0).reshape(len(lines), -1)
+        yield strip, pieces.deflated(lines.tobytes()), lines.tobytes()
+
+    def frame(file: BinaryIO, found: list[pieces.Piece]) -> list[int]:
+        file.write(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)))
+        adler = 1
+        for p in found:
+            adler = pieces.joined_adler(adler, p.adler, p.raw)
+        # pieces in chunks, one where they fit; the first begins with the stream's head, the last ends with its sum
+        places, at, k = [], file.tell(), 0
+        while k < len(found):
+            body = b"IDAT" + (b"" if k else b"\x78\x9c")
+            size, crc, start = len(body) - 4, zlib.crc32(body), at + 8
+            file.seek(at + 4)
+            file.write(body)
+            at = start + size
+            while k < len(found) and (size + found[k].size < CHUNK_LIMIT or at == start + len(body) - 4):
+                places.append(at)
+                at, size, crc = at + found[k].size, size + found[k].size, pieces.joined_crc(crc, found[k].stored_crc, found[k].size)
+                k += 1
+            tail = pieces.END + struct.pack(">I", adler) if k == len(found) else b""
+            file.seek(at)
+            file.write(tail + struct.pack(">I", zlib.crc32(tail, crc)))
+            file.seek(start - 8)
+            file.write(struct.pack(">I", size + len(tail)))
+            at += len(tail) + 4
+        file.seek(at)
+        file.write(_chunk(b"IEND", b""))
+        return places
+
+    pieces.write(path, lambda folder: pieces.strips(pixels, ["r", "g", "b"], width, height, rows, np.dtype(np.uint8), 0, make, folder), frame, pixels)
 
 
 def processing_report(manifest: dict, title: str = "Remote Sensing Processing Report") -> str:

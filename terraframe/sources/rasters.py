@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from types import ModuleType
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.affine import DEFAULT_TRANSFORM
-from . import npz, tiff
-
-
-def reader(path: str) -> ModuleType:
-    with open(path, "rb") as file:
-        head = file.read(4)
-    if head[:2] in (b"II", b"MM"):
-        return tiff
-    if head[:2] == b"PK":
-        return npz
-    raise ValueError(f"{path}: neither a TIFF file nor an NPZ container")
+from . import scene_source
 
 
 def describe(path: str) -> dict:
     """path, width, height, count, dtype, crs, transform, nodata, driver and fallback_container."""
-    info = reader(path).describe(path)
+    info = scene_source.reader_of(path).describe(path)
     keep = ("path", "width", "height", "count", "dtype", "crs", "transform", "nodata", "driver", "fallback_container")
     return {k: info[k] for k in keep} | {"transform": tuple(info["transform"] or DEFAULT_TRANSFORM)}
 
 
-def read_scene(spark: SparkSession, path: str) -> DataFrame:
-    """y, x and b1 to b<count>, by parts of the file."""
-    return reader(path).read_scene(spark, path)
+def read_scene(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """y, x and b<number>, places in the whole scene, of the bands (from 1) and the window (x, y, width, height): only parts of the file that these meet are read."""
+    return scene_source.read(spark, path, bands, window)
