@@ -1,4 +1,4 @@
-"""Statistics of indices, bands, classes, detections and changes: one aggregate each, and passes for percentiles."""
+"""Statistics of indices, bands, classes, detections and changes: one aggregate each, and one more scan for percentiles."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import shoelace_area
 from .components import components
-from .ranks import percentiles
+from .ranks import order_statistics, percentiles
 
 SMALL_PATCH, LOW_SCORE = 9, 0.5
 
 
 def summaries(df: DataFrame, values: list[str], *more: Column) -> tuple[list[dict], Row]:
     """Of each column its extent, mean, population deviation, 5th, 50th and 95th percentile and count, zeros of none; and further aggregates."""
-    row = df.agg(*[f(v).alias(f"{i}_{n}") for i, v in enumerate(values) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop), ("valid_pixels", F.count))], *more).collect()[0]
-    parts = percentiles(df, values, (0.05, 0.5, 0.95))
+    every = [f(v).alias(f"{i}_{n}") for i, v in enumerate(values) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop), ("valid_pixels", F.count))]
+    parts, row = order_statistics(df, values, (0.05, 0.5, 0.95), *every, *more)
     out = []
     for i, v in enumerate(values):
         p = dict(zip(("p5", "p50", "p95"), parts[v], strict=True))
