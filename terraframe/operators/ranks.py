@@ -113,15 +113,17 @@ def _apart(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 def _select(rows: DataFrame, columns: dict[int, Column], brackets: dict[int, list[tuple[float, float]]], wanted: dict[int, set[int]], few: bool) -> dict[tuple[int, int], float]:
     """(column, rank) -> value of the wanted ranks that lie in brackets, which hold few values or many."""
-    parts = []
-    for i, v in columns.items():
-        # odd areas are brackets, even ones lie between them
-        area, inside = F.lit(2 * len(brackets[i])), F.lit(False)
+    each = [F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in columns.items()]
+    long = rows.select((F.explode(F.array(*each)) if len(each) > 1 else each[0]).alias("s")).select("s.*").filter(F.col("v").isNotNull())
+    # odd areas are brackets, even ones lie between them
+    area, v = F.lit(0), F.col("v")
+    for i in columns:
+        own = F.lit(2 * len(brackets[i]))
         for k, (lo, hi) in reversed(list(enumerate(brackets[i]))):
-            area = F.when(v < lo, 2 * k).when(v <= hi, 2 * k + 1).otherwise(area)
-            inside |= (v >= lo) & (v <= hi)
-        parts.append(F.struct(F.lit(i).alias("c"), F.when(v.isNotNull(), area).alias("area"), F.when(inside, v).alias("v")))
-    counts = rows.select(F.explode(F.array(*parts)).alias("s")).select("s.*").filter(F.col("area").isNotNull()).groupBy("c", "area", "v").agg(F.count("*").alias("n"))
+            own = F.when(v < lo, 2 * k).when(v <= hi, 2 * k + 1).otherwise(own)
+        area = F.when(F.col("c") == i, own).otherwise(area)
+    placed = long.withColumn("area", area)
+    counts = placed.groupBy("c", "area", F.when(F.col("area") % 2 == 1, v).alias("v")).agg(F.count("*").alias("n"))
     kept = counts if few else cut(counts)
     first = kept.limit(TOLD + 1).collect()
     if len(first) <= TOLD:
