@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +83,23 @@ def nearest(i: Column, target: int, source: int) -> Column:
     return F.rint(i * F.lit((source - 1) / (target - 1))).cast("long")
 
 
+def filled(i: Column, target: int, source: int) -> Column:
+    """The target indices that a source index fills, by the inverse of `nearest`: none, one or a run of them."""
+    if target == 1:
+        return F.when(i == 0, F.array(F.lit(0).cast("long")))
+    if source == 1:
+        return F.when(i == 0, F.sequence(F.lit(0).cast("long"), F.lit(target - 1).cast("long")))
+    step = (source - 1) / (target - 1)
+    first = F.greatest(F.lit(0), F.floor((i - 0.5) / step) - 1).cast("long")
+    last = F.least(F.lit(target - 1), F.ceil((i + 0.5) / step) + 1).cast("long")
+    return F.when(first <= last, F.filter(F.sequence(first, last), lambda t: nearest(t, target, source) == i))
+
+
 def resample(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """Pixels (y, x, ...) on another grid of (height, width); an equal-key join of grid and pixels."""
-    spark = pixels.sparkSession
-    cell = spark.range(target[0] * target[1]).select(F.floor(F.col("id") / target[1]).alias("ty"), (F.col("id") % target[1]).alias("tx"))
-    cell = cell.withColumns({"sy": nearest(F.col("ty"), target[0], source[0]), "sx": nearest(F.col("tx"), target[1], source[1])})
-    joined = cell.join(pixels, (F.col("sy") == F.col("y")) & (F.col("sx") == F.col("x"))).drop("y", "x", "sy", "sx")
-    return joined.withColumnsRenamed({"ty": "y", "tx": "x"})
+    """Pixels (y, x, ...) on another grid of (height, width): each goes to the places that it fills, so nothing is joined or shuffled."""
+    more = [c for c in pixels.columns if c not in ("y", "x")]
+    rows = pixels.withColumn("y", F.explode(filled(F.col("y"), target[0], source[0])))
+    return rows.withColumn("x", F.explode(filled(F.col("x"), target[1], source[1]))).select("y", "x", *more)
 
 
 def upscale(pixels: DataFrame, scale: int) -> DataFrame:
@@ -153,13 +167,56 @@ def oriented(detections: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.concat(F.lit("oriented_"), F.col("label")))
 
 
-def burn_instances(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Pixels (y, x, instance) of boxes (ordinal, bbox): ends half-even rounded and clamped, later ones above."""
+def burn_runs(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Runs (y, x0, x1, instance) of boxes (ordinal, bbox), x1 not in: ends half-even rounded and clamped, later ones above, ordinals cut to 65535.
+
+    A box is a row of each line of pixels that it meets, whatever its width. Lines are dealt by range; a task holds the boxes of one.
+    """
     end = lambda i, limit: F.greatest(F.lit(0), F.least(F.lit(limit), F.rint(F.col("bbox")[i]).cast("int")))
-    rows = boxes.select(F.least(F.col("ordinal"), F.lit(65535)).alias("ordinal"), end(0, width).alias("a"), end(1, height).alias("b"), end(2, width).alias("c"), end(3, height).alias("d"))
+    rows = boxes.select(F.least(F.col("ordinal"), F.lit(65535)).cast("long").alias("ordinal"), end(0, width).alias("a"), end(1, height).alias("b"), end(2, width).alias("c"), end(3, height).alias("d"))
     rows = rows.filter((F.col("c") > F.col("a")) & (F.col("d") > F.col("b")))
-    rows = rows.withColumn("y", F.explode(F.sequence("b", F.col("d") - 1))).withColumn("x", F.explode(F.sequence("a", F.col("c") - 1)))
-    return rows.groupBy("y", "x").agg(F.max("ordinal").alias("instance"))
+    lines = rows.select(F.explode(F.sequence("b", F.col("d") - 1)).alias("y"), "a", "c", "ordinal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            table = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            edges = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0], True]) if len(table) else np.zeros(1, np.int64)
+            out = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if held and held[0][0, 0] != table[i, 0]:
+                    out.append(painted(np.concatenate(held)))
+                    held = []
+                held.append(table[i:j])
+            if out:
+                yield _runs(np.concatenate(out))
+        if held:
+            yield _runs(painted(np.concatenate(held)))
+
+    return lines.repartitionByRange("y").sortWithinPartitions("y").mapInArrow(run, "y int, x0 int, x1 int, instance long")
+
+
+def painted(line: np.ndarray) -> np.ndarray:
+    """(y, x0, x1, instance) of one line's boxes (y, a, c, ordinal): between all ends, the greatest ordinal."""
+    line = line[np.argsort(line[:, 3], kind="stable")]
+    ends = np.unique(line[:, 1:3])
+    top = np.zeros(len(ends), np.int64)
+    for a, c, ordinal in zip(np.searchsorted(ends, line[:, 1]).tolist(), np.searchsorted(ends, line[:, 2]).tolist(), line[:, 3].tolist(), strict=True):
+        top[a:c] = ordinal + 1
+    new = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])  # the last is behind all boxes
+    new = np.append(new, len(ends) - 1) if new[-1] != len(ends) - 1 else new
+    there = top[new[:-1]] > 0
+    first, last, value = ends[new[:-1]][there], ends[new[1:]][there], top[new[:-1]][there] - 1
+    return np.stack([np.full(len(first), line[0, 0]), first, last, value], axis=1)
+
+
+def _runs(table: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(table[:, i], pa.int32()) for i in range(3)), pa.array(table[:, 3])], ["y", "x0", "x1", "instance"])
+
+
+def burn_instances(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (y, x, instance) of burn_runs()."""
+    return burn_runs(boxes, width, height).select("y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "instance")
 
 
 def rotated_values(values: Column, unit: str = "auto") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices
@@ -111,7 +111,7 @@ def x9_class_histogram(spark, sf_dir):
 p as (select range as n, range // 134 as y, range % 134 as x from range(100 * 134)) select p.y, p.x, max(ordinal) as instance from b join p on p.x >= greatest(a, 0) and p.x < least(c, 134) and p.y >= greatest(b, 0) and p.y < least(d, 100) group by p.y, p.x""")
 def x10_burn_instances(spark, sf_dir):
     rows = scenes.boxes(spark, sf_dir)
-    rows = rows.select((F.row_number().over(Window.partitionBy("raster_id").orderBy("id"))).cast("long").alias("ordinal"), F.transform("bbox", lambda v: v / 3).alias("bbox"))
+    rows = ranks.ranked(rows, ["raster_id"], [F.col("id")], "ordinal").select("ordinal", F.transform("bbox", lambda v: v / 3).alias("bbox"))
     out = raster_ops.burn_instances(rows, 134, 100)
     return out.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "instance")
 

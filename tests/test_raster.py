@@ -245,3 +245,33 @@ def test_components_of_many_tasks(spark, held):
             a, b = sorted((top(a), top(b)))
             root[b] = a
     assert found == {x: top(x) for x in root}
+
+
+@pytest.mark.parametrize(("source", "target"), [((1, 1), (1, 1)), ((1, 7), (5, 1)), ((7, 1), (1, 5)), ((5, 9), (13, 4)), ((13, 4), (5, 9)), ((10, 10), (10, 10)), ((3, 2), (97, 101)), ((97, 101), (3, 2))])
+def test_resampling_joins_nothing(spark, source, target):
+    pixels = spark.range(source[0] * source[1]).select((F.col("id") / source[1]).cast("long").alias("y"), (F.col("id") % source[1]).alias("x"), F.col("id").alias("v"))
+    rows = raster_ops.resample(pixels.repartition(2), source, target)
+    place = lambda i, n, m: 0 if n == 1 else int(np.rint(i * ((m - 1) / (n - 1))))
+    wanted = {(y, x): place(y, target[0], source[0]) * source[1] + place(x, target[1], source[1]) for y in range(target[0]) for x in range(target[1])}
+    found = rows.collect()
+    assert len(found) == len(wanted) and {(r.y, r.x): r.v for r in found} == wanted
+    plan = raster_ops.resample(pixels, source, target)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_burning_by_lines(spark):
+    rng = np.random.default_rng(7)
+    boxes = [(i + 1, [float(v) for v in (x, y, x + w, y + h)]) for i, (x, y, w, h) in enumerate(rng.uniform(-5, 40, (60, 4)))]
+    boxes += [(99, [3.0, 3.0, 3.0, 9.0]), (70_000, [30.5, 30.5, 32.5, 31.5]), (100, None)]
+    df = spark.createDataFrame(boxes, "ordinal long, bbox array<double>").repartition(3)
+    image = np.zeros((35, 50), np.int64)
+    for n, box in sorted(boxes, key=lambda b: b[0]):
+        if box:
+            x0, y0, x1, y1 = (int(np.clip(np.rint(v), 0, limit)) for v, limit in zip(box, (50, 35, 50, 35), strict=True))
+            image[y0:y1, x0:x1] = min(n, 65535)
+    assert {(r.y, r.x): r.instance for r in raster_ops.burn_instances(df, 50, 35).collect()} == {(y, x): image[y, x] for y, x in zip(*np.nonzero(image), strict=True)}
+    runs = raster_ops.burn_runs(df, 50, 35).collect()
+    lengths = sum(int((image[y, 1:] != image[y, :-1]).sum()) + 1 - int(image[y, 0] == 0) for y in range(35))
+    assert sum(r.x1 - r.x0 for r in runs) == (image > 0).sum() and len(runs) <= lengths
+    large = spark.createDataFrame([(1, [0.0, 0.0, 1e4, 1e4])], "ordinal long, bbox array<double>")
+    assert raster_ops.burn_runs(large, 10_000, 10_000).count() == 10_000
