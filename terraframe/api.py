@@ -103,9 +103,10 @@ class Engine:
         model = self.models.check(self.models.resolve(task, model_id))
         return model, adapters.maker(model, **options)
 
-    def run_semantic_segmentation(self, pixels: DataFrame, bands: list[str], names: DataFrame | None = None, area: float = 1.0, model_id: str | None = None, size: tuple[int, int] | None = None, make=None, tile: int = 512, overlap: int = 64) -> dict:
-        """`make`, or a model with an adapter, needs the size (width, height)."""
+    def run_semantic_segmentation(self, pixels: DataFrame, bands: list[str], names: DataFrame | str | None = None, area: float = 1.0, model_id: str | None = None, size: tuple[int, int] | None = None, make=None, tile: int = 512, overlap: int = 64) -> dict:
+        """`make`, or a model with an adapter, needs the size (width, height). `names`: class_id and class_name, or the path of a class map."""
         model, made = self._model("semantic_segmentation", model_id)
+        names = catalog.class_map(self.spark, catalog.validate_path(names)) if isinstance(names, str) else names
         make = make or made
         tiles.validate(tile, overlap)
 
@@ -218,8 +219,8 @@ class Engine:
 
         return self._submit(task, plan, model, tile_size=tile, overlap=overlap, score_threshold=score, nms_threshold=iou)
 
-    def run_super_resolution(self, pixels: DataFrame, scale: int = 2, transform: tuple | None = None, model_id: str | None = None, size: tuple[int, int] | None = None, make=None, tile: int = 256, overlap: int = 32) -> dict:
-        """`make`, or a model with an adapter, needs the size (width, height)."""
+    def run_super_resolution(self, pixels: DataFrame, scale: int = 2, transform: tuple | None = None, model_id: str | None = None, size: tuple[int, int] | None = None, make=None, tile: int = 256, overlap: int = 32, reference: DataFrame | None = None) -> dict:
+        """`make`, or a model with an adapter, needs the size (width, height). A reference image is brought to the result's grid and compared with it, band by band."""
         if scale <= 0:
             raise ValueError("scale must be positive")
         tiles.validate(tile, overlap)
@@ -229,7 +230,33 @@ class Engine:
         rows = adapters.upscale(pixels, bands, size, scale, make, tile, overlap) if make is not None else raster_ops.upscale(pixels, scale)
         a, b, c, d, e, f = tuple(transform or affine.DEFAULT_TRANSFORM)[:6]
         finer = (a / scale, b / scale, c, d / scale, e / scale, f)
-        return self._submit("super_resolution", lambda folder: ({"image": self._save(rows, folder, "image.parquet")}, {"type": "super_resolution", "scale": scale, "transform": finer, "transform_matches_scale": True}, []), model, scale=scale, transform=list(transform or affine.DEFAULT_TRANSFORM), size=size)
+
+        def plan(folder: str):
+            outputs = {"image": self._save(rows, folder, "image.parquet")}
+            found = {"type": "super_resolution", "scale": scale, "transform": finer, "transform_matches_scale": True, "reference_metrics_available": reference is not None}
+            if reference is None:
+                return outputs, found, [{"code": "no_reference_image", "severity": "info", "message": "No reference image provided; PSNR/SSIM were not calculated."}]
+            outputs["reference"] = self._save(reference, folder, "reference.parquet")
+            more, flags = self._compare(self.spark.read.parquet(outputs["image"]), self.spark.read.parquet(outputs["reference"]))
+            return outputs, found | more, flags
+
+        return self._submit("super_resolution", plan, model, scale=scale, transform=list(transform or affine.DEFAULT_TRANSFORM), size=size)
+
+    @staticmethod
+    def _compare(image: DataFrame, reference: DataFrame) -> tuple[dict, list[dict]]:
+        """PSNR and SSIM of an image and a reference of as many bands, which nearest resampling brings to the image's size."""
+        size = lambda df: tuple(df.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).collect()[0])
+        bands, others = ([c for c in df.columns if c not in ("y", "x")] for df in (image, reference))
+        target, source = size(image), size(reference)
+        if None in target + source:
+            return {"psnr": None, "ssim": None, "reference_shape": None}, [{"code": "optional_metric_skipped", "severity": "info", "message": "The image or its reference has no pixels."}]
+        flags = [] if len(bands) == len(others) else [{"code": "optional_metric_skipped", "severity": "info", "message": f"{len(bands)} band(s) of the image and {len(others)} of the reference: the first {min(len(bands), len(others))} compared."}]
+        other = (raster_ops.resample(reference, source, target) if source != target else reference).select("y", "x", *[F.col(c).cast("double").alias(f"__r{i}") for i, c in enumerate(others)])
+        n = min(len(bands), len(others))
+        pairs = image.join(other, ["y", "x"]).select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("band"), F.col(f"__r{i}").alias("a"), F.col(bands[i]).cast("double").alias("b")) for i in range(n)])).alias("p")).select("p.*")
+        psnr, ssim = raster_ops.psnr(pairs, "a", "b").collect()[0]["psnr"], raster_ops.ssim(pairs, "band", "a", "b").collect()[0]["ssim"]
+        flags.append({"code": "optional_metric_skipped", "severity": "info", "message": "lpips_unavailable"})
+        return {"psnr": psnr, "ssim": ssim, "reference_shape": list(source)}, flags
 
     # --- afterwards ---
 
@@ -287,6 +314,39 @@ class Engine:
 
         return self._submit("statistics", plan, {"id": "statistics", "backend": "spark"}, source=target, zones=zones)
 
+    def check_quality(self, path: str | None = None, job_id: str | None = None) -> dict:
+        """Flags of a file, or of a job's results and their files, as a job of its own: what is missing, cannot be read, is empty or has no CRS."""
+        record = self.jobs.get(job_id) if job_id else None
+        if record is None and path is None:
+            raise ValueError("a file or a job is needed")
+        outputs = record["outputs"] if record else {"input_path": path}
+
+        def plan(folder: str):
+            flags = list(record["quality_flags"]) if record else []
+            if record and record["statistics"].get("count") == 0:
+                flags.append({"code": "empty_result", "severity": "warning", "message": "Source manifest reports zero records."})
+            missing = [n for n, v in outputs.items() if v and not os.path.exists(v)]
+            if missing:
+                flags.append({"code": "missing_outputs", "severity": "error", "message": f"Missing output files: {', '.join(missing)}."})
+            target = path or next((v for v in outputs.values() if v and v.lower().endswith((".tif", ".tiff"))), None)
+            if target:
+                try:
+                    info = rasters.describe(target)
+                except (OSError, ValueError, KeyError) as error:
+                    flags.append({"code": "raster_read_failed", "severity": "error", "message": f"Could not read raster: {error}"})
+                else:
+                    if not info["crs"]:
+                        flags.append({"code": "crs_missing", "severity": "warning", "message": "Raster CRS is missing."})
+                    if info["fallback_container"]:
+                        flags.append({"code": "fallback_raster_io", "severity": "info", "message": "Rasterio unavailable; fallback raster container was used."})
+            flags = list({(f["code"], f["message"]): f for f in reversed(flags)}.values())[::-1]
+            out = os.path.join(folder, "quality.json")
+            with open(out, "w", encoding="utf-8") as file:
+                json.dump({"quality_flags": flags, "checked_outputs": outputs}, file, indent=2, ensure_ascii=False, default=jobs.plain)
+            return {"quality_json": out}, {"flag_count": len(flags), "error_count": sum(f["severity"] == "error" for f in flags)}, flags
+
+        return self._submit("quality_check", plan, {"id": "quality-checker", "backend": "rules"}, source=path or job_id)
+
     def analyze(self, job_id: str) -> dict:
         """Statistics anew, the rules' flags and a conclusion, stored beside the job's results and in its record."""
         record = self.jobs.get(job_id)

@@ -221,10 +221,10 @@ def burn_instances(boxes: DataFrame, width: int, height: int) -> DataFrame:
 
 def rotated_values(values: Column, unit: str = "auto") -> Column:
     """cx, cy, width, height, angle in degrees of five values; `auto` takes small angles as radians."""
-    angle = F.element_at(values, 5)
-    radians = F.lit(unit == "radians") if unit != "auto" else F.abs(angle) <= 6.283185307179586
-    ok = F.struct(*[F.element_at(values, i + 1).alias(n) for i, n in enumerate(("cx", "cy", "width", "height"))], F.when(radians, F.degrees(angle)).otherwise(angle).alias("angle"))
-    return F.when(F.size(values) >= 5, ok).otherwise(F.raise_error(F.lit("an oriented box needs five values")))
+    angle = F.get(values, F.lit(4))
+    degrees = F.when(F.abs(angle) <= 6.283185307179586, F.degrees(angle)).otherwise(angle) if unit == "auto" else F.degrees(angle) if unit == "radians" else angle
+    first = F.when(F.size(values) >= 5, F.get(values, F.lit(0))).otherwise(F.raise_error(F.lit("an oriented box needs five values")).cast("double"))
+    return F.struct(first.alias("cx"), *[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(("cy", "width", "height"), 1)], degrees.alias("angle"))
 
 
 def softmax(logits: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices
@@ -251,6 +251,13 @@ def f3_detect_instances(spark, sf_dir):
     return _unrounded(spark, sf_dir, True)
 
 
+@_query(_detect_sql(">", "", "bright_instance").replace("st as materialized", "raw as (select * from px), st as materialized").replace("px as", "noise as").replace("raw as (select * from px)", "px as materialized (select * replace (3 * avg(gray) over (partition by tile_seq, y // 4, x // 4) as gray) from noise)"))
+def f3_instances_of_blocks(spark, sf_dir):
+    """The same model where there are instances: each pixel has three times the mean of its block of 4 x 4, so blocks stand out that noise alone doesn't make."""
+    block = Window.partitionBy("tile_seq", F.floor(F.col("ty") / 4), F.floor(F.col("tx") / 4))
+    return _found(raster_ops.detect_bright(_gray_tiles(spark, sf_dir).withColumn("gray", 3 * F.avg("gray").over(block)), 100, 100, True, digits=9))
+
+
 _SEG = "case when nir > green and nir > red and nir > 120 then 2 when (red + green + nir + blue) / 4 > 185 then 1 else 0 end"
 
 

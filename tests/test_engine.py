@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraframe.api import Engine
+from terraframe.operators import raster_ops
 from terraframe.operators.adapters import Adapter, detect
-from terraframe.sources import catalog, npz, scenes
+from terraframe.sources import catalog, npz, scenes, tiff
 from terraframe.streaming import scenes as streams
 
 
@@ -174,3 +175,48 @@ def test_stream_totals(spark, tmp_path):
     query = streams.write_totals(streams.index_totals(stream, "ndvi", {"red": "red", "nir": "nir"}), "totals", os.path.join(tmp_path, "ck"))
     query.awaitTermination(120)
     assert {r.raster_id: (r.valid_pixels, r.mean) for r in spark.table("totals").collect()} == {"a": (1, 0.5), "b": (1, -0.5)}
+
+
+def test_super_resolution_against_a_reference(spark, engine):
+    pixels = scenes.synthetic(spark, 12, 9, 2)
+    exact = raster_ops.upscale(pixels, 2)
+    alone = engine.run_super_resolution(pixels, 2)
+    assert [f["code"] for f in alone["quality_flags"]] == ["no_reference_image"] and not alone["statistics"]["reference_metrics_available"]
+    same = engine.run_super_resolution(pixels, 2, reference=exact)["statistics"]
+    assert same["psnr"] == float("inf") and same["ssim"] == pytest.approx(1) and same["reference_shape"] == [18, 24]
+    rows = {(r.y, r.x): (r.b1, r.b2) for r in exact.collect()}
+    off = exact.withColumn("b1", F.col("b1") + 10)
+    found = engine.run_super_resolution(pixels, 2, reference=off)
+    assert found["statistics"]["psnr"] == pytest.approx(20 * np.log10(255) - 10 * np.log10(50)) and [f["message"] for f in found["quality_flags"]] == ["lpips_unavailable"]
+    small = engine.run_super_resolution(pixels, 2, reference=pixels.select("y", "x", (F.col("b1") + 3).alias("b1")))  # brought to the result's grid
+    place = lambda i, n, m: int(np.rint(i * ((m - 1) / (n - 1))))
+    own = {(r.y, r.x): r.b1 for r in pixels.collect()}
+    error = np.mean([(own[place(y, 18, 9), place(x, 24, 12)] + 3 - b[0]) ** 2 for (y, x), b in rows.items()])
+    assert small["statistics"]["psnr"] == pytest.approx(20 * np.log10(255) - 10 * np.log10(error)) and small["statistics"]["reference_shape"] == [9, 12]
+    assert "the first 1 compared" in small["quality_flags"][0]["message"]
+
+
+def test_quality_checks_of_files_and_jobs(spark, engine, tmp_path):
+    scene = scenes.synthetic(spark, 8, 6, 1)
+    npz.write_scene(scene, str(tmp_path / "s.npz"), 8, 6, "uint8", crs=None)
+    tiff.write_scene(scene, str(tmp_path / "s.tif"), 8, 6, "uint8", "EPSG:3857")
+    codes = lambda record: [f["code"] for f in record["quality_flags"]]
+    assert codes(engine.check_quality(str(tmp_path / "s.npz"))) == ["crs_missing", "fallback_raster_io"] and codes(engine.check_quality(str(tmp_path / "s.tif"))) == []
+    assert codes(engine.check_quality(str(tmp_path / "none.tif"))) == ["missing_outputs", "raster_read_failed"]
+    (tmp_path / "text.tif").write_text("no raster")
+    assert codes(engine.check_quality(str(tmp_path / "text.tif"))) == ["raster_read_failed"]
+    job = engine.run_detection(scene, ["b1"], (8, 6), tile=8, overlap=0, score=1.0)
+    found = engine.check_quality(job_id=job["job_id"])
+    assert codes(found) == ["empty_result", "empty_result"] and found["statistics"] == {"flag_count": 2, "error_count": 0} and os.path.exists(found["outputs"]["quality_json"])
+    os.remove(job["outputs"]["geojson"])
+    assert engine.check_quality(job_id=job["job_id"])["statistics"]["error_count"] == 1
+    with pytest.raises(ValueError):
+        engine.check_quality()
+
+
+def test_class_map_by_path(spark, engine, tmp_path):
+    (tmp_path / "c.yaml").write_text("classes:\n  0: {name: ground}\n")
+    found = engine.run_semantic_segmentation(scenes.synthetic(spark, 8, 6, 3), ["b1", "b2", "b3"], names=str(tmp_path / "c.yaml"))
+    assert "ground" in found["statistics"]["class_ratios"]
+    with pytest.raises(FileNotFoundError):
+        engine.run_semantic_segmentation(scenes.synthetic(spark, 8, 6, 3), ["b1"], names=str(tmp_path / "none.yaml"))
