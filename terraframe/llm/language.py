@@ -12,7 +12,7 @@ aggregation; what reaches the driver has at most MAX_LANGUAGES * BUCKETS rows, w
 
 Defined results: a text that is null or has no letter is `und`, score 0; so is every text if there
 is nothing to learn from; ties go to the language first by code point; repeated rows are predicted
-each; other columns are kept but never read.
+each; other columns are kept but never read; those that begin with two underscores raise a ValueError.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, bounded, pieces, text_buffers, words
-from .tables import map_arrow
+from .tables import map_arrow, refuse_own_names
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", drop_text: bool = False) -> DataFrame:
     """Learns from the rows that are not held out and predicts all of them."""
+    refuse_own_names(docs)
     langs, model = learn(docs.filter(~held_out(F.col(key))), text, language)
     return predict(docs, langs, model, text, drop_text)
 

@@ -18,10 +18,11 @@ adapts to the place: SPARSE hashes where at most REGION sets share them, else DE
 
 So no pair that shares DEPTH hashes in a tree is lost for the size of its region, and links don't depend
 on borders of partitions. Two sets of similarity 0.8 share DEPTH hashes in one order with probability 0.41;
-orders share hashes, so they aren't independent: of 2,000,000 simulated pairs, each hash equal with
-probability 0.8, 205 (0.010 %) share them in none of the 32, with 0.85 10 (0.0005 %); in sparse regions, where
-SPARSE hashes do, 1. Signatures that share fewer hashes than SIGMAS standard deviations below what the
-similarity lets expect are not compared: 1.2 in a million at similarity 0.8.
+orders share hashes, so they aren't independent. Of 2,000,000 simulated pairs, each hash equal with
+probability 0.8, 192 (0.0096 %) share them in none of the 32, with 0.85 16 (0.0008 %); in sparse regions, where
+SPARSE hashes do, 2 and 0 (`missed_pairs`, seed 1). Signatures that share fewer hashes than SIGMAS standard deviations below what the
+similarity lets expect are not compared: 1.2 in a million at similarity 0.8. So links are found with these
+probabilities; there is no way here that finds all for certain.
 
 Sorting is by range over complete keys, so no group is hot; full sets travel once to be
 reduced to one of a kind, combined on the map side, and once to their cells. What grows fastest is a family of n
@@ -31,6 +32,7 @@ Defined results: A-Z count as a-z; a document of fewer words than a shingle has
 one; a document without words (or null) has an empty set, is linked with nothing and kept; equal
 sets are one node, however many documents have them. `deduplicate` decides by row: one row of each
 group stays, that of the least key (null keys last), then of the least set; of rows equal in both, any.
+Columns that begin with two underscores raise a ValueError.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, least_reachable
 from .kernels import bounded, fixed_binary, mix, pieces, row_bounds, shingles, text_buffers
-from .tables import PLACES, bitmap, cut, map_arrow, maybe
+from .tables import PLACES, bitmap, cut, map_arrow, maybe, refuse_own_names
 
 HASHES, TREES, SPARSE, DEPTH, REGION = 64, 32, 3, 4, 256
 #: Sets and shingles that a cell holds of each side; a larger set is a cell of its own.
@@ -59,6 +61,19 @@ SHIFTS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 ORDERS = np.stack([_random.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
 
 
+def missed_pairs(share: float, pairs: int, seed: int = 1, step: int = 100_000) -> tuple[int, int]:
+    """Of simulated pairs of which each hash is equal with a probability, how many share no SPARSE and no DEPTH hashes in any order."""
+    rng, out = np.random.default_rng(seed), [0, 0]
+    for _ in range(0, pairs, step):
+        same = rng.random((step, HASHES), dtype=np.float32) < share
+        for k, depth in enumerate((SPARSE, DEPTH)):
+            found = np.zeros(step, bool)
+            for order in ORDERS:
+                found |= same[:, order[:depth]].all(axis=1)
+            out[k] += int((~found).sum())
+    return out[0], out[1]
+
+
 def set_keys(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """128 bits that identify each set, as (sets, 16) bytes; sets must not be empty."""
     first = np.add.reduceat(mix(hashes), bounds)
@@ -413,6 +428,7 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id (the least key reachable) and kept of every row."""
+    refuse_own_names(docs)
     rows, of = _grouped(docs, key, text, width, percent)
     out = rows.select(key, F.col("__n").alias("n_shingles"), "__set")
     low = of.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("__least"))
@@ -441,6 +457,7 @@ def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, and all without words: that of the least key, then of the least set."""
+    refuse_own_names(docs)
     rows, of = _grouped(docs, key, text, width, percent)
     first = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("f"))
     stays = F.col("__set").eqNullSafe(F.col("__node")) & F.col("__key").eqNullSafe(F.col("__least"))

@@ -13,7 +13,8 @@ row per task; the classes come back by a join on the text's hash, whose other si
 distinct text with candidates.
 
 Defined results: a null text is an empty one without spans; a null owner or repository counts as
-one of its own; repeated rows are reported each; positions are code points, the end exclusive.
+one of its own; repeated rows are reported each; positions are code points, the end exclusive. Columns that begin with two
+underscores raise a ValueError.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import bounded, pieces, text_buffers
-from .tables import cut, map_arrow
+from .tables import cut, map_arrow, refuse_own_names
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -109,6 +110,7 @@ def _value_hash(value: str) -> str:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows without the text, with __key (hash of the text) and __found, the candidates."""
+    refuse_own_names(docs)
     keep = [c for c in docs.columns if c != text]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "__key string", f"__found {CANDIDATE}"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
@@ -169,6 +171,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
 
     Only texts that have a long token travel to the classes; base spans are masked where they are read.
     """
+    refuse_own_names(docs)
     found = cut(candidates(docs.select(owner, repository, text), text).filter(F.size("__found") > 0))
     owned = F.filter("__spans", lambda s: (s["kind"] == "owned") & is_live(s))
     live = classified(found, owner, repository).select(F.col("__key").alias("__text"), owned.alias("__owned")).filter(F.size("__owned") > 0)

@@ -1,10 +1,10 @@
-"""Exact repeated strings over a corpus: ranks of growing strings, until unique or long enough.
+"""Exact repeated strings over a corpus, by anchors and hashes of growing strings, until unique or long enough.
 
 Every byte is to go that a string of LENGTH bytes covers which also starts anywhere else; beside that,
-words are counted that a run of PASSAGE words covers which another document has. Prefix doubling ranks
+words are counted that a run of PASSAGE words covers which another document has. Prefix doubling would rank
 all positions by short strings, then by ones twice as long, dropping positions as soon as they are
-unique. Here it does so from anchors instead of from every position, and a rank is a hash of the
-string, since only equality is asked for. It works on bytes and on words alike, in the same passes:
+unique. This is not that: strings do grow and drop out when unique, but from anchors instead of from every position, nothing
+is sorted by rank pairs, and equality is told by hashes. It works on bytes and on words alike, in the same passes:
 
 * Of the grams of a quarter of the length in a string, the least hash is its anchor, so equal strings have
   equal anchors at equal distances. About 1 byte in 130 is an anchor, and 1 word in 18; each stands for the
@@ -16,8 +16,8 @@ string, since only equality is asked for. It works on bytes and on words alike,
   blocks, in the end single strings. Ranks grow from a quarter of the length over length - b + 1, with b each
   of BLOCKS, to the length.
 
-What decides are 128 bits of two unlike hashes, one modulo 2**64 and one modulo a prime; what only saves
-work (grams, cores, bitmaps) are 64.
+What decides are 95 bits: a hash modulo 2**64 and one modulo the prime 2**31 - 1 of other symbols (for words, symbols
+made from the first hash, so there it is no independent one). What only saves work (grams, cores, bitmaps) are 64 bits.
 
 Texts equal as a whole are settled by a count of text hashes, and copies of a text are one from then on, combined on
 the map side. Counts are aggregated partially and rows meet their counts in joins of two shuffled

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import cut, release  # noqa: F401  for the operators beside this module
+from ..operators.graph import cut  # noqa: F401  for the operators beside this module
 
 #: Buckets at each of the two levels by which rows of one key are dealt out.
 FAN = 64
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse_own_names(df: DataFrame) -> None:
+    """Columns that begin with two underscores are the operators' own; an input that has one is refused."""
+    if clash := [c for c in df.columns if c.startswith("__")]:
+        raise ValueError(f"columns {clash}: names that begin with two underscores are the operator's own")
+
+
 #: Bytes of an Arrow batch that Spark sends to a Python worker; a longer row is a batch of its own.
 BATCH = 4 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

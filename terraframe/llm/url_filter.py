@@ -9,7 +9,7 @@ The rule list is a parameter of at most MAX_RULES rules, a fixed bound on what i
 once and sent to the Python workers, which keep it. A url costs a look-up for each of its labels and segments and
 for each length that rules' last segments have there, not for each rule. Defined results: a null url, or one without "://", has an
 empty host and path; no rule with a path fits an empty path; an empty table gives no rows. Extra
-columns are kept as they are.
+columns are kept as they are, but those that begin with two underscores raise a ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import map_arrow
+from .tables import map_arrow, refuse_own_names
 
 MAX_RULES = 200_000
 DEFAULT = "allow"
@@ -86,6 +86,7 @@ def path_of(url: Column) -> Column:
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", default: str = DEFAULT) -> DataFrame:
     """Adds __host, __path, __rule (null if none fits) and __verdict."""
+    refuse_own_names(df)
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules are broadcast")
     shared = df.sparkSession.sparkContext.broadcast(HostTrie(rules))

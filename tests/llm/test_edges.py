@@ -245,3 +245,19 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(BATCH_BYTES) == "1m"
     finally:
         spark.conf.unset(BATCH_BYTES)
+
+
+@pytest.mark.parametrize("name", ["__key", "__found", "__lang", "__set", "__host", "__x"])
+def test_names_of_working_columns_are_refused(docs, name):
+    named = docs.withColumn(name, F.lit(1)).withColumn("url", F.lit("http://a.org/"))
+    for call in (
+        lambda: secrets.scan_secrets(named), lambda: secrets.redact(named), lambda: language.identify(named), lambda: near_dedup.deduplicate(named),
+        lambda: near_dedup.components(named), lambda: url_filter.filter_urls(named, [("allow", "org/")]),
+    ):
+        with pytest.raises(ValueError, match=name):
+            call()
+
+
+def test_figures_of_missed_pairs():
+    """Those that the docstring states, on a tenth of the pairs."""
+    assert near_dedup.missed_pairs(0.8, 200_000) == (2, 21) and near_dedup.missed_pairs(0.85, 200_000) == (0, 4)
