@@ -8,17 +8,20 @@ raster_ops) and never leave the JVM.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import subprocess
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tiles
@@ -27,6 +30,11 @@ from .jobs import plain
 
 # The names in requests and responses of models in their own process are those of _ask below.
 DETECTION = "tile_seq int, idx int, label string, class_id int, score double, bbox array<double>, rotated array<double>, polygon array<struct<x:double,y:double>>"
+DETECTION_ARROW = pa.schema([
+    ("tile_seq", pa.int32()), ("idx", pa.int32()), ("label", pa.string()), ("class_id", pa.int32()), ("score", pa.float64()), ("bbox", pa.list_(pa.float64())), ("rotated", pa.list_(pa.float64())),
+    ("polygon", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))),
+])
+DETECTION_NAMES = DETECTION_ARROW.names
 #: Fixed value: how long a model in its own process may take for a tile where its description doesn't say.
 SECONDS = 600
 
@@ -106,27 +114,84 @@ def detect(pixels: DataFrame, bands: list[str], size: tuple[int, int], make: Mak
 
     size: width and height. `rotated` is cx, cy, width, height and the angle in degrees.
     """
-    width, height = size
-
     def use(adapter: Adapter, seq: int, x0: int, y0: int, data: np.ndarray) -> pd.DataFrame:
-        out = []
-        for n, found in enumerate(adapter.predict(data, {"tile_seq": seq, "x0": x0, "y0": y0}), 1):
-            turned, ring = found.get("rotated_box"), found.get("polygon") or found.get("mask_polygon")
-            if turned is not None:
-                turned = [float(turned["cx"]) + x0, float(turned["cy"]) + y0, *(float(turned[k]) for k in ("width", "height", "angle_degrees"))]
-            if ring is not None:
-                ring = [{"x": float(x) + x0, "y": float(y) + y0} for x, y in ring]
-            a, b, c, d = found.get("bbox") or (0, 0, 0, 0)
-            box = [float(v) for v in (a + x0, b + y0, c + x0, d + y0)]
-            if clip:
-                box = [min(max(v, 0.0), float(limit)) for v, limit in zip(box, (width, height, width, height), strict=True)]
-            if float(found.get("score", 0.0)) >= score and (not clip or (box[2] > box[0] and box[3] > box[1])):
-                out.append((seq, n, str(found.get("label", "target")), int(found.get("class_id") or 0), float(found.get("score", 0.0)), box, turned, ring))
-        return pd.DataFrame(out, columns=["tile_seq", "idx", "label", "class_id", "score", "bbox", "rotated", "polygon"])
+        return pd.DataFrame(_records(adapter, seq, x0, y0, data, size, score, clip), columns=DETECTION_NAMES)
 
     return _by_tile(pixels, bands, size, tile, overlap, make, use, DETECTION)
 
 
+def _records(adapter: Adapter, seq: int, x0: int, y0: int, data: np.ndarray, size: tuple[int, int], score: float, clip: bool) -> list[tuple]:
+    """A tile's rows of DETECTION."""
+    width, height = size
+    out = []
+    for n, found in enumerate(adapter.predict(data, {"tile_seq": seq, "x0": x0, "y0": y0}), 1):
+        turned, ring = found.get("rotated_box"), found.get("polygon") or found.get("mask_polygon")
+        if turned is not None:
+            turned = [float(turned["cx"]) + x0, float(turned["cy"]) + y0, *(float(turned[k]) for k in ("width", "height", "angle_degrees"))]
+        if ring is not None:
+            ring = [{"x": float(x) + x0, "y": float(y) + y0} for x, y in ring]
+        a, b, c, d = found.get("bbox") or (0, 0, 0, 0)
+        box = [float(v) for v in (a + x0, b + y0, c + x0, d + y0)]
+        if clip:
+            box = [min(max(v, 0.0), float(limit)) for v, limit in zip(box, (width, height, width, height), strict=True)]
+        if float(found.get("score", 0.0)) >= score and (not clip or (box[2] > box[0] and box[3] > box[1])):
+            out.append((seq, n, str(found.get("label", "target")), int(found.get("class_id") or 0), float(found.get("score", 0.0)), box, turned, ring))
+    return out
+
+
+#: The model that a worker holds for SQL functions, by the function's registration.
+_loaded: dict[str, Adapter] = {}
+
+
+def _held(name: str, make: Make) -> Adapter:
+    """Spark makes a table function anew for every partition, so its model is kept by the worker: until another one is asked for, or it ends."""
+    if name not in _loaded:
+        _close_held()
+        adapter = make()
+        adapter.load()
+        _loaded[name] = adapter
+    return _loaded[name]
+
+
+def _close_held() -> None:
+    while _loaded:
+        _loaded.popitem()[1].close()
+
+
+atexit.register(_close_held)
+
+
+def register(spark: SparkSession, name: str, make: Make, bands: list[str], size: tuple[int, int], clip: bool = True) -> None:
+    """A table function of SQL that runs a detector over tiles: 0 to n rows of DETECTION for each, as detect() gives them.
+
+        SELECT * FROM detect(TABLE(tiles) PARTITION BY (tile_seq), 0.25)
+
+    The table has tile_seq, tile_x0, tile_y0, y, x and the bands (`tiles.assign` makes it); the number is the least score. Pixels come in
+    Arrow batches. Functions over these have a fixed type and no `analyze`, so each kind of task would be a function of its own.
+    """
+    which = uuid.uuid4().hex
+
+    class Detector:
+        def __init__(self) -> None:
+            self.batches: list[pa.RecordBatch] = []
+            self.score = 0.0
+
+        def eval(self, table: pa.RecordBatch, score: pa.Array) -> Iterator[pa.Table]:
+            self.batches.append(table)
+            if len(score) and score[0].is_valid:
+                self.score = float(score[0].as_py())
+            return iter(())
+
+        def terminate(self) -> Iterator[pa.Table]:
+            frames = [pa.Table.from_batches(self.batches).to_pandas()] if sum(map(len, self.batches)) else []
+            adapter = _held(which, make) if frames else None
+            for seq, x0, y0, data in _tiles(frames, bands):
+                rows = _records(adapter, seq, x0, y0, data, size, self.score, clip)
+                yield pa.Table.from_pylist([dict(zip(DETECTION_NAMES, r, strict=True)) for r in rows], DETECTION_ARROW)
+
+    spark.udtf.register(name, F.arrow_udtf(returnType=DETECTION)(Detector))
+
+
 def _places(x0: int, y0: int, high: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
     y, x = np.divmod(np.arange(high * wide), wide)
     return y + y0, x + x0

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATES = ("queued", "running", "success", "failed")
@@ -35,6 +35,31 @@ def plain(value: Any) -> Any:
     return value.to_dict() if hasattr(value, "to_dict") else str(value)
 
 
+FLAGS = "array<struct<code:string,severity:string,message:string>>"
+
+
+def manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, body) of JSON files, one value a file: manifests or records of many jobs as a table. `body` is a VARIANT, null of a file that is no JSON.
+
+    A path of it is read by `variant_get(body, '$.statistics.count', 'long')`, or by values() and flags() below. Files are packed into
+    tasks by size; nothing passes through the driver.
+    """
+    texts = spark.read.text(paths, wholetext=True, pathGlobFilter="*.json")
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("body"))
+
+
+def values(found: DataFrame, **paths: str) -> DataFrame:
+    """path, job_id, task, status and the values at paths, each `name="$.place.in.it type"`; null where it isn't there or is of another type."""
+    named = {"job_id": "$.job_id string", "task": "$.task string", "status": "$.status string"} | paths
+    return found.select("path", *[F.try_variant_get("body", at.rpartition(" ")[0], at.rpartition(" ")[2]).alias(n) for n, at in named.items()])
+
+
+def flags(found: DataFrame) -> DataFrame:
+    """path, job_id, task, code, severity and message of every quality flag."""
+    rows = found.select("path", *[F.try_variant_get("body", f"$.{n}", "string").alias(n) for n in ("job_id", "task")], F.explode(F.try_variant_get("body", "$.quality_flags", FLAGS)).alias("f"))
+    return rows.select("path", "job_id", "task", "f.code", "f.severity", "f.message")
+
+
 class JobStore:
     """One JSON file a job in a folder of the driver; files that can't be read are left out of lists."""
 
@@ -74,6 +99,10 @@ class JobStore:
                     continue
         return out
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """All records as (path, body), for queries over many jobs; the folder must be one that executors share."""
+        return manifests(spark, self.folder)
+
     def submit(self, task: str, work: Callable[[str], dict], **known: Any) -> dict:
         """Runs the work with the job's folder; a failure is recorded with its manifest, then raised again."""
         record = self.create(task, **known)
