@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark deletes the shuffle files of an execution at its end where this is on as the plan is made.
@@ -29,6 +28,16 @@ def _set_folder(context) -> None:
         context.setCheckpointDir(folder)
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder as a path of this machine and of executors, where it is one of a file system that they mount."""
+    _set_folder(session.sparkContext)
+    where = session.sparkContext._jsc.sc().getCheckpointDir().get()
+    scheme, _, path = where.rpartition(":") if ":" in where.split("/")[0] else ("", "", where)
+    if scheme not in ("", "file"):
+        raise RuntimeError(f"{where}: files of other programs need a folder that is mounted")
+    return "/" + path.lstrip("/")
+
+
 def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """The same rows without lineage, in the folder that all executors share; files of `done` go.
 
@@ -64,12 +73,6 @@ def discard(*done: DataFrame) -> None:
             df._kept_in = None
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete what finished steps left beside the cuts: broadcasts that Python let go of."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Of nodes 0 to n - 1 with edges a[i] - b[i], the least node of each one's component."""
     label = np.arange(n)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices
 from ..functions.affine import transform
 from ..operators import components, nms, quality, ranks, raster_ops, statistics, stitching
-from ..sources import scenes
+from ..operators.graph import shared_folder
+from ..sources import rasters, scenes, tiff
 from .registry import _ASSIGN, _INTER, _UNION, BOXES, LATER, SCENE, VECTORS, T, _bands, _query, _rounded, _sql_index, _sql_r6, _tiled, r6
 
 NAMES = "names as (select * from (values (0, 'background'), (1, 'vegetation'), (2, 'water'), (3, 'building'), (4, 'bare_soil'), (5, 'road')) n(class_id, class_name))"
@@ -116,6 +120,18 @@ def x10_burn_instances(spark, sf_dir):
     return out.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "instance")
 
 
+_BURNT = f"""with {BOXES}, b as (select row_number() over (order by id) as ordinal, round_even(x1 / 3, 0)::bigint as a, round_even(y1 / 3, 0)::bigint as b, round_even(x2 / 3, 0)::bigint as c, round_even(y2 / 3, 0)::bigint as d from boxes),
+p as (select range as n, range // 134 as y, range % 134 as x from range(100 * 134)), i as (select p.y, p.x, max(ordinal) as instance from b join p on p.x >= greatest(a, 0) and p.x < least(c, 134) and p.y >= greatest(b, 0) and p.y < least(d, 100) group by p.y, p.x),
+g as (select *, x - row_number() over (partition by y, instance order by x) as k from i)"""
+
+
+@_query(_BURNT + " select y::int as y, min(x)::int as x0, (max(x) + 1)::int as x1, instance from g group by y, instance, k")
+def x10_instance_runs(spark, sf_dir):
+    """The same image as runs of lines, a row for each; runs that meet have different instances."""
+    rows = ranks.ranked(scenes.boxes(spark, sf_dir), ["raster_id"], [F.col("id")], "ordinal").select("ordinal", F.transform("bbox", lambda v: v / 3).alias("bbox"))
+    return raster_ops.burn_runs(rows, 134, 100)
+
+
 def _components_sql(mask: str, out: str) -> str:
     """Runs, links between rows, and reachability over them, as SQL."""
     return f"""with recursive {SCENE}, mask as materialized ({mask}), g as (select *, x - row_number() over (partition by y order by x) as k from mask),
@@ -610,3 +626,25 @@ def j1_latest_job_state(spark, sf_dir):
 
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("updated_at"))
     return latest(log)
+
+
+@_query(f"with {SCENE} select (y - 3) as y, (x - 20) as x, nir::bigint as b2, green::bigint as b1 from scene where y >= 3 and y < 63 and x >= 20 and x < 90")
+def s2_window_of_file(spark, sf_dir):
+    """The scene is written as a GeoTIFF, of which a window and two bands are read: the strips that these meet, and no others."""
+    width, height = scenes.size(spark, sf_dir)
+    path = os.path.join(shared_folder(spark), f"scene-{uuid.uuid4().hex}.tif")
+    pixels = scenes.scene(spark, sf_dir).select("y", "x", *[F.col(c).cast("long").alias(f"b{i}") for i, c in enumerate(("green", "nir", "swir2"), 1)])
+    tiff.write_scene(pixels, path, width, height, "int16", "EPSG:3857")
+    rows = rasters.read_scene(spark, path, bands=[2, 1], window=(20, 3, 70, 60))
+    return rows.select((F.col("y") - 3).alias("y"), (F.col("x") - 20).alias("x"), "b2", "b1")
+
+
+_SPREAD = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@_query(" union all ".join(f"select '{c}' as name, " + ", ".join(f"{_sql_r6(f'quantile_cont({c}::double, {q})')} as p{n}" for n, q in (("5", "0.05"), ("50", "0.5"), ("95", "0.95"))) + " from lineitem" for c in _SPREAD))
+def m7_exact_percentiles(spark, sf_dir):
+    """Percentiles of four columns at once, of as many rows as the largest table has: two scans of it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*[F.col(c).cast("double").alias(c) for c in _SPREAD])
+    found = ranks.percentiles(rows, _SPREAD, (0.05, 0.5, 0.95))
+    return _rounded(spark.createDataFrame([(c, *found[c]) for c in _SPREAD], "name string, p5 double, p50 double, p95 double"))
