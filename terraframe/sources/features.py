@@ -12,12 +12,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pieces
+
 #: Bytes of a range.
 RANGE = 8 << 20
 QUOTE, ESCAPE = 0x22, 0x5C
@@ -39,12 +42,19 @@ def write_lines(features: DataFrame, path: str, column: str = "feature") -> None
 
 
 def write_collection(features: DataFrame, path: str, crs: str | None = None, column: str = "feature") -> None:
-    """One collection file, written row by row on the driver, for other programs; large results go by write_lines."""
-    with open(path, "w", encoding="utf-8") as file:
-        file.write('{"type": "FeatureCollection", "features": [')
-        for i, row in enumerate(features.select(column).toLocalIterator()):
-            file.write(("," if i else "") + "\n" + row[0])
-        file.write("]" + (', "crs": ' + json.dumps({"type": "name", "properties": {"name": crs}}) if crs else "") + "}\n")
+    """One collection file, for other programs: tasks write their features, in the table's order. No features give an empty collection."""
+
+    def frame(file: BinaryIO, found: list[pieces.Piece]) -> list[int]:
+        file.write(b'{"type": "FeatureCollection", "features": [')
+        places = []
+        for i, p in enumerate(found):
+            file.write(b",\n" if i else b"\n")
+            places.append(file.tell())
+            file.seek(p.size, os.SEEK_CUR)
+        file.write(b"]" + (b', "crs": ' + json.dumps({"type": "name", "properties": {"name": crs}}).encode() if crs else b"") + b"}\n")
+        return places
+
+    pieces.write(path, lambda folder: pieces.lines(features, column, b",\n", folder), frame, features)
 
 
 def _bytes(file: int, at: int, size: int) -> np.ndarray:

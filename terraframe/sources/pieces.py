@@ -1,4 +1,4 @@
-"""Files of compressed strips, made by tasks and put together without passing through the driver.
+"""Files made of pieces by tasks, compressed strips or lines of text, and put together without passing through the driver.
 
 A strip of rows is an image in one task, which deflates it up to a full flush: such pieces, one after another, are one
 deflate stream, and each can be inflated by itself. Tasks stage pieces under names of their own in a hidden folder beside the file wanted;
@@ -18,9 +18,11 @@ from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STAGED = "`order` long, name string, size long, stored_crc long, raw long, crc long, adler long"
 #: Ends a stream of pieces: a last block of no bytes.
 END = b"\x03\x00"
 ADLER = 65521
@@ -118,10 +120,25 @@ def strips(pixels: DataFrame, names: list[str], width: int, height: int, rows: i
             yield told(found)
 
     dealt = there.union(every).repartitionByRange("strip").sortWithinPartitions("strip")
-    made = dealt.mapInArrow(run, "`order` long, name string, size long, stored_crc long, raw long, crc long, adler long").collect()
+    made = dealt.mapInArrow(run, STAGED).collect()
     return sorted(Piece(*r) for r in made)
 
 
+def lines(rows: DataFrame, column: str, between: bytes, folder: str) -> list[Piece]:
+    """Stages the texts of each partition, in its order, with bytes between them; pieces are in order of partitions, and those without rows are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size = uuid.uuid4().hex, 0
+        with open(os.path.join(folder, name), "wb") as file:
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    size += file.write((between if size else b"") + (text or "").encode())
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (TaskContext.get().partitionId(), name, size, 0, size, 0, 0)], list(Piece._fields))
+
+    return sorted(Piece(*r) for r in rows.select(column).mapInArrow(run, STAGED).collect())
+
+
 def write(path: str, stage: Callable[[str], list[Piece]], frame: Callable[[BinaryIO, list[Piece]], list[int]], pixels: DataFrame) -> None:
     """`stage` gives the pieces, `frame` writes what stands around them and tells each one's place; the pieces are copied there by tasks."""
     parent, name = os.path.split(os.path.abspath(path))

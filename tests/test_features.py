@@ -59,3 +59,16 @@ def test_a_large_file_is_read_in_many_tasks(spark, tmp_path):
     found = features.read_features(spark, str(path))
     assert path.stat().st_size > 2 * features.RANGE and found.rdd.getNumPartitions() == -(-path.stat().st_size // features.RANGE)
     assert found.count() == 150_000 and {r["n"] for r in found.groupBy("class_id").count().withColumnRenamed("count", "n").collect()} == {300}
+
+
+def test_a_collection_written_by_tasks(spark, tmp_path):
+    path, rows = tmp_path / "out.geojson", collection(300, seed=4)[1]
+    table = spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(rows)], "i long, feature string").repartition(7)
+    features.write_collection(table.orderBy("i"), str(path), "EPSG:3857")
+    whole = json.loads(path.read_text(encoding="utf-8"))
+    assert whole["features"] == rows and whole["crs"]["properties"]["name"] == "EPSG:3857"
+    assert [r.label for r in features.read_features(spark, str(path), 999).collect()] == [told(r)[0] for r in rows]
+    features.write_collection(table.filter("i < 0"), str(path))
+    assert json.loads(path.read_text()) == {"type": "FeatureCollection", "features": []}
+    features.write_collection(table.repartition(40, "i").filter("i = 3"), str(path))  # most tasks have none
+    assert json.loads(path.read_text())["features"] == [rows[3]] and [p.name for p in tmp_path.iterdir()] == ["out.geojson"]
