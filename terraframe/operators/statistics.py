@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import shoelace_area
 from .components import components
-from .ranks import order_statistics, percentiles
+from .ranks import order_statistics
 
 SMALL_PATCH, LOW_SCORE = 9, 0.5
 
@@ -26,6 +27,14 @@ def summaries(df: DataFrame, values: list[str], *more: Column) -> tuple[list[dic
     return out, row
 
 
+def _with_medians(df: DataFrame, aggregates: list[Column], medians: dict[str, str]) -> DataFrame:
+    """One row of aggregates and of medians (name -> column), in two scans."""
+    kinds = df.agg(*aggregates).schema.fields
+    parts, row = order_statistics(df, list(medians.values()), (0.5,), *aggregates)
+    found = [row[f.name] for f in kinds] + [parts[c][0] for c in medians.values()]
+    return df.sparkSession.createDataFrame([found], T.StructType([*kinds, *(T.StructField(n, T.DoubleType()) for n in medians)]))
+
+
 SUMMARY = "min double, max double, mean double, std double, p5 double, p50 double, p95 double, valid_pixels long"
 
 
@@ -88,11 +97,15 @@ def record_statistics(records: DataFrame) -> DataFrame:
     six = lambda c: F.bround(F.coalesce(c, F.lit(0.0)), 6)
     share = lambda c: six(F.when(F.count("*") > 0, c / F.count("*")))
     low, edge = F.count_if(F.col("score") < LOW_SCORE), F.count_if(F.col("touches_image_edge"))
-    middle = {n: F.lit(v[0]).cast("double") for n, v in percentiles(records, ["score", "angle_degrees"], (0.5,)).items()}
-    return records.agg(
-        F.count("*").alias("count"), six(F.avg("score")).alias("confidence_mean"), six(middle["score"]).alias("confidence_median"), low.alias("low_confidence_count"), share(low).alias("low_confidence_ratio"),
+    rows = _with_medians(records, [
+        F.count("*").alias("count"), six(F.avg("score")).alias("confidence_mean"), low.alias("low_confidence_count"), share(low).alias("low_confidence_ratio"),
         edge.alias("edge_object_count"), share(edge).alias("edge_object_ratio"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), F.coalesce(F.min("score"), F.lit(0.0)).alias("min_score"),
-        *[F.bround(c, 6).alias(f"angle_degrees_{n}") for c, n in ((F.avg("angle_degrees"), "mean"), (middle["angle_degrees"], "median"), (F.min("angle_degrees"), "min"), (F.max("angle_degrees"), "max"))],
+        *[F.bround(f("angle_degrees"), 6).alias(f"angle_degrees_{n}") for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))],
+    ], {"confidence_median": "score", "angle_degrees_median": "angle_degrees"})
+    rows = rows.withColumn("confidence_median", six(F.col("confidence_median"))).withColumn("angle_degrees_median", F.bround("angle_degrees_median", 6))
+    return rows.select(
+        "count", "confidence_mean", "confidence_median", "low_confidence_count", "low_confidence_ratio", "edge_object_count", "edge_object_ratio", "max_score", "min_score",
+        *[f"angle_degrees_{n}" for n in ("mean", "median", "min", "max")],
     )
 
 
@@ -100,12 +113,12 @@ def detections(features: DataFrame) -> DataFrame:
     """One row of stored detections (label, score, ring): density is by the features' own area."""
     rows = features.withColumn("area", shoelace_area(F.col("ring")))
     area = F.coalesce(F.sum("area"), F.lit(0.0))
-    middle = F.lit(percentiles(rows, ["score"], (0.5,))["score"][0]).cast("double")
-    return rows.agg(
+    found = _with_medians(rows, [
         F.count("*").alias("target_count"), F.array_join(F.sort_array(F.collect_set(F.coalesce("label", F.lit("unknown")))), ",").alias("labels"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_confidence"),
-        F.coalesce(middle, F.lit(0.0)).alias("median_confidence"), F.coalesce(F.avg((F.col("score") < LOW_SCORE).cast("double")), F.lit(0.0)).alias("low_confidence_ratio"), area.alias("total_area_m2"),
-        F.when(area > 0, F.count("*") / area).otherwise(0.0).alias("density_per_m2"),
-    )
+        F.coalesce(F.avg((F.col("score") < LOW_SCORE).cast("double")), F.lit(0.0)).alias("low_confidence_ratio"), area.alias("total_area_m2"), F.when(area > 0, F.count("*") / area).otherwise(0.0).alias("density_per_m2"),
+    ], {"median_confidence": "score"})
+    found = found.withColumn("median_confidence", F.coalesce("median_confidence", F.lit(0.0)))
+    return found.select("target_count", "labels", "mean_confidence", "median_confidence", "low_confidence_ratio", "total_area_m2", "density_per_m2")
 
 
 def instances(features: DataFrame) -> DataFrame:
@@ -114,8 +127,10 @@ def instances(features: DataFrame) -> DataFrame:
 
 def index_statistics(df: DataFrame, value: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    middle = F.lit(percentiles(df, [value], (0.5,))[value][0]).cast("double")
-    return df.agg(zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("mean"), zero(middle).alias("median"), zero(F.stddev_pop(value)).alias("std"), F.count(value).alias("valid_pixels"), F.count("*").alias("total_pixels"))
+    found = _with_medians(df, [
+        zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("mean"), zero(F.stddev_pop(value)).alias("std"), F.count(value).alias("valid_pixels"), F.count("*").alias("total_pixels"),
+    ], {"median": value})
+    return found.select("min", "max", "mean", zero(F.col("median")).alias("median"), "std", "valid_pixels", "total_pixels")
 
 
 def super_resolution(pair: DataFrame, scale: int, keys: list[str] | None = None) -> DataFrame:
