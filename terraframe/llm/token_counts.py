@@ -33,7 +33,7 @@ from .tables import map_arrow
 from .tokens import LETTER, ODD, SPACE, classify
 
 LIMIT = 1024
-RESULTS = {"n_bytes": "long", "n_tokens": "long", "n_whole": "long", "over_limit": "boolean"}
+RESULTS = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean", "n_whole": "long"}
 #: Longer strings aren't in the table.
 LONGEST = 16
 #: Distinct strings whose counts a worker remembers, and how long they may be.
@@ -263,7 +263,7 @@ def count(data: np.ndarray, offsets: np.ndarray, table: WholeTokens, rest: Merge
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns to keep, n_bytes (UTF-8), n_tokens, n_whole (tokens that the table gave) and over_limit (n_tokens > limit) of every row."""
+    """key, the columns to keep, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) and n_whole (tokens that the table gave) of every row."""
     columns = [key, *(c for c in keep if c != key)]
     if clash := sorted(RESULTS.keys() & set(columns)):
         raise ValueError(f"columns {clash} are called like results")
@@ -281,7 +281,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                     total[first:last] = rest.whole([own[a:b].tobytes().decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
                 else:
                     total[first:last], direct[first:last] = count(own, at, table, rest)
-            made = [np.diff(offsets), total, direct, total > limit]
+            made = [np.diff(offsets), total, total > limit, direct]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *map(pa.array, made)], [*columns, *RESULTS])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*columns).schema.fields}
