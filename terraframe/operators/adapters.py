@@ -9,6 +9,8 @@ raster_ops) and never leave the JVM.
 from __future__ import annotations
 
 import atexit
+import importlib
+import importlib.util
 import json
 import os
 import subprocess
@@ -309,8 +311,40 @@ class SubprocessAdapter(Adapter):
         return self._part(self._ask({"tile": tile}, info, scale=scale), "image")
 
 
-#: Makers of adapters by task and backend, for models that run within Spark's Python workers.
+#: Makers of adapters by task and backend, for models that run within Spark's Python workers; `backend` adds to it.
 BACKENDS: dict[tuple[str, str], Callable[[dict], Adapter]] = {}
+#: The backend of models that name their adapter themselves, as `entrypoint: module:Class`.
+PYTHON = "python"
+
+
+def backend(task: str, name: str) -> Callable[[Callable[[dict], Adapter]], Callable[[dict], Adapter]]:
+    """Makes what it decorates the maker of adapters of a task's models with that backend; it is called in workers, with the model's description."""
+
+    def add(make: Callable[[dict], Adapter]) -> Callable[[dict], Adapter]:
+        BACKENDS[task, name.lower()] = make
+        return make
+
+    return add
+
+
+def _entry(model: dict) -> tuple[str, str]:
+    module, _, name = str(model.get("entrypoint") or "").partition(":")
+    if not module or not name:
+        raise ValueError(f"model {model.get('id')!r} needs an entrypoint, module:Class")
+    return module, name
+
+
+def available(model: dict) -> bool:
+    """Whether a model that isn't deterministic can run in workers: its backend is known, or its own module is there."""
+    kind = str(model.get("backend", "fake")).lower()
+    if (str(model.get("task")), kind) in BACKENDS:
+        return True
+    if kind != PYTHON:
+        return False
+    try:
+        return importlib.util.find_spec(_entry(model)[0]) is not None
+    except ModuleNotFoundError:
+        return False
 
 
 def maker(model: dict, **options: Any) -> Make | None:
@@ -318,5 +352,11 @@ def maker(model: dict, **options: Any) -> Make | None:
     if str(model.get("runner") or "inprocess").lower() == "subprocess":
         SubprocessAdapter(model)  # says here what is missing
         return lambda: SubprocessAdapter(model, **options)
-    made = BACKENDS.get((str(model.get("task")), str(model.get("backend", "fake")).lower()))
-    return (lambda: made(model)) if made else None
+    kind = str(model.get("backend", "fake")).lower()
+    made = BACKENDS.get((str(model.get("task")), kind))
+    if made is not None:
+        return lambda: made(model | options)
+    if kind == PYTHON:
+        module, name = _entry(model)
+        return lambda: getattr(importlib.import_module(module), name)(model | options)
+    return None

@@ -84,6 +84,8 @@ class Models:
             raise NotImplementedError("the http runner is reserved")
         if runner not in RUNNERS:
             raise ValueError(f"unknown runner {runner!r}")
-        if runner != "subprocess" and str(model.get("backend", "fake")).lower() not in ("fake", "fake_external"):
+        from ..operators.adapters import available
+
+        if runner != "subprocess" and str(model.get("backend", "fake")).lower() not in ("fake", "fake_external") and not available(model):
             raise BackendUnavailable(f"{model['id']}: {model.get('backend')} has no framework or weights here")
         return model

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraframe.api import Engine
-from terraframe.operators import raster_ops
+from terraframe.operators import adapters, raster_ops
 from terraframe.operators.adapters import Adapter, detect
 from terraframe.sources import catalog, npz, scenes, tiff
 from terraframe.streaming import scenes as streams
@@ -220,3 +220,48 @@ def test_class_map_by_path(spark, engine, tmp_path):
     assert "ground" in found["statistics"]["class_ratios"]
     with pytest.raises(FileNotFoundError):
         engine.run_semantic_segmentation(scenes.synthetic(spark, 8, 6, 3), ["b1"], names=str(tmp_path / "none.yaml"))
+
+
+PLUGIN = """import numpy as np
+from terraframe.operators.adapters import Adapter
+
+class Brightest(Adapter):
+    def __init__(self, model):
+        self.label, self.least = model["label"], model["confidence_threshold"]
+
+    def predict(self, tile, info):
+        y, x = np.unravel_index(tile[0].argmax(), tile[0].shape)
+        yield {"label": self.label, "score": max(0.5, self.least), "bbox": (x, y, x + 1, y + 1)}
+"""
+
+
+def test_models_that_name_their_adapter(spark, tmp_path):
+    (tmp_path / "brightest_plugin.py").write_text(PLUGIN)
+    spark.sparkContext.addPyFile(str(tmp_path / "brightest_plugin.py"))
+    (tmp_path / "m.yaml").write_text("""models:
+  - {id: own, task: object_detection, backend: python, entrypoint: "brightest_plugin:Brightest", label: top}
+  - {id: gone, task: object_detection, backend: python, entrypoint: "no_such_plugin.at_all:Brightest"}
+  - {id: bare, task: object_detection, backend: python}
+  - {id: noted, task: object_detection, backend: house}
+""")
+    engine = Engine(spark, str(tmp_path / "jobs"), str(tmp_path / "m.yaml"))
+    pixels = scenes.synthetic(spark, 20, 16, 1).withColumn("b1", F.when((F.col("x") == 9) & (F.col("y") == 7), 255).otherwise(F.col("b1") % 200))
+    found = engine.run_detection(pixels, ["b1"], (20, 16), tile=32, overlap=0, model_id="own")
+    (row,) = spark.read.parquet(found["outputs"]["detections"]).collect()
+    assert (row.label, row.bbox, found["model_id"]) == ("top", [9.0, 7.0, 10.0, 8.0], "own")
+    with pytest.raises(catalog.BackendUnavailable):
+        engine.run_detection(pixels, ["b1"], (20, 16), model_id="gone")
+    with pytest.raises(ValueError, match="entrypoint"):
+        engine.run_detection(pixels, ["b1"], (20, 16), model_id="bare")
+    with pytest.raises(catalog.BackendUnavailable):
+        engine.run_detection(pixels, ["b1"], (20, 16), model_id="noted")
+
+    class Nothing(Adapter):
+        def predict(self, tile, info):
+            return []
+
+    try:
+        adapters.backend("object_detection", "House")(lambda model: Nothing())
+        assert engine.run_detection(pixels, ["b1"], (20, 16), tile=32, overlap=0, model_id="noted")["statistics"]["count"] == 0
+    finally:
+        adapters.BACKENDS.clear()
