@@ -17,6 +17,8 @@ from .graph import cut
 BRIGHT_FLOOR, LEAST_PIXELS, MOST_DETECTIONS, ANGLE = 150.0, 12, 8, 25.0
 BRIGHT_CLASS, BLUE_CLASS = 185.0, 120.0
 CHANGE_SPAN = 128.0
+#: Greatest instance of a mask of 16 bits.
+MOST_INSTANCES = 65535
 
 
 # --- segmentation -----------------------------------------------------------------------------
@@ -167,13 +169,14 @@ def oriented(detections: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.concat(F.lit("oriented_"), F.col("label")))
 
 
-def burn_runs(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Runs (y, x0, x1, instance) of boxes (ordinal, bbox), x1 not in: ends half-even rounded and clamped, later ones above, ordinals cut to 65535.
+def burn_runs(boxes: DataFrame, width: int, height: int, most: int | None = MOST_INSTANCES) -> DataFrame:
+    """Runs (y, x0, x1, instance) of boxes (ordinal, bbox), x1 not in: ends half-even rounded and clamped, later ones above.
 
-    A box is a row of each line of pixels that it meets, whatever its width. Lines are dealt by range; a task holds the boxes of one.
+    Ordinals are cut to `most`, by default what 16 bits hold as in instance masks of files; with None every box keeps its own. A box is a row of each line of pixels that it meets, whatever its width. Lines are dealt by range; a task holds the boxes of one.
     """
     end = lambda i, limit: F.greatest(F.lit(0), F.least(F.lit(limit), F.rint(F.col("bbox")[i]).cast("int")))
-    rows = boxes.select(F.least(F.col("ordinal"), F.lit(65535)).cast("long").alias("ordinal"), end(0, width).alias("a"), end(1, height).alias("b"), end(2, width).alias("c"), end(3, height).alias("d"))
+    ordinal = F.col("ordinal") if most is None else F.least(F.col("ordinal"), F.lit(most))
+    rows = boxes.select(ordinal.cast("long").alias("ordinal"), end(0, width).alias("a"), end(1, height).alias("b"), end(2, width).alias("c"), end(3, height).alias("d"))
     rows = rows.filter((F.col("c") > F.col("a")) & (F.col("d") > F.col("b")))
     lines = rows.select(F.explode(F.sequence("b", F.col("d") - 1)).alias("y"), "a", "c", "ordinal")
 
@@ -214,9 +217,9 @@ def _runs(table: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(table[:, i], pa.int32()) for i in range(3)), pa.array(table[:, 3])], ["y", "x0", "x1", "instance"])
 
 
-def burn_instances(boxes: DataFrame, width: int, height: int) -> DataFrame:
+def burn_instances(boxes: DataFrame, width: int, height: int, most: int | None = MOST_INSTANCES) -> DataFrame:
     """Pixels (y, x, instance) of burn_runs()."""
-    return burn_runs(boxes, width, height).select("y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "instance")
+    return burn_runs(boxes, width, height, most).select("y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "instance")
 
 
 def rotated_values(values: Column, unit: str = "auto") -> Column:

@@ -275,3 +275,17 @@ def test_burning_by_lines(spark):
     assert sum(r.x1 - r.x0 for r in runs) == (image > 0).sum() and len(runs) <= lengths
     large = spark.createDataFrame([(1, [0.0, 0.0, 1e4, 1e4])], "ordinal long, bbox array<double>")
     assert raster_ops.burn_runs(large, 10_000, 10_000).count() == 10_000
+
+
+def test_instances_beyond_16_bits(spark, tmp_path):
+    """x10 over 66,000 boxes: the last ones keep their own numbers."""
+    n = 66_000
+    spark.range(n).selectExpr("id as p_partkey", "'b' as p_brand", "cast(9 + id % 2 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    image = np.zeros((100, 134), np.int64)
+    for i in range(n):
+        x, y, size = i * 37 % 400, i * 91 % 300, 9 + i % 2
+        a, b, c, d = (round(v / 3) for v in (x, y, x + size, y + size))
+        image[b:d, a:c] = i + 1
+    drawn = {(y, x): image[y, x] for y, x in zip(*np.nonzero(image), strict=True)}
+    found = registry.queries()["x10_burn_instances"](spark, str(tmp_path)).collect()
+    assert {(r.y, r.x): r.instance for r in found} == drawn and len(found) == len(drawn) and image.max() == n
