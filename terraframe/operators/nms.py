@@ -1,6 +1,6 @@
 """Greedy non-maximum suppression.
 
-The boxes of a key that a task holds (HELD) are settled there, band by band: the best of those left are compared with each other,
+Copies of a box count once, by its best rank, as whatever decides on that one decides on the others. The boxes of a key that a task holds (HELD) are settled there, band by band: the best of those left are compared with each other,
 and what the kept ones overlap is dropped before any later pair is looked at. Kept boxes meet only groups of boxes
 that lie near them, by bounding boxes of runs along a curve. A pile of boxes costs its kept boxes times its height, not its square.
 
@@ -77,7 +77,8 @@ def suppress(records: DataFrame, threshold: float, order: list[Column], key: str
     if threshold <= 0:
         return ranked
     kind = ranked.schema[key].dataType.simpleString()
-    boxes = ranked.filter(F.col("bbox").isNotNull()).select(key, "rank", F.transform("bbox", lambda v: v.cast("double")).alias("bbox"))
+    first = cut(_without_copies(ranked.select(key, "rank", F.transform("bbox", lambda v: v.cast("double")).alias("bbox")), threshold, key))
+    boxes = first.filter(F.col("bbox").isNotNull())
     sizes = cut(boxes.groupBy(F.col(key).alias(KEY)).agg(F.count("*").alias("n")))
     of_key = F.col(key).eqNullSafe(F.col(KEY))
     few = boxes.join(sizes.filter(F.col("n") <= HELD), of_key, "left_semi")
@@ -88,8 +89,19 @@ def suppress(records: DataFrame, threshold: float, order: list[Column], key: str
         gone = gone.union(_bands(boxes.join(many, of_key, "left_semi").filter(F.col(key).isNotNull()), threshold, key))
         if not many.filter(F.col(KEY).isNull()).isEmpty():
             gone = gone.union(_bands(boxes.filter(F.col(key).isNull()).withColumn(key, F.lit(0)), threshold, key).withColumn(KEY, F.lit(None).cast(kind)))
-    gone = gone.withColumnRenamed("rank", "__rank")
-    return ranked.join(gone, [of_key, F.col("rank") == F.col("__rank")], "left_anti")
+    there = [of_key, F.col("rank") == F.col("__rank")]
+    kept = first.join(gone.withColumnRenamed("rank", "__rank"), there, "left_anti").select(F.col(key).alias(KEY), F.col("rank").alias("__rank"))
+    return ranked.join(kept, there, "left_semi")
+
+
+def _without_copies(boxes: DataFrame, threshold: float, key: str) -> DataFrame:
+    """The rows (key, rank, bbox) without boxes that equal a better-ranked one of their key.
+
+    That one suppresses them, or what suppresses it does. Rows without a box and boxes that don't meet themselves (no area, or not a finite one) all stay.
+    """
+    area = box_area(F.col("bbox"))
+    meets = (area > 0) & (area + area < float("inf")) & F.lit(threshold <= 1)
+    return boxes.groupBy(key, "bbox", F.when(meets, F.lit(None)).otherwise(F.col("rank")).alias("alone")).agg(F.min("rank").alias("rank")).select(key, "rank", "bbox")
 
 
 def _overlaps(boxes: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:

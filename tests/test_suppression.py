@@ -89,3 +89,17 @@ def test_a_pile_costs_its_kept_boxes(spark, monkeypatch, held):
         assert sum(p.count() for p in made) < nms.BAND**2 + 20_000 * len(kept)
     else:
         assert took < 10
+
+
+@pytest.mark.parametrize("threshold", [0.3, 1.0])
+def test_copies_of_a_box_count_once(spark, monkeypatch, threshold):
+    """Keys of more boxes than a task holds, of which few are different, go without joins of pairs; boxes that don't meet themselves all stay."""
+    monkeypatch.setattr(nms, "HELD", 100)
+    monkeypatch.setattr(nms, "conflicts", lambda *a, **k: pytest.fail("pairs of copies"))
+    rng = np.random.default_rng(8)
+    places = [(0.0, 0.0, 9.0, 9.0), (-0.0, 0.0, 9.0, 9.0), *((x, y, x + w, y + h) for x, y, w, h in rng.integers(1, 20, (40, 4)).astype(float).tolist())]
+    boxes = [(["a", None][i % 2], i, float(rng.integers(0, 5)), list(places[rng.integers(len(places))])) for i in range(1500)]
+    alone = [[3.0, 3.0, 3.0, 9.0], [9.0, 9.0, 3.0, 3.0], [0.0, 0.0, 1e200, 1e200], None]
+    boxes += [(key, len(boxes) + i, 2.0, box) for i, (key, box) in enumerate((k, b) for k in ("a", None) for b in alone * 2)]
+    found = [(r.raster_id, r.id) for r in nms.suppress(frame(spark, boxes), threshold, order()).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain(boxes, threshold) and len(found) > 16
