@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraframe.operators import nms
+from terraframe.plans import registry
 
 def order():
     return [F.desc("score"), F.asc("id")]
@@ -103,3 +104,22 @@ def test_copies_of_a_box_count_once(spark, monkeypatch, threshold):
     boxes += [(key, len(boxes) + i, 2.0, box) for i, (key, box) in enumerate((k, b) for k in ("a", None) for b in alone * 2)]
     found = [(r.raster_id, r.id) for r in nms.suppress(frame(spark, boxes), threshold, order()).collect()]
     assert len(found) == len(set(found)) and set(found) == plain(boxes, threshold) and len(found) > 16
+
+
+def of_copies(spark, monkeypatch, folder, name):
+    """Rows of a query and of its SQL over a part table of 40 boxes in 30 copies, which are more than a task holds."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(nms, "HELD", 100)
+    monkeypatch.setattr(nms, "conflicts", lambda *a, **k: pytest.fail("pairs of copies"))
+    table = spark.range(1200).selectExpr("id % 40 + 6000 * (id div 40) as p_partkey", "concat('b', id % 3) as p_brand", "cast(5 + id % 40 as int) as p_size")
+    table.write.parquet(f"{folder}/part.parquet")
+    found = registry.queries()[name](spark, str(folder))
+    with duckdb.connect() as own:
+        own.execute(f"create view part as select * from '{folder}/part.parquet/*.parquet'")
+        wanted = own.execute(f"select {', '.join(found.columns)} from ({registry.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, found.collect())), sorted(wanted)
+
+
+def test_merged_detections_of_copies(spark, monkeypatch, tmp_path):
+    found, wanted = of_copies(spark, monkeypatch, tmp_path, "n2_merge_detections")
+    assert found == wanted and 3 <= sum(r[1] for r in found) <= 40
