@@ -123,3 +123,8 @@ def of_copies(spark, monkeypatch, folder, name):
 def test_merged_detections_of_copies(spark, monkeypatch, tmp_path):
     found, wanted = of_copies(spark, monkeypatch, tmp_path, "n2_merge_detections")
     assert found == wanted and 3 <= sum(r[1] for r in found) <= 40
+
+
+def test_assembled_detections_of_copies(spark, monkeypatch, tmp_path):
+    found, wanted = of_copies(spark, monkeypatch, tmp_path, "n3_detection_assembly")
+    assert found == wanted and 3 <= len(found) <= 40
