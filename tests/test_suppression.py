@@ -128,3 +128,34 @@ def test_merged_detections_of_copies(spark, monkeypatch, tmp_path):
 def test_assembled_detections_of_copies(spark, monkeypatch, tmp_path):
     found, wanted = of_copies(spark, monkeypatch, tmp_path, "n3_detection_assembly")
     assert found == wanted and 3 <= len(found) <= 40
+
+
+def every_box(spark, monkeypatch, folder, name):
+    """Rows of a query over part with each of the 1,200 places in each of 50 sizes, 60,000 boxes, and 36,000 copies; ids, scores and boxes."""
+    monkeypatch.setattr(nms, "conflicts", lambda *a, **k: pytest.fail("a task holds all different boxes"))
+    k = np.arange(96_000)
+    table = spark.range(len(k)).selectExpr("id as p_partkey", "concat('b', id % 3) as p_brand", "cast(1 + id div 1200 % 50 as int) as p_size")
+    table.write.parquet(f"{folder}/part.parquet")
+    place, side = np.stack([k * 37 % 400, k * 91 % 300], axis=1), (1 + k // 1200 % 50)[:, None]
+    return registry.queries()[name](spark, str(folder)).collect(), k, k * 7919 % 1000 / 1000, np.concatenate([place, place + side], axis=1).astype(float)
+
+
+def kept_by_rank(boxes, threshold):
+    """Places in the order of ranks that are kept, each box held against all kept before it."""
+    held, kept = np.empty((5, len(boxes))), []
+    for i, (x0, y0, x1, y1) in enumerate(boxes.tolist()):
+        a, area = held[:, : len(kept)], (x1 - x0) * (y1 - y0)
+        inter = np.maximum(0, np.minimum(a[2], x1) - np.maximum(a[0], x0)) * np.maximum(0, np.minimum(a[3], y1) - np.maximum(a[1], y0))
+        if not (inter >= threshold * (a[4] + area - inter)).any():
+            held[:, len(kept)] = x0, y0, x1, y1, area
+            kept.append(i)
+    return np.array(kept)
+
+
+def test_merged_detections_of_every_box(spark, monkeypatch, tmp_path):
+    found, ids, score, boxes = every_box(spark, monkeypatch, tmp_path, "n2_merge_detections")
+    assert len(np.unique(boxes, axis=0)) == 60_000 <= nms.HELD < len(ids)
+    order = np.lexsort((ids, -score))
+    kept = order[kept_by_rank(boxes[order], 0.5)]
+    wanted = {(f"b{i}", int((kept % 3 == i).sum()), float(score[kept][kept % 3 == i].max())) for i in range(3)}
+    assert len(kept) > 1000 and set(map(tuple, found)) == wanted and len(found) == 3
