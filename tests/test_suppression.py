@@ -159,3 +159,16 @@ def test_merged_detections_of_every_box(spark, monkeypatch, tmp_path):
     kept = order[kept_by_rank(boxes[order], 0.5)]
     wanted = {(f"b{i}", int((kept % 3 == i).sum()), float(score[kept][kept % 3 == i].max())) for i in range(3)}
     assert len(kept) > 1000 and set(map(tuple, found)) == wanted and len(found) == 3
+
+
+def test_assembled_detections_of_every_box(spark, monkeypatch, tmp_path):
+    found, ids, score, boxes = every_box(spark, monkeypatch, tmp_path, "n3_detection_assembly")
+    boxes = np.minimum(boxes + [10, 5, 10, 5], [400, 300, 400, 300])
+    some = (score >= 0.2) & (boxes[:, :2] < boxes[:, 2:]).all(axis=1)
+    ids, score, boxes = ids[some], score[some], boxes[some]
+    assert len(np.unique(boxes, axis=0)) <= nms.HELD < len(ids)
+    order = np.lexsort((ids, -score))
+    kept = kept_by_rank(boxes[order], 0.5)
+    sides = boxes[order[kept], 2:] - boxes[order[kept], :2]
+    wanted = set(zip(ids[order[kept]].tolist(), (order[kept] + 1).tolist(), (kept + 1).tolist(), sides.prod(axis=1).tolist(), strict=True))
+    assert len(kept) > 1000 and {(r.id, r.instance_id, r["rank"], r.area_pixels) for r in found} == wanted and len(found) == len(wanted)
